@@ -104,8 +104,9 @@ class OrderedGroups:
         return self._with(df.withColumn("_l", F.sum("_v").over(frame)).withColumn(
             out, F.col("_l") + F.coalesce("_in", F.lit(0))).drop("_l", "_in", "_v"))
 
-    def running_min(self, value: Column, out: str) -> "OrderedGroups":
-        frame = self._window(()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def running_min(self, value: Column, out: str, before: bool = False) -> "OrderedGroups":
+        frame = self._window(()).rowsBetween(Window.unboundedPreceding,
+                                             -1 if before else Window.currentRow)
         if not self.split:
             return self._with(self.df.withColumn(out, F.min(value).over(frame)))
         tagged = self._with(self.df.withColumn("_v", value))
