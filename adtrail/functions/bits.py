@@ -79,34 +79,15 @@ def dhash(grid: Col, size: int = 8) -> Column:
     One bit per cell says whether it is darker than its right neighbour; a second set says the
     same for the cell below. With ``size=8`` this is 64 + 64 bits, printed as 32 hex digits.
     """
-    g, width = as_col(grid), size + 1
-    n = size * size
-    cells = [(y * width + x) for y in range(size) for x in range(size)]
+    g, width, n = as_col(grid), size + 1, size * size
 
     def packed(step: int) -> Column:
-        total = None
-        for k, at in enumerate(cells):
-            bit = F.when(g[at] < g[at + step], F.lit(_signed(1 << (n - 1 - k))).cast("bigint")) \
-                .otherwise(F.lit(0).cast("bigint"))
-            total = bit if total is None else total.bitwiseOR(bit)
+        # the grid against itself shifted by one cell or one row; the last column is left out
+        core = size * width
+        darker = F.zip_with(F.slice(g, 1, core), F.slice(g, 1 + step, core), lambda a, b: a < b)
+        bits = F.filter(darker, lambda b, i: i % width < size)
+        total = F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(
+            acc, 1).bitwiseOR(F.when(b, 1).otherwise(0).cast("bigint")))
         return F.lower(F.lpad(F.hex(total), (n + 3) // 4, "0"))
 
     return F.concat(packed(1), packed(width))
-
-
-def area_means(pixels: Col, width: Col, height: Col, size: int = 8) -> Column:
-    """Shrink a flat row-major grey image to a ``(size+1)²`` grid of area means."""
-    p, w, h, side = as_col(pixels), as_col(width), as_col(height), size + 1
-
-    def cell(i: Column) -> Column:
-        row, col = F.floor(i / side), i % side
-        y0, x0 = F.floor(row * h / side), F.floor(col * w / side)
-        y1 = F.greatest(F.floor((row + 1) * h / side), y0 + 1)
-        x1 = F.greatest(F.floor((col + 1) * w / side), x0 + 1)
-        lines = F.transform(
-            F.sequence(y0, y1 - 1),
-            lambda y: F.aggregate(F.slice(p, (y * w + x0 + 1).cast("int"), (x1 - x0).cast("int")),
-                                  F.lit(0.0), lambda acc, v: acc + v))
-        return F.aggregate(lines, F.lit(0.0), lambda acc, v: acc + v) / ((y1 - y0) * (x1 - x0))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell)

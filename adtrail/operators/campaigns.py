@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from adtrail import fixed
 from adtrail.functions import urls
@@ -63,8 +63,10 @@ def campaign_table(members: DataFrame, campaign_map: DataFrame, all_ads: DataFra
     """
     mine = members.join(campaign_map, "label").select(
         "category", "label", hash_col, urls.fqdn("ad_url").alias("landing"), "seed_domain")
-    per_hash = all_ads.groupBy(hash_col).agg(F.count(F.lit(1)).alias("ads"))
-    tagged = mine.join(per_hash, hash_col, "left")
+    # renamed, so that both inputs may come from the same table
+    per_hash = all_ads.groupBy(F.col(hash_col).alias("_hash")).agg(
+        F.count(F.lit(1)).alias("ads"))
+    tagged = mine.join(per_hash, F.col(hash_col) == F.col("_hash"), "left").drop("_hash")
     owner = tagged.where("ads is not null").groupBy(hash_col).agg(
         F.min(F.struct("category", "label")).alias("o"), F.first("ads").alias("ads")).select(
         hash_col, "o.category", "o.label", "ads")
@@ -73,7 +75,8 @@ def campaign_table(members: DataFrame, campaign_map: DataFrame, all_ads: DataFra
     attacks = owner.select("category", F.col("ads").alias("n")).unionByName(
         alone.select("category", F.lit(1).cast("long").alias("n")))
     sets = summary_members(all_ads.withColumn("home_url", F.lit(None).cast("string")), hash_col)
-    owned = owner.join(sets, hash_col)
+    sets = sets.withColumnRenamed(hash_col, "_hash")
+    owned = owner.join(sets, F.col(hash_col) == F.col("_hash")).drop("_hash")
     landing = owned.where("kind = 'landing'").select(
         "category", "label", F.col("value").alias("landing")).unionByName(
         alone.select("category", "label", "landing")).where(F.col("landing") != "").distinct()

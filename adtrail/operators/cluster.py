@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adtrail import fixed
 from adtrail.functions import bits, urls
 from adtrail.plans.components import components
 from adtrail.plans.cut import materialise
-from adtrail.plans.groups import first_per, number_rows, top_per
-from adtrail.plans.similarity import near_pairs
+from adtrail.plans.groups import first_per, number_rows
+from adtrail.plans.similarity import candidate_pairs, near_pairs
 
 DENSE_PAIRS_PER_HASH = 64
 
@@ -105,23 +105,21 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*order_by)).alias("_first"))
     per = materialise(per)
     hashes = per.groupBy(hash_col).agg(F.sum("n").alias("n"), F.min("_first").alias("_first"))
-    points = materialise(with_lanes(number_rows(hashes, ["_first"], "id"), hash_col)
-                         .drop("_first"))
-    n_points = points.count()
+    points = with_lanes(number_rows(hashes, ["_first"], "id"), hash_col).drop("_first")
 
     # --- who is a core row: neighbours counted with their copies ---------------------------
     slim = points.select("id", "n", "hi", "lo")
-    pairs = near_pairs(slim, None, max_bits)
+    dense = candidate_pairs(slim, max_bits) > dense_pairs_per_hash * slim.count()
+    pairs = near_pairs(slim, None, max_bits).select("a_id", "a_n", "b_id", "b_n")
+    # a sparse neighbourhood is stored; a dense one is joined anew instead of being written out
+    pairs = pairs if dense else materialise(pairs)
     both = pairs.select(F.explode(F.array(
         F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("nbr"), F.col("b_n").alias("n")),
         F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("nbr"), F.col("a_n").alias("n")),
     )).alias("e")).select("e.*")
-    around = materialise(both.groupBy("id").agg(
-        F.sum("n").alias("around"), F.count(F.lit(1)).alias("links")))
-    links = around.agg(F.sum("links")).first()[0] or 0
-    dense = links > dense_pairs_per_hash * n_points
-    # a sparse neighbourhood is stored; a dense one is joined anew instead of being written out
-    edges = both.select("id", "nbr") if dense else materialise(both.select("id", "nbr"))
+    around = both.groupBy("id").agg(F.sum("n").alias("around"))
+    around = materialise(around) if dense else around
+    edges = both.select("id", "nbr")
 
     ids = points.select(hash_col, "id", F.col("n").alias("copies"))
     rows = per.join(ids, hash_col).join(around.select("id", "around"), "id", "left")
@@ -141,7 +139,7 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
     # is joined to those that have a core row of another group (always, without other_group)
     lone = F.when((F.count_distinct(group) == 1) & F.lit(other_group is not None),
                   F.min(group).cast("string"))
-    nodes = materialise(cores.where("is_core").groupBy("id").agg(lone.alias("lone")))
+    nodes = cores.where("is_core").groupBy("id").agg(lone.alias("lone"))
 
     def reachable(a: str, b: str) -> Column:
         return F.col(a).isNull() | F.col(b).isNull() | (F.col(a) != F.col(b))
@@ -170,8 +168,8 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
 
     found = components(nodes, neighbour_min)
     numbers = number_rows(found.select(F.col("label").alias("root")).distinct(), ["root"], "label")
-    labelled = materialise(found.select("id", F.col("label").alias("root")).join(numbers, "root")
-                           .join(nodes, "id").select("id", "label", "lone"))
+    labelled = found.select("id", F.col("label").alias("root")).join(numbers, "root").join(
+        nodes, "id").select("id", "label", "lone")
 
     # --- border rows ----------------------------------------------------------------------
     rim = cores.where(~F.col("is_core"))

@@ -15,18 +15,19 @@ def components(nodes: DataFrame, neighbour_min: Callable[[DataFrame], DataFrame]
     ``neighbour_min(labels)`` returns ``(id, near)``, the smallest label among the neighbours of
     each node. It aggregates before it shuffles, so the adjacency itself need not be stored.
     """
-    labels = nodes.select("id", F.col("id").alias("label"))
+    state = nodes.select("id", F.col("id").alias("label"))
+    first = True
     while True:
-        hooked = labels.join(neighbour_min(labels), "id", "left").select(
-            "id", F.col("label").alias("old"),
-            F.least("label", F.coalesce("near", "label")).alias("label"))
+        # pointer jump (nothing to jump over at first), then hook to the smallest neighbour
+        up = state.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        jumped = state.withColumn("up", F.col("label")) if first else state.join(up, "label")
+        labels = jumped.select("id", F.col("up").alias("label"))
+        hooked = jumped.join(neighbour_min(labels), "id", "left").select(
+            "id", F.col("label").alias("old"), F.least("up", F.coalesce("near", "up")).alias("label"))
         hooked = materialise(hooked)
-        parents = hooked.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = materialise(hooked.join(parents, "label").select(
-            "id", "old", F.col("up").alias("label")))
-        labels = jumped.select("id", "label")
-        if jumped.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        state, first = hooked.select("id", "label"), False
+        if hooked.where(F.col("old") != F.col("label")).isEmpty():
+            return state
 
 
 def roots(links: DataFrame, keys: list[str], child: str, parent: str) -> DataFrame:

@@ -124,6 +124,12 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], max_bits: int,
     return a.join(b, cond & (bits <= max_bits)).withColumn("bits", bits.cast("int"))
 
 
+def candidate_pairs(points: DataFrame, max_bits: int) -> float:
+    """How many pairs of ``points`` share a band: an upper bound of what a self-join compares."""
+    sizes = _level_one(points.select("hi", "lo"), _Paths(max_bits + 1)).groupBy(*_KEY).count()
+    return sizes.agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0
+
+
 def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
                limit: int = BUCKET_LIMIT) -> DataFrame:
     """All pairs of rows of ``left`` and ``right`` within ``max_bits``.

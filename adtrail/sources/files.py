@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adtrail import fixed, schemas
 from adtrail.functions import urls
-from adtrail.functions.bits import area_means, dhash
+from adtrail.functions.bits import dhash
 from adtrail.functions.fields import parse_rank
 from adtrail.plans.groups import first_per, number_rows
 from adtrail.sources.logs import log_name
@@ -180,20 +182,20 @@ def quiet_files(spark: SparkSession, path: str, age_s: int = fixed.QUIET_SECONDS
     return files.where(F.unix_micros(clock) - F.unix_micros("modified") > age_s * 1_000_000)
 
 
-def grey_pixels(data: Column, channels: Column) -> Column:
-    """Grey values (ITU-R 601) of interleaved BGR(A) bytes."""
-    hexes = F.hex(data)
+def _shrink(data: bytes, width: int, height: int, channels: int, side: int) -> list[float]:
+    """Area means of the grey image (ITU-R 601 weights, BGR byte order) on a side x side grid."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
+    grey = pixels[:, :, 0] if channels == 1 else pixels[:, :, :3] @ [0.114, 0.587, 0.299]
+    ys, xs = (np.arange(side + 1) * n // side for n in (height, width))
+    return [float(grey[ys[r]:max(ys[r + 1], ys[r] + 1), xs[c]:max(xs[c + 1], xs[c] + 1)].mean())
+            for r in range(side) for c in range(side)]
 
-    def byte(at: Column) -> Column:
-        return F.conv(F.substring(hexes, at * 2 + 1, F.lit(2)), 16, 10).cast("double")
 
-    def grey(i: Column) -> Column:
-        at = i * channels
-        return F.when(channels == 1, byte(at)).otherwise(
-            byte(at) * 0.114 + byte(at + 1) * 0.587 + byte(at + 2) * 0.299)
-
-    count = F.floor(F.length(data) / channels).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), grey)
+@F.pandas_udf("array<double>")
+def grey_grid(data: pd.Series, width: pd.Series, height: pd.Series,
+              channels: pd.Series) -> pd.Series:
+    """9x9 grey grid of decoded images, one Arrow batch at a time."""
+    return pd.Series([_shrink(*row, 9) for row in zip(data, width, height, channels)])
 
 
 def read_screenshots(spark: SparkSession, path: str) -> DataFrame:
@@ -203,10 +205,9 @@ def read_screenshots(spark: SparkSession, path: str) -> DataFrame:
     made with another resampling filter.
     """
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    grid = area_means(grey_pixels(F.col("data"), F.col("nChannels")), F.col("width"),
-                      F.col("height"))
-    return img.select(F.regexp_extract("origin", r"([^/]*)$", 1).alias("screenshot"),
-                      dhash(grid).alias("screenshot_hash"))
+    grids = img.select(F.regexp_extract("origin", r"([^/]*)$", 1).alias("screenshot"),
+                       grey_grid("data", "width", "height", "nChannels").alias("grid"))
+    return grids.select("screenshot", dhash("grid").alias("screenshot_hash"))
 
 
 # --- splits --------------------------------------------------------------------------------
