@@ -444,7 +444,7 @@ def _campaign_inputs(spark, sf):
                       "label").distinct()
     threat = table(spark, sf, "nation").select(F.concat(
         F.lit("en.src"), F.col("n_nationkey").cast("string"), F.lit("-example.com")).alias("d"))
-    return ads, all_ads, cmap, threat
+    return ads, cmap, all_ads, threat
 
 
 @query("campaign_table", f"""WITH {_CAMPAIGN}

@@ -221,14 +221,16 @@ OBSERVATIONS = EVENTS + """, obs AS (SELECT ts,
     CASE WHEN k % 3 = 0 THEN 'binary' ELSE 'malvert' END AS class FROM ev)"""
 
 
+def verdict_text() -> Column:
+    error = F.col("event_type") == "error"
+    return F.when(error & (F.col("k") % 2 == 0), "[SOCIAL_ENGINEERING/ANY]").when(
+        error & (F.col("k") % 5 == 0), "[MALWARE/ANY]").otherwise("None")
+
+
 def verdict_log(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(
         F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("domain"),
-        F.col("ts").alias("query_time"),
-        F.when((F.col("event_type") == "error") & (F.col("k") % 2 == 0),
-               "[SOCIAL_ENGINEERING/ANY]")
-        .when((F.col("event_type") == "error") & (F.col("k") % 5 == 0), "[MALWARE/ANY]")
-        .otherwise("None").alias("result"))
+        F.col("ts").alias("query_time"), verdict_text().alias("result"))
 
 
 VERDICTS = EVENTS + """, vl AS (SELECT 'd' || user_id AS domain, ts AS query_time,

@@ -103,14 +103,21 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
     base = df if other_group else df.withColumn("_all", F.lit(0))
     per = base.groupBy(hash_col, group).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*order_by)).alias("_first"))
-    per = materialise(per)
-    hashes = per.groupBy(hash_col).agg(F.sum("n").alias("n"), F.min("_first").alias("_first"))
+    if other_group:
+        per = materialise(per)
+        hashes = per.groupBy(hash_col).agg(F.sum("n").alias("n"), F.min("_first").alias("_first"))
+    else:
+        hashes = per.drop(group)
     points = with_lanes(number_rows(hashes, ["_first"], "id"), hash_col).drop("_first")
+    if not other_group:
+        per = points.select(hash_col, F.lit(0).alias(group), "n")
 
     # --- who is a core row: neighbours counted with their copies ---------------------------
     slim = points.select("id", "n", "hi", "lo")
-    dense = candidate_pairs(slim, max_bits) > dense_pairs_per_hash * slim.count()
-    pairs = near_pairs(slim, None, max_bits).select("a_id", "a_n", "b_id", "b_n")
+    size, candidates = candidate_pairs(slim, max_bits)
+    dense = candidates > dense_pairs_per_hash * size
+    pairs = near_pairs(slim, None, max_bits, candidates=candidates).select(
+        "a_id", "a_n", "b_id", "b_n")
     # a sparse neighbourhood is stored; a dense one is joined anew instead of being written out
     pairs = pairs if dense else materialise(pairs)
     both = pairs.select(F.explode(F.array(
@@ -149,7 +156,7 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
 
         def neighbour_min(labels: DataFrame) -> DataFrame:
             marked = materialise(lanes.join(nodes, "id").join(labels, "id"))
-            near = near_pairs(marked, None, max_bits).where(
+            near = near_pairs(marked, None, max_bits, candidates=candidates).where(
                 (F.col("a_label") != F.col("b_label")) & reachable("a_lone", "b_lone"))
             return near.select(F.explode(F.array(
                 F.struct(F.col("a_id").alias("id"), F.col("b_label").alias("label")),
@@ -183,7 +190,6 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
         hash_col, group, "label")
     verdict = cores.join(core_labels.unionByName(border), [hash_col, group], "left").select(
         hash_col, group, F.coalesce("label", F.lit(-1)).cast("long").alias("label"), "is_core")
-    verdict = materialise(verdict)
     if other_group:
         return df.join(verdict, [hash_col, group])
     return df.join(verdict.drop("_all"), hash_col)

@@ -124,19 +124,23 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], max_bits: int,
     return a.join(b, cond & (bits <= max_bits)).withColumn("bits", bits.cast("int"))
 
 
-def candidate_pairs(points: DataFrame, max_bits: int) -> float:
-    """How many pairs of ``points`` share a band: an upper bound of what a self-join compares."""
-    sizes = _level_one(points.select("hi", "lo"), _Paths(max_bits + 1)).groupBy(*_KEY).count()
-    return sizes.agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0
+def candidate_pairs(points: DataFrame, max_bits: int) -> tuple[int, float]:
+    """Number of points, and of pairs that share a band: a bound of what a self-join compares."""
+    n = max_bits + 1
+    sizes = _level_one(points.select("hi", "lo"), _Paths(n)).groupBy(*_KEY).count()
+    row = sizes.agg(F.sum("count").alias("rows"), F.sum(
+        F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).first()
+    return (row["rows"] or 0) // n, row["pairs"] or 0.0
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
-               limit: int = BUCKET_LIMIT) -> DataFrame:
+               limit: int = BUCKET_LIMIT, candidates: float | None = None) -> DataFrame:
     """All pairs of rows of ``left`` and ``right`` within ``max_bits``.
 
     Both sides hold one row per hash (columns ``hi``, ``lo`` and any others). With
     ``right=None`` the pairs are those inside ``left``, each once. Output: every input column
-    with prefix ``a_`` or ``b_``, and ``bits``.
+    with prefix ``a_`` or ``b_``, and ``bits``. ``candidates`` is the number of pairs that share
+    a band, where the caller knows it already.
     """
     same = right is None
     n = max_bits + 1
@@ -150,10 +154,12 @@ def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
         first = first_shared_band("a_hi", "a_lo", "b_hi", "b_lo", band_masks(n))
         return found.where(first == F.col("a__path"))
 
-    size_l = left.count()
-    size_r = size_l if same else right.count()
+    if candidates is None:
+        size_l = left.count()
+        candidates = size_l * (size_l if same else right.count()) / 2
     heavy = None
-    if size_l * size_r > limit * limit:
+    # no bucket can be heavy while all of them together hold fewer pairs
+    if 2 * candidates > limit * limit:
         heavy = _heavy(l1, None if same else r1, limit)
         heavy = materialise(heavy)
         heavy = None if heavy.isEmpty() else heavy
