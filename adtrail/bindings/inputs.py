@@ -342,9 +342,10 @@ def browser_events(spark: SparkSession, sf: str) -> DataFrame:
     }
     fields = F.create_map(*[x for n, c in pairs.items() for x in (F.lit(n), c)])
     empty = F.create_map().cast("map<string,string>")
-    return e.select(F.col("user_id").cast("string").alias("log_id"),
-                    F.col("event_id").alias("seq"), header.alias("header"),
-                    fields.alias("fields"), empty.alias("args"), empty.alias("attrs"))
+    return materialise(e.select(
+        F.col("user_id").cast("string").alias("log_id"), F.col("event_id").alias("seq"),
+        header.alias("header"), fields.alias("fields"), empty.alias("args"),
+        empty.alias("attrs")))
 
 
 # spans of scripts per (user, frame) by running sums, as an oracle for the stack

@@ -448,14 +448,15 @@ def redirect_chains(edges: DataFrame, targets: DataFrame, limit: int | None = fi
     done = []
     while True:
         for _ in range(hops_per_round):
-            looped = F.exists("chain", lambda h: h == hop)
-            walked = live.join(step, "at", "left")
-            open_ = F.col("at").isNotNull()
+            # a column of its own: inside a lambda, "key" could mean the new key selected below
+            walked = live.join(step, "at", "left").withColumn(
+                "looped", F.coalesce(F.exists("chain", lambda h: h == hop), F.lit(False)))
+            open_, looped = F.col("at").isNotNull(), F.col("looped")
             grown = F.concat("chain", F.array(hop))
             full = F.lit(False) if limit is None else F.size(grown) >= limit
             home = (F.col("src.kind") == "URL") & F.col("src.value").eqNullSafe(F.col("load_url"))
             stop = looped | full | home
-            moves = open_ & ~F.coalesce(looped, F.lit(False))
+            moves = open_ & ~looped
             live = walked.select(
                 "log_id", "ad_url", "load_url",
                 F.when(open_ & ~F.coalesce(stop, F.lit(False)), F.col("next")).alias("at"),

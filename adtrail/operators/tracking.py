@@ -175,9 +175,8 @@ def dedupe_agents(attempts: DataFrame, preference: Sequence[str] = fixed.AGENT_P
     of agents per distinct value, so no set is ever collected.
     """
     ranks = {a: i for i, a in enumerate(preference)}
-    rank = F.coalesce(*[F.when(F.col("agent") == a, i) for a, i in ranks.items()])
-    known = attempts.withColumn("_r", rank).where("_r is not null")
-    bit = F.shiftleft(F.lit(1), F.col("_r"))
+    bit = F.coalesce(*[F.when(F.col("agent") == a, 1 << i) for a, i in ranks.items()])
+    known = attempts.where(F.col("agent").isin(*preference))
     pairs = list(combinations(range(len(preference)), 2))
 
     def has(mask: str, r: int) -> Column:
