@@ -265,7 +265,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     doc = k + F.when(k % 4 == 0, 100 * (user % 2)).otherwise(0)
     hashes = document_hashes(spark, sf).select(F.col("doc_id").alias("_doc"), "screenshot_hash")
     blank = (F.col("event_type") == "error") & (user % 10 == 0)
-    return e.select(
+    return materialise(e.select(
         "event_id", agent.alias("agent"), url.alias("url"), loaded.alias("loaded_url"),
         doc.alias("_doc"), blank.alias("_blank"), F.col("value").alias("total_time"),
         F.when(F.col("event_type") == "purchase", "True").otherwise("False")
@@ -273,7 +273,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(agent, F.lit(":"), F.url_encode(url)).alias("job_name"),
     ).join(hashes, "_doc").withColumn(
         "image_hash", F.when(F.col("_blank"), "0" * 32).otherwise(F.col("screenshot_hash"))
-    ).drop("_doc", "_blank", "screenshot_hash")
+    ).drop("_doc", "_blank", "screenshot_hash"))
 
 
 ATTEMPTS = DOC_HASHES + ", " + EVENTS + """, at0 AS (SELECT event_id, k,

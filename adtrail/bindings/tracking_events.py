@@ -280,7 +280,7 @@ def _funnel(spark, sf):
         F.lit("http://m"), F.col("n_nationkey").cast("string"), F.lit("-feed.com/go?x="),
         F.col("n_nationkey").cast("string")).alias("url"))
     expected = jobs.minus(att.select("agent", "url").distinct(), skipped, ["url"])
-    return tracking.milking_funnel(att, I.sources(spark, sf), expected)
+    return (att, *tracking.milking_funnel(att, I.sources(spark, sf), expected))
 
 
 @query("milking_funnel", f"""WITH {_FUNNEL}
@@ -291,22 +291,20 @@ UNION ALL SELECT 3, 'expected', count(*) FROM listed
 UNION ALL SELECT 4, 'not_upstream', count(*) FROM todo
 UNION ALL SELECT 5, 'distinct_agent', count(*) FROM distinct_agents""")
 def milking_funnel(spark, sf):
-    return _funnel(spark, sf)[2]
+    return _funnel(spark, sf)[3]
 
 
 @query("milk_sources", f"""WITH {_FUNNEL}, up AS (SELECT agent, url FROM matched
-    ANTI JOIN todo USING (agent, url)), both AS (
+    ANTI JOIN todo USING (agent, url)), allrows AS (
     SELECT *, 'MILKING' AS category FROM att SEMI JOIN distinct_agents USING (agent, url)
     UNION ALL SELECT *, 'UPSTREAM' FROM att SEMI JOIN up USING (agent, url)),
-  names AS (SELECT DISTINCT agent, url, category, agent || ':' || url_encode(url) AS job_name FROM both),
-  hashes AS (SELECT DISTINCT agent, url, category, image_hash FROM both
+  names AS (SELECT DISTINCT agent, url, category, agent || ':' || url_encode(url) AS job_name FROM allrows),
+  hashes AS (SELECT DISTINCT agent, url, category, image_hash FROM allrows
     WHERE image_hash <> repeat('0', 32))
 SELECT job_name, image_hash, category FROM names LEFT JOIN hashes USING (agent, url, category)""")
 def milk_sources(spark, sf):
-    att = I.attempts(spark, sf)
-    kept, upstream, _ = _funnel(spark, sf)
-    return tracking.milk_sources(att.join(kept, ["agent", "url"], "left_semi"),
-                                 att.join(upstream, ["agent", "url"], "left_semi"))
+    att, kept, upstream, _ = _funnel(spark, sf)
+    return tracking.milk_sources(att, kept, upstream)
 
 
 @query("job_time", """SELECT sum(value::DECIMAL(18,2))::DOUBLE AS total, count(*) AS jobs,

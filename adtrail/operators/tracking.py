@@ -233,7 +233,7 @@ def milking_funnel(attempts: DataFrame, sources: dict[str, DataFrame],
         listed.withColumn("upstream_domain", site), sources["upstream_domains"].toDF(
             "upstream_domain"), ["upstream_domain"])
     rest = materialise(rest.select(*JOB))
-    upstream = other.select(*JOB).unionByName(up.select(*JOB))
+    upstream = materialise(other.select(*JOB).unionByName(up.select(*JOB)))
     kept = materialise(dedupe_agents(attempts.join(rest, JOB, "left_semi"), preference))
 
     def stage(i: int, name: str, df: DataFrame) -> DataFrame:
@@ -249,18 +249,21 @@ def milking_funnel(attempts: DataFrame, sources: dict[str, DataFrame],
     return kept.select(*JOB), upstream, counts
 
 
-def milk_sources(kept: DataFrame, upstream: DataFrame) -> DataFrame:
+def milk_sources(attempts: DataFrame, kept: DataFrame, upstream: DataFrame) -> DataFrame:
     """Source lines to poll: ``(job_name, image_hash, category)``, one row per non-blank hash.
 
-    Both inputs are attempts. The job name is the first one of the job; blank pages only keep
-    the job itself (NULL hash) when it has no other hash.
+    ``kept`` and ``upstream`` are (agent, url) jobs; the attempts are read once. The job name is
+    the first one of the job; a job that saw blank pages only keeps one row with a NULL hash.
     """
-    both = kept.withColumn("category", F.lit("MILKING")).unionByName(
-        upstream.withColumn("category", F.lit("UPSTREAM")))
-    names = both.groupBy(*JOB, "category").agg(F.min("job_name").alias("job_name"))
-    hashes = both.where(F.col("image_hash") != fixed.ZERO_HASH).select(
-        *JOB, "category", "image_hash").distinct()
-    return names.join(hashes, [*JOB, "category"], "left").select(
+    listed = materialise(kept.select(*JOB, F.lit("MILKING").alias("category")).unionByName(
+        upstream.select(*JOB, F.lit("UPSTREAM").alias("category"))))
+    hash_ = F.when(F.col("image_hash") != fixed.ZERO_HASH, F.col("image_hash"))
+    seen = attempts.join(listed, JOB).groupBy(*JOB, "category", hash_.alias("image_hash")).agg(
+        F.min("job_name").alias("job_name"))
+    named = seen.groupBy(*JOB, "category").agg(F.min("job_name").alias("job_name"),
+                                               F.count("image_hash").alias("_hashes"))
+    rows = seen.drop("job_name").join(named, [*JOB, "category"])
+    return rows.where(F.col("image_hash").isNotNull() | (F.col("_hashes") == 0)).select(
         "job_name", "image_hash", "category")
 
 

@@ -102,7 +102,7 @@ class OrderedGroups:
         tagged = self._with(self.df.withColumn("_v", value))
         df = tagged._carry(F.sum("_v"), F.sum("_of"), ())
         return self._with(df.withColumn("_l", F.sum("_v").over(frame)).withColumn(
-            out, F.col("_l") + F.coalesce("_in", F.lit(0))).drop("_l", "_in", "_v"))
+            out, F.coalesce(F.col("_l") + F.col("_in"), "_l", "_in")).drop("_l", "_in", "_v"))
 
     def running_min(self, value: Column, out: str, before: bool = False) -> "OrderedGroups":
         frame = self._window(()).rowsBetween(Window.unboundedPreceding,
