@@ -113,4 +113,6 @@ def run_available(stream: DataFrame, mode: str = "append", finish: Callable | No
     query = stream.writeStream.foreachBatch(replace).outputMode(mode).option(
         "checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
+    if "n" not in last:
+        return spark.createDataFrame([], shape(stream).schema)
     return spark.read.parquet(f"{out}/batch={last['n']}")
