@@ -6,7 +6,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from adtrail import fixed, schemas
 from adtrail.functions import urls
@@ -191,7 +191,7 @@ def _shrink(data: bytes, width: int, height: int, channels: int, side: int) -> l
             for r in range(side) for c in range(side)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def grey_grid(data: pd.Series, width: pd.Series, height: pd.Series,
               channels: pd.Series) -> pd.Series:
     """9x9 grey grid of decoded images, one Arrow batch at a time."""
