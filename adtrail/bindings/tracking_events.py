@@ -10,7 +10,7 @@ from adtrail.bindings.inputs import shown, shown_sql, table
 from adtrail.bindings.registry import query
 from adtrail.functions import fields as fx, urls
 from adtrail.operators import chains, elements, jobs, records, reputation, tracking
-from adtrail.plans.cut import materialise, scratch_path
+from adtrail.plans.cut import materialise, scratch_path, spread
 from adtrail.plans.groups import ordered
 from adtrail.sources import files, logs
 from adtrail.streaming import streams
@@ -405,7 +405,7 @@ def _session_lines(spark, sf):
     kind = F.col("event_type")
     line = F.when(kind == "click", F.concat(F.lit("t:3rd party page URL: http://l"), k, F.lit(".example.com/"))) \
         .when(kind == "view", F.concat(F.lit("t:Screenshot: of URL /s/shot"), k, F.lit(".png"))) \
-        .when(kind == "signup", F.concat(F.lit("JSGraph log file: log"), k, F.lit(".txt"))) \
+        .when(kind == "signup", F.concat(F.lit(fixed.EVENT_LOG_MARKER + "log"), k, F.lit(".txt"))) \
         .when(kind == "purchase", F.lit("Downloaded a file: x")) \
         .otherwise(F.concat(F.lit("Home URL: http://h"), k, F.lit(".example.com/")))
     return I.events(spark, sf).select(
@@ -447,7 +447,7 @@ def _record_text(spark, sf):
     """Event records as text, in the form the browser writes them."""
     k = F.col("k").cast("string")
     p = fixed.RECORD_PREFIX
-    return I.events(spark, sf).select(
+    return spread(I.events(spark, sf)).select(
         F.col("user_id").cast("string").alias("log_id"), F.col("event_id").alias("seq"),
         F.concat(F.lit("\nLOG::Page::"), "event_type", F.lit(" :\n"),
                  F.lit(f"{p}frame="), k, F.lit(f"\n{p}note\n{p}frame=f"), k,
@@ -490,7 +490,7 @@ def downloads(spark, sf):
                     F.lit("\n  url=http://a"), k, F.lit(".example.com/\n  url=http://b.example.com/"),
                     F.lit("\n  total_bytes="), (F.col("k") * 10).cast("string"),
                     F.lit("\n  has_user_gesture="), (F.col("k") % 2).cast("string"), F.lit("\n"))
-    rows = I.events(spark, sf).select(F.col("user_id").cast("string").alias("log_id"),
+    rows = spread(I.events(spark, sf)).select(F.col("user_id").cast("string").alias("log_id"),
                                       F.col("event_id").alias("seq"), text.alias("value"))
     return records.downloads(logs.parse_records(rows, dialect="v1")).select(
         "seq", "guid", "total_bytes", "has_user_gesture", F.array_join("urls", " ").alias("urls"))
@@ -503,7 +503,7 @@ def bridge_calls(spark, sf):
     text = F.concat(F.lit("LOG::Forensics::GinJavaBridgeDispatcherHost::OnInvokeMethod :"),
                     F.lit("\n  routing_id=1\n  object_id="), k, F.lit("\n  method_name="),
                     "event_type", F.lit('\n  method_args=::JSON::["'), k, F.lit('"]::JSON::\n'))
-    rows = I.events(spark, sf).select(F.col("user_id").cast("string").alias("log_id"),
+    rows = spread(I.events(spark, sf)).select(F.col("user_id").cast("string").alias("log_id"),
                                       F.col("event_id").alias("seq"), text.alias("value"))
     return records.bridge_calls(logs.parse_records(rows, dialect="v1")).select(
         "seq", "call", "object_id", "method_name", "method_args")
@@ -528,8 +528,8 @@ def frame_roots(spark, sf):
 @query("current_runner", f"""WITH {I.BROWSER} SELECT user_id::VARCHAR AS log_id, seq,
   run_frame, run_url FROM be LEFT JOIN runner USING (user_id, seq) WHERE t = 'click'""")
 def current_runner(spark, sf):
-    ev = records.route_events(I.browser_events(spark, sf)).withColumn(
-        "root", records.field("frame"))
+    ev = materialise(records.route_events(I.browser_events(spark, sf)).withColumn(
+        "root", records.field("frame")))
     marks = chains.span_marks(ev).withColumn("root", F.col("frame"))
     asked = ev.where("route in ('js_navigation', 'set_attribute')").select(
         "log_id", "seq", F.array(records.field("frame"), records.field("main_frame"))

@@ -139,11 +139,17 @@ def write_dict(df: DataFrame, key: str, value: str, path: str) -> None:
     df.select(F.col(key).alias("key"), F.col(value).alias("value")).write.parquet(path)
 
 
-def dict_json(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One JSON object per key, ``{"key": [values]}``; for a report, not for large groups."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v")).select(
-        F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array("v")))
-        .alias("value"))
+def dict_json(df: DataFrame, key: str, value: str, per_line: int = 1000) -> DataFrame:
+    """Dictionary of value sets as JSON lines ``{"key": [values]}``.
+
+    A key with more than about ``per_line`` values is spread over several lines, so no line and
+    no task holds a whole large group; `parse_dict` puts them together again.
+    """
+    pairs = df.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v")).distinct()
+    sizes = pairs.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / per_line).alias("lines"))
+    parts = pairs.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("v"), F.col("lines")))
+    return parts.groupBy("k", "part").agg(F.array_sort(F.collect_list("v")).alias("v")).select(
+        F.to_json(F.map_from_arrays(F.array("k"), F.array("v"))).alias("value"))
 
 
 def read_table(spark: SparkSession, name: str, folder: str | None = None,

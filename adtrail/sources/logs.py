@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from adtrail import fixed
-
-_FIELD = "struct<key:string,value:string>"
+from adtrail.functions.cols import let
+from adtrail.plans.cut import materialise
 
 
 def log_name(path: Column) -> Column:
@@ -15,42 +15,89 @@ def log_name(path: Column) -> Column:
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session logs (a few thousand lines each) as ``(log_id, line_no, line)``, from line 1."""
-    text = spark.read.text(path, wholetext=True).select(
-        log_name(F.col("_metadata.file_path")).alias("log_id"), "value")
-    return text.select("log_id", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).select(
-        "log_id", (F.col("n") + 1).cast("bigint").alias("line_no"), "line")
+    """Session logs as ``(log_id, line_no, line)``, lines numbered from 1 in each file.
+
+    Files are split like any text input. A line's number is its place in its block plus the
+    lines of the blocks before it in the file, which needs one row per block.
+    """
+    lines = materialise(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
+    blocks = lines.groupBy("_file", "_block").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", (
+        F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    return lines.join(offsets, ["_file", "_block"]).select(
+        log_name(F.col("_file")).alias("log_id"),
+        (F.col("_at") + F.col("_add")).alias("line_no"), "line")
+
+
+_SPACE = " \t\r\n"
 
 
 def _key_value(text: Column) -> Column:
     at = F.instr(text, "=")
     return F.struct(F.trim(F.substring(text, F.lit(1), at - 1)).alias("key"),
-                    F.regexp_replace(F.substring(text, at + 1, F.length(text)),
-                                     r"(?s)^\s+|\s+$", "").alias("value"))
+                    F.trim(F.substring(text, at + 1, F.length(text)), F.lit(_SPACE))
+                    .alias("value"))
 
 
 def _last_wins(pairs: Column) -> Column:
     """Map of key/value structs in which a repeated key keeps its last value."""
-    size = F.size(pairs)
-    kept = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.greatest(size - i - 1, F.lit(0))),
-        lambda later: later["key"] == p["key"]))
-    return F.map_from_entries(kept)
+    def build(p: Column) -> Column:
+        n = F.size(p)
+        unique = F.size(F.array_distinct(F.transform(p, lambda x: x["key"]))) == n
+        kept = F.filter(p, lambda x, i: ~F.exists(
+            F.slice(p, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
+        return F.map_from_entries(F.when(unique, p).otherwise(kept))
+
+    return let(pairs, build)
 
 
 def _named_values(lines: Column, name: str, value: str, unquote: bool) -> Column:
     """Fold ``<name>=k`` / ``<value>=v`` lines into key/value structs."""
     def text(x: Column) -> Column:
-        return F.regexp_replace(x, '^"+|"+$', "") if unquote else x
+        return F.trim(x, F.lit('"')) if unquote else x
+
+    def build(some: Column) -> Column:
+        # the pending name is the last one above the value
+        paired = F.transform(some, lambda x, i: F.struct(
+            text(F.try_element_at(F.filter(F.slice(some, F.lit(1), i), lambda y: y["key"] == name),
+                                  F.lit(-1))["value"]).alias("key"),
+            text(x["value"]).alias("value"), x["key"].alias("kind")))
+        return F.transform(F.filter(paired, lambda x: x["kind"] == value),
+                           lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+
+    return let(F.filter(lines, lambda x: x["key"].isin(name, value)), build)
+
+
+def _record(parts: Column) -> Column:
+    """Header, maps and flags of one record, given its header line and ``key=value`` texts."""
+    def is_multi(x: Column) -> Column:
+        return x["key"].isin(*fixed.MULTI_LINE_FIELDS)
+
+    def build(raw: Column) -> Column:
+        lines = F.transform(raw, lambda x: F.struct(
+            x["key"].alias("key"),
+            F.when(is_multi(x), x["value"]).otherwise(
+                F.trim(F.substring_index(x["value"], "\n", 1), F.lit(_SPACE))).alias("value")))
+        spilled = F.exists(raw, lambda x: ~is_multi(x) & x["value"].contains("\n"))
+        return let(lines, lambda ls: let(
+            F.filter(ls, lambda x: ~x["key"].isin(*_PAIRED)), lambda plain: F.struct(
+                _last_wins(plain).alias("fields"),
+                _last_wins(_named_values(ls, "arg_name", "arg_value", False)).alias("args"),
+                _last_wins(_named_values(ls, "attr_name", "attr_value", True)).alias("attrs"),
+                ls.alias("lines"), (spilled | (F.size(plain) == 0)).alias("malformed"))))
+
+    return let(F.transform(F.filter(F.slice(parts, 2, 1 << 30), lambda x: x.contains("=")),
+                           _key_value), build)
+
 
-    n = F.size(lines)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["key"].alias("key"),
-                                                        x["value"].alias("value")))
-    values = F.filter(numbered, lambda x: x["key"] == value)
-    return F.transform(values, lambda x: F.struct(
-        text(F.try_element_at(F.filter(F.slice(lines, F.lit(1), F.least(x["i"], n)),
-                                       lambda y: y["key"] == name), F.lit(-1))["value"])
-        .alias("key"), text(x["value"]).alias("value")))
+_PAIRED = ("arg_name", "arg_value", "attr_name", "attr_value")
+_CUT = {"v2": r"\r?\n  -\*#\$", "v1": r"\r?\n  "}
 
 
 def parse_records(df: DataFrame, text: str = "value", dialect: str = "v2") -> DataFrame:
@@ -61,38 +108,14 @@ def parse_records(df: DataFrame, text: str = "value", dialect: str = "v2") -> Da
     ``=`` is ignored and a repeated key keeps its last value. ``malformed`` marks records with a
     continuation line elsewhere, or without any ordinary field, which the pipeline rejects.
     """
-    if dialect == "v2":
-        cut = r"\r?\n  -\*#\$"
-    elif dialect == "v1":
-        cut = r"\r?\n  "
-    else:
-        raise ValueError(dialect)
     start = F.instr(text, fixed.RECORD_START)
     body = F.substring(F.col(text), start, F.length(text))
-    parts = df.where(start > 0).withColumn("_p", F.split(body, cut))
-    multi = F.col("_x.key").isin(*fixed.MULTI_LINE_FIELDS)
-    pairs = parts.withColumns({
-        "header": F.trim(F.regexp_extract(F.col("_p")[0], r"(?s)^([^\r\n]*)", 1)),
-        "_l": F.transform(F.filter(F.slice("_p", 2, 1 << 30), lambda x: x.contains("=")),
-                          lambda x: _key_value(x)),
-    })
-
-    def first_line(x: Column) -> Column:
-        return F.when(x["key"].isin(*fixed.MULTI_LINE_FIELDS), x["value"]).otherwise(
-            F.regexp_extract(x["value"], r"^([^\r\n]*)", 1))
-
-    special = ("arg_name", "arg_value", "attr_name", "attr_value")
-    lines = pairs.withColumn("lines", F.transform("_l", lambda x: F.struct(
-        x["key"].alias("key"), F.trim(first_line(x)).alias("value"))))
-    plain = F.filter("lines", lambda x: ~x["key"].isin(*special))
-    spilled = F.exists("_l", lambda x: x["value"].contains("\n")
-                       & ~x["key"].isin(*fixed.MULTI_LINE_FIELDS))
-    return lines.withColumns({
-        "fields": _last_wins(plain),
-        "args": _last_wins(_named_values(F.col("lines"), "arg_name", "arg_value", False)),
-        "attrs": _last_wins(_named_values(F.col("lines"), "attr_name", "attr_value", True)),
-        "malformed": spilled | (F.size(plain) == 0),
-    }).drop("_p", "_l", text)
+    others = [c for c in df.columns if c != text]
+    parts = df.where(start > 0).select(*others, F.split(body, _CUT[dialect]).alias("_p"))
+    parsed = parts.select(*others, F.trim(F.substring_index(F.col("_p")[0], "\n", 1),
+                                          F.lit(_SPACE)).alias("header"),
+                          _record(F.col("_p")).alias("_r"))
+    return parsed.select(*others, "header", "_r.*")
 
 
 def read_event_log(spark: SparkSession, path: str, dialect: str = "v2") -> DataFrame:

@@ -253,10 +253,10 @@ def test_url_chains_end_on_cycles(spark):
 
 def test_session_logs(spark, tmp_path):
     (tmp_path / "s9.log").write_text("\n".join([
-        "t:Screenshot: of URL /h/home.png", "t JSGraph log file: one.txt",
+        "t:Screenshot: of URL /h/home.png", f"t {fixed.EVENT_LOG_MARKER}one.txt",
         "t:3rd party page URL: http://a/", "html", "t:Screenshot: /x/a.png",
         "t:3rd party page URL: http://b/", "t:Screenshot: /x/b.png",
-        "t JSGraph log file: two.txt", "t:3rd party page URL: http://c/", "html",
+        f"t {fixed.EVENT_LOG_MARKER}two.txt", "t:3rd party page URL: http://c/", "html",
         "t:Screenshot: /x/c.png", "Home URL: http://h1/", "Home URL: http://h2/",
         "The screenshot of loaded home page /x/home.png", "Downloaded a file: f"]))
     lines = logs.read_sessions(spark, str(tmp_path))

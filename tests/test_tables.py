@@ -185,7 +185,7 @@ def test_popularity_and_ranks(spark):
 
 # --- files ---------------------------------------------------------------------------------
 def test_ads_round_trip(spark, tmp_path):
-    line = ('{"log_id":"s1","screenshot":"a.png","screenshot_hash":"' + near(5) + '","jsgraph_log":"l",'
+    line = ('{"log_id":"s1","screenshot":"a.png","screenshot_hash":"' + near(5) + '","' + fixed.AD_LOG_FIELD + '":"l",'
             '"redirections":[[["0x1","URL","http://a.example.com/[x]"],"JS Navigation"],'
             '[["0x1","event_listener",["t:1 \\"q\\"","click"]],"FIRST"]],"home_url":"h","ad_url":"u"}\n')
     (tmp_path / "in").mkdir()
@@ -230,6 +230,9 @@ def test_dicts_results_and_splits(spark, tmp_path):
     read = files.read_job_results(spark, str(tmp_path / "r"))
     assert read.count() == 4 and read.agg(F.sum("total_time")).first()[0] == 3.0
     assert {p for p in os.listdir(tmp_path / "r") if "=" in p} == {"ip_type=res", "ip_type=non"}
+    big = spark.range(50).select(F.lit("k").alias("k"), F.col("id").alias("v"))
+    lines = files.dict_json(big, "k", "v", per_line=10)
+    assert lines.count() > 1 and files.parse_dict(lines, "array<int>").distinct().count() == 50
     parts = files.split_round_robin(spark.range(10), 3, ["id"]).orderBy("id").collect()
     assert [r.part for r in parts] == [i % 3 for i in range(10)]
     files.write_table(pairs, "t", folder=str(tmp_path))
