@@ -115,17 +115,31 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
     # --- who is a core row: neighbours counted with their copies ---------------------------
     slim = points.select("id", "n", "hi", "lo")
     size, candidates = candidate_pairs(slim, max_bits)
-    dense = candidates > dense_pairs_per_hash * size
+    bound = dense_pairs_per_hash * size
     pairs = near_pairs(slim, None, max_bits, candidates=candidates).select(
         "a_id", "a_n", "b_id", "b_n")
-    # a sparse neighbourhood is stored; a dense one is joined anew instead of being written out
+
+    def both_ways(p: DataFrame) -> DataFrame:
+        return p.select(F.explode(F.array(
+            F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("nbr"),
+                     F.col("b_n").alias("n")),
+            F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("nbr"),
+                     F.col("a_n").alias("n")))).alias("e")).select("e.*")
+
+    def degrees(both: DataFrame) -> DataFrame:
+        return both.groupBy("id").agg(F.sum("n").alias("around"),
+                                      F.count(F.lit(1)).alias("links"))
+
+    # pairs are stored when they are few: known at once from the shared bands, or else from the
+    # degrees; a dense neighbourhood is joined anew each time instead of being written out
+    around = None
+    dense = candidates > bound
+    if dense:
+        around = materialise(degrees(both_ways(pairs)))
+        dense = (around.agg(F.sum("links")).first()[0] or 0) > bound
     pairs = pairs if dense else materialise(pairs)
-    both = pairs.select(F.explode(F.array(
-        F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("nbr"), F.col("b_n").alias("n")),
-        F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("nbr"), F.col("a_n").alias("n")),
-    )).alias("e")).select("e.*")
-    around = both.groupBy("id").agg(F.sum("n").alias("around"))
-    around = materialise(around) if dense else around
+    both = both_ways(pairs)
+    around = degrees(both) if around is None else around
     edges = both.select("id", "nbr")
 
     ids = points.select(hash_col, "id", F.col("n").alias("copies"))

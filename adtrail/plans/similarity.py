@@ -5,7 +5,7 @@ so a theta join becomes an equi-join on (band, value) with an exact distance che
 reported only in the first band it shares, so no ``distinct`` is needed.
 
 A bucket with too many candidate pairs is split again by ``k + 1`` bands over the bits that the
-bucket has not fixed yet, and so on; what is still large after ``LEVELS`` rounds is spread over a
+bucket has not fixed yet, and so on; what is still large after the last round is spread over a
 grid of cells in which every pair of rows meets once. Nothing is capped or left out.
 """
 
@@ -19,7 +19,7 @@ from adtrail.functions.bits import HASH_BITS, _signed, band_masks, distance, fir
 from adtrail.plans.cut import materialise
 
 BUCKET_LIMIT = 8192
-LEVELS = 3
+MAX_PATHS = 50_000    # size of the mask table: seven bands allow five rounds, fourteen four
 _KEY = ["_path", "_kh", "_kl"]
 
 
@@ -167,7 +167,9 @@ def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
         found = simple(l1, r1)
     else:
         parts, a, b = [], l1, r1
-        for level in range(1, LEVELS):
+        level = 0
+        while not heavy.isEmpty() and n ** (level + 2) <= MAX_PATHS:
+            level += 1
             key = heavy.select(*_KEY)
             parts.append(_join(a.join(key, _KEY, "left_anti"), b.join(key, _KEY, "left_anti"),
                                _KEY, max_bits, same))
@@ -175,8 +177,12 @@ def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
             b = a if same else materialise(
                 _next_level(b.join(key, _KEY, "left_semi"), paths, level))
             heavy = materialise(_heavy(a, None if same else b, limit))
-        parts.append(_join(_grid(a, heavy, limit, "a"), _grid(b, heavy, limit, "b"),
-                           [*_KEY, "_i", "_j"], max_bits, same).drop("a__i", "a__j", "b__i", "b__j"))
+        if heavy.isEmpty():
+            parts.append(_join(a, b, _KEY, max_bits, same))
+        else:
+            cells = _join(_grid(a, heavy, limit, "a"), _grid(b, heavy, limit, "b"),
+                          [*_KEY, "_i", "_j"], max_bits, same)
+            parts.append(cells.drop("a__i", "a__j", "b__i", "b__j"))
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)

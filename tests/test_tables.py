@@ -3,7 +3,9 @@
 import itertools
 import os
 import random
+import struct
 import time
+import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -212,8 +214,28 @@ def test_downloads_are_keyed_by_content(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in quiet] == ["a.bin"]
 
 
-def test_screenshots_are_shrunk_and_hashed(spark, tmp_path):
-    """A binary PPM-free check: the grid of a plain image is flat, a ramp's is not."""
+def png(path, rows):
+    """Write 8-bit grey rows as a PNG file."""
+    def chunk(kind, data):
+        body = kind + data
+        return struct.pack(">I", len(data)) + body + struct.pack(">I", zlib.crc32(body))
+    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
+    data = zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", data)
+                     + chunk(b"IEND", b""))
+
+
+def test_screenshots_are_read_and_hashed(spark, tmp_path):
+    png(tmp_path / "ramp.png", [[x * 5 for x in range(45)] for _ in range(30)])
+    png(tmp_path / "plain.png", [[7] * 20 for _ in range(20)])
+    png(tmp_path / "down.png", [[y * 10] * 18 for y in range(18)])
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    got = {r.screenshot: r.screenshot_hash for r in files.read_screenshots(spark, str(tmp_path)).collect()}
+    assert got == {"ramp.png": "f" * 16 + "0" * 16, "plain.png": fixed.ZERO_HASH,
+                   "down.png": "0" * 16 + "f" * 16}
+
+
+def test_images_are_shrunk_by_area_means():
     grid = files._shrink(bytes(range(0, 180, 10)) * 18, 18, 18, 1, 9)
     assert len(grid) == 81 and grid[0] == 5.0 and grid[8] == 165.0
     colour = files._shrink(bytes([10, 20, 30]) * 100, 10, 10, 3, 9)
