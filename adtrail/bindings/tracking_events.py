@@ -741,7 +741,7 @@ def publisher_coverage(spark, sf):
         .alias("total_time"), "event_type")
     out = jobs.publisher_coverage(e.where("event_type = 'click'"), e.where("event_type <> 'click'"))
     totals = e.agg((F.sum("total_time") / 100.0).alias("s"), F.count("total_time").alias("c"))
-    return out.drop("mean_time").join(totals.select((F.col("s") / F.col("c")).alias("mean_time")))
+    return out.withColumn("mean_time", totals.select(F.col("s") / F.col("c")).scalar())
 
 
 # --- elements ------------------------------------------------------------------------------

@@ -99,9 +99,10 @@ def campaign_table(members: DataFrame, campaign_map: DataFrame, all_ads: DataFra
     cols = ["category", "attacks", "landing_domains", "clusters", "flagged_clusters", "publishers"]
     sums = table.agg(F.sum("attacks").alias("attacks"), F.sum("clusters").alias("clusters"),
                      F.sum("flagged_clusters").alias("flagged_clusters"))
-    everywhere = landing.agg(F.count_distinct("landing").alias("landing_domains")).join(
-        all_publishers.agg(F.count_distinct("value").alias("publishers")))
-    total = sums.join(everywhere).withColumn("category", F.lit("total"))
+    total = sums.withColumns({
+        "category": F.lit("total"),
+        "landing_domains": landing.agg(F.count_distinct("landing")).scalar(),
+        "publishers": all_publishers.agg(F.count_distinct("value")).scalar()})
     return table.select(*cols).unionByName(total.select(*cols))
 
 
@@ -127,9 +128,9 @@ def category_share(publishers: DataFrame, categories: DataFrame, domain: str = "
     """
     counts = publishers.select(domain).join(categories, domain).where(
         F.col("name") != ignore).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    share = counts.join(F.broadcast(total)).select(
-        "name", "n", F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("percent"))
+    total = counts.agg(F.sum("n")).scalar()
+    share = counts.select(
+        "name", "n", F.round(F.col("n") * 100.0 / total, 2).alias("percent"))
     ranked = share.orderBy(F.desc("n"), "name")
     return ranked.limit(top) if top else ranked
 
@@ -165,7 +166,7 @@ def curation_gaps(members: DataFrame, campaign_map: DataFrame) -> tuple[DataFram
     labels = members.select("label").distinct()
     mapped = campaign_map.select("label").distinct()
     missing = labels.join(mapped, "label", "left_anti")
-    counts = labels.agg(F.count(F.lit(1)).alias("clusters")).join(
-        mapped.agg(F.count(F.lit(1)).alias("mapped"))).join(
-        missing.agg(F.count(F.lit(1)).alias("missing")))
+    n = F.count(F.lit(1))
+    counts = labels.agg(n.alias("clusters")).withColumns({
+        "mapped": mapped.agg(n).scalar(), "missing": missing.agg(n).scalar()})
     return missing, counts

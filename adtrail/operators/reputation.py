@@ -88,12 +88,11 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFra
 
     A plain anti join keeps the work spread out; the NULL rule is one small aggregate.
     """
-    rule = other.agg(F.count(F.lit(1)).alias("_n"),
-                     F.count_if(F.col(other_col).isNull()).alias("_nulls"))
+    n = other.agg(F.count(F.lit(1))).scalar()
+    nulls = other.agg(F.count_if(F.col(other_col).isNull())).scalar()
     keys = other.select(F.col(other_col).alias(col)).distinct()
-    left = df.join(keys, col, "left_anti").join(F.broadcast(rule))
-    return left.where((F.col("_nulls") == 0) & (F.col(col).isNotNull() | (F.col("_n") == 0))).drop(
-        "_n", "_nulls")
+    left = df.join(keys, col, "left_anti")
+    return left.where((nulls == 0) & (F.col(col).isNotNull() | (n == 0)))
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:

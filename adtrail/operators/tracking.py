@@ -64,14 +64,14 @@ def milking_summary(sources: dict[str, DataFrame]) -> DataFrame:
         sources["milking_urls"].select(F.col("domain").alias("d"))).unionByName(
         sources["upstream_domains"].toDF("d"))
 
-    def n(df: DataFrame, name: str) -> DataFrame:
-        return df.distinct().agg(F.count(F.lit(1)).alias(name))
-
-    return (n(sources["ad_domains"], "ad_domains")
-            .join(n(sources["image_hashes"], "image_hashes"))
-            .join(n(sources["milking_urls"], "milking_urls"))
-            .join(n(sources["upstream_domains"], "upstream_domains"))
-            .join(n(everything, "all_domains")))
+    def n(df: DataFrame) -> DataFrame:
+        return df.distinct().agg(F.count(F.lit(1)).alias("ad_domains"))
+
+    return n(sources["ad_domains"]).withColumns({
+        "image_hashes": n(sources["image_hashes"]).scalar(),
+        "milking_urls": n(sources["milking_urls"]).scalar(),
+        "upstream_domains": n(sources["upstream_domains"]).scalar(),
+        "all_domains": n(everything).scalar()})
 
 
 def keep_new_domain_jobs(attempts: DataFrame, ad_domains: DataFrame,
