@@ -217,12 +217,23 @@ def test_cluster_lookup_prefers_equal_then_nearest(spark):
     assert got == {"a": 1, "b": 1, "c": -1, "d": 2}
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
-    folder = str(tmp_path / "shared")
-    spark.conf.set(cut.SETTING, folder)
-    try:
-        assert cut.checkpoint_folder(spark) == folder
-        assert cut.materialise(spark.range(3)).count() == 3
-        assert (tmp_path / "shared" / "adtrail").is_dir()
-    finally:
-        spark.conf.unset(cut.SETTING)
+def test_checkpoint_folder_comes_from_the_session(spark):
+    folder = spark.conf.get(cut.SETTING)
+    assert cut.checkpoint_folder(spark) == folder
+    kept = cut.materialise(spark.range(3))
+    assert kept.count() == 3 and all(folder in f for f in kept.inputFiles())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        cut.checkpoint_folder(Session())
