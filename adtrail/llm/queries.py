@@ -1,4 +1,4 @@
 """Imports every query module, which registers its queries."""
 
-from adtrail.llm import q_quality  # noqa: F401
+from adtrail.llm import q_mixing, q_quality  # noqa: F401
 from adtrail.llm.registry import QUERIES, SQL  # noqa: F401
