@@ -172,8 +172,9 @@ def _slots(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     drawn = rows.mapInPandas(partial(_draw, seed=seed),
                              "_s string, _blocks long, shard long, _first long, _n long")
     width = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spark would take the slots for as small as the plan they grow from and broadcast them
     return drawn.repartition(width, "_s", "shard").mapInPandas(
-        partial(_map_slots, seed=seed), "_s string, shard long, slot long, _block long")
+        partial(_map_slots, seed=seed), "_s string, shard long, slot long, _block long").hint("merge")
 
 
 def _mixed(docs, doc_id, text, source, weights, budget, max_passes, block_words, shard_slots, seed,
@@ -202,7 +203,7 @@ def mixture_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     _, _, plan, slots, pieces = _mixed(docs, doc_id, text, source, weights, budget, max_passes,
                                        block_words, shard_slots, seed, keep=False)
-    times = slots.groupBy("_s", "_block").agg(F.count(F.lit(1)).alias("_times"))
+    times = slots.groupBy("_s", "_block").agg(F.count(F.lit(1)).alias("_times")).hint("merge")
     taken = F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long")
     counts = pieces.join(times, ["_s", "_block"], "left").groupBy("_id", "_s").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), taken.alias("taken"))
@@ -220,7 +221,7 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and do not appear. Otherwise as ``mixture_counts``."""
     _, stored, _, slots, pieces = _mixed(docs, doc_id, text, source, weights, budget, max_passes,
                                          block_words, shard_slots, seed, keep=True)
-    times = slots.groupBy("_s", "_block").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    times = slots.groupBy("_s", "_block").agg(F.count(F.lit(1)).cast("int").alias("_times")).hint("merge")
     per_doc = pieces.where("size > 0").join(times, ["_s", "_block"], "left").groupBy("_id").agg(
         F.sort_array(F.collect_list(F.struct("_block", F.coalesce("_times", F.lit(0)).alias("n"))))
         .alias("_b"), F.first("_off").alias("_off"))
