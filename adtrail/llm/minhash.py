@@ -24,6 +24,8 @@ SIMILARITY = 0.8
 #: A pair at a similarity of 0.8 shares no band with a probability of (1 - 0.8**5)**28 = 1.5e-5.
 BANDS = 28
 ROWS = 5
+#: Rounds in which members of a bucket's largest group are the pivots.
+PROBES = 6
 #: A similarity is a sum of fractions; one at the bound itself counts.
 ROUNDING = 1e-9
 #: Words whose arrivals are computed together in one task.
@@ -153,13 +155,14 @@ def _verify(batches, size: int, similarity: float):
         yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], names=["a", "b"])
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, pivots: int):
+def _pairs(members: DataFrame, labels: DataFrame | None, turn: int):
     """Pairs to verify in this round, and the members left for later ones.
 
-    The first round (no labels) compares the smallest member of a bucket with the others. Later
-    rounds look at buckets that still hold several groups: up to ``pivots`` members outside the
-    largest group are compared with the members of all other groups. A pivot is then settled in
-    its bucket and leaves it.
+    A pivot is compared with all members of its bucket that are not in its group; then it is
+    settled there and leaves the bucket. At first (no labels) the pivot is the smallest member.
+    Later rounds look at buckets that still hold several groups: for ``PROBES`` rounds twice as
+    many pivots each time come from the largest group, so that members outside it, which get fewer
+    with each link, are compared with few; then those that are left are the pivots themselves.
     """
     if labels is None:
         low = members.groupBy("bucket").agg(F.min("id").alias("a"))
@@ -170,9 +173,12 @@ def _pairs(members: DataFrame, labels: DataFrame | None, pivots: int):
     mixed = groups.groupBy("bucket").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("groups"))
     now = materialise(now.join(mixed.where("groups > 1").select("bucket", "main"), "bucket"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    chosen = now.where("label != main").withColumn("_rank", rank).where(
-        F.col("_rank") <= pivots).select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
+    # one order for all buckets of a round: buckets that overlap then share pivots
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
+    probing = turn <= PROBES
+    chosen = now.where("label = main" if probing else "label != main").withColumn("_rank", rank).where(
+        F.col("_rank") <= (2 if probing else 4) ** turn).select(
+        "bucket", F.col("id").alias("a"), F.col("label").alias("la"))
     both = now.join(chosen, "bucket").where("label != la")
     # between two pivots once is enough
     both = both.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
@@ -212,9 +218,9 @@ def _classes(docs, doc_id, text, size, similarity, bands, rows):
                          .select("id", word_hashes(F.col("text")).alias("w")))
     wa = stored.select(F.col("id").alias("a"), F.col("w").alias("wa"))
     wb = stored.select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    labels, edges, done, pivots = None, None, None, 1
+    labels, edges, done, turn = None, None, None, 0
     while True:
-        pairs, members = _pairs(members, labels, pivots)
+        pairs, members = _pairs(members, labels, turn)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -229,7 +235,7 @@ def _classes(docs, doc_id, text, size, similarity, bands, rows):
             F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         if open_.isEmpty():
             return sketch.select("doc_id", "key"), nodes.select("key", "id", "copy_id"), labels
-        pivots *= 4
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
