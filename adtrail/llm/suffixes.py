@@ -29,7 +29,9 @@ GRAM = 64
 #: Bytes hashed at once in one task.
 TASK_BYTES = 1 << 20
 #: Anchors per merge task.
-TASK_ANCHORS = 50_000
+TASK_ANCHORS = 20_000
+#: Bytes of keys that one task sorts at once.
+RUN_BYTES = 16 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 22) - 1)
@@ -197,25 +199,33 @@ def merge(runs: list[Iterator]) -> Iterator[tuple[bytes, int, np.ndarray]]:
 
 
 def _make_runs(batches, parts: int, length: int):
-    """Arrow batches (id, text, [(h, at, left, right)]) to one front-coded run per partition."""
+    """Arrow batches (id, text, [(h, at, left, right)]) to front-coded runs, one per partition each
+    time that the keys at hand reach ``RUN_BYTES``."""
+    groups: dict[int, dict[bytes, list]] = {}
+    held = 0
+
+    def runs():
+        for n, keys in groups.items():
+            yield pa.RecordBatch.from_pydict({"part": [n], "run": [_front_code(sorted(keys.items()))]})
     for batch in batches:
-        groups: dict[int, dict[bytes, list]] = {}
-        texts = batch.column(1).cast(pa.large_binary())
         lists = batch.column(2)
         flat = lists.flatten()
         h, at, left, right = (np.asarray(flat.field(c)) for c in ("h", "at", "left", "right"))
         part = ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        for i, doc in enumerate(batch.column(0).to_pylist()):
-            text = texts[i].as_py()
+        for i in range(batch.num_rows):
+            doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes()
             for j in range(offsets[i], offsets[i + 1]):
                 p = int(at[j])
                 back = text[p - int(left[j]):p][::-1]
                 key = b"".join([int(h[j]).to_bytes(8, "big", signed=True),
                                 text[p:p - int(right[j]) + length], b"\xff", back])
                 groups.setdefault(int(part[j]), {}).setdefault(key, []).append((doc, p))
-        for n, keys in groups.items():
-            yield pa.RecordBatch.from_pydict({"part": [n], "run": [_front_code(sorted(keys.items()))]})
+                held += len(key)
+            if held > RUN_BYTES:
+                yield from runs()
+                groups, held = {}, 0
+    yield from runs()
 
 
 def _settle(group: list[tuple[bytes, list]], length: int, out: list) -> None:
