@@ -14,6 +14,7 @@ anchor has several keys, their strings are compared offset by offset.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import partial
 from typing import Iterator
 
@@ -28,7 +29,7 @@ LENGTH = 200
 GRAM = 64
 #: Bytes hashed at once in one task.
 TASK_BYTES = 1 << 20
-#: Anchors per merge task.
+#: Anchors per merge partition, were they all shared.
 TASK_ANCHORS = 20_000
 #: Bytes of keys that one task sorts at once.
 RUN_BYTES = 16 << 20
@@ -206,7 +207,8 @@ def _make_runs(batches, parts: int, length: int):
 
     def runs():
         for n, keys in groups.items():
-            yield pa.RecordBatch.from_pydict({"part": [n], "run": [_front_code(sorted(keys.items()))]})
+            yield pa.RecordBatch.from_pydict({
+                "part": [n], "run": [zlib.compress(_front_code(sorted(keys.items())), 1)]})
     for batch in batches:
         lists = batch.column(2)
         flat = lists.flatten()
@@ -260,7 +262,7 @@ def _settle(group: list[tuple[bytes, list]], length: int, out: list) -> None:
 def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     out: list = []
     group: list[tuple[bytes, list]] = []
-    for key, shared, refs in merge([_decode(r) for r in pdf["run"]]):
+    for key, shared, refs in merge([_decode(zlib.decompress(r)) for r in pdf["run"]]):
         if shared < 8 and group:
             _settle(group, length, out)
             group = []
@@ -280,9 +282,9 @@ def _spans(df: DataFrame, length: int, gram: int) -> DataFrame:
         partial(_find_anchors, length=length, gram=gram, task_bytes=TASK_BYTES),
         f"{_ID} bigint, h bigint, at bigint, left smallint, right smallint"))
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = materialise(found.join(twice, "h"))
+    shared = found.join(twice, "h")
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, -(-shared.count() // TASK_ANCHORS))
+    parts = max(width, -(-found.count() // TASK_ANCHORS))
     per_doc = shared.groupBy(_ID).agg(F.collect_list(F.struct("h", "at", "left", "right")).alias("_at"))
     runs = df.join(per_doc, _ID).select(_ID, "_text", "_at").mapInArrow(
         partial(_make_runs, parts=parts, length=length), "part bigint, run binary")
