@@ -9,6 +9,7 @@ import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from adtrail.llm.text import words
 
@@ -115,4 +116,7 @@ def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def quality_filter(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; edge cases as in quality_scores."""
-    return _measured(docs, text, rules).where("kept").select("_row.*")
+    # a plain filter would be pushed below the measures, each written out again inside the next
+    df = _measured(docs, text, rules)
+    none = F.array().cast(ArrayType(df.schema["_row"].dataType))
+    return df.select(F.inline(F.when(F.col("kept"), F.array("_row")).otherwise(none)))

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from adtrail.plans.cut import materialise
 
@@ -355,8 +356,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     df = _joined(docs, F.struct(*rest, F.col(text).isNull().alias("_null")), doc_id, text, length, gram)
     out = df.mapInArrow(
         partial(_apply, digest=False),
-        f"_row {df.schema['_row'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, "
-        "n_spans bigint, kept string")
+        StructType([df.schema["_row"], *[StructField(c, LongType()) for c in (
+            "n_bytes", "n_removed", "n_spans")], StructField("kept", StringType())]))
     new = F.when(~F.col("_row._null"), F.col("kept"))
     given = {text: new, n_chars: F.when(F.col("n_removed") > 0, F.length("kept").cast("long"))}
     return out.select(*[
