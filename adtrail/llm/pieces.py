@@ -29,6 +29,8 @@ MARK = "▁"
 #: longer ones are merged with a heap.
 LATTICE_CHARS = 60
 BLOCK_BYTES = 16 << 20
+#: Partitions of the lattice for each block of text.
+LATTICE_PARTS = 4
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -130,6 +132,7 @@ def _best_long(unit: str, ids: dict, fallback, longest: int, floor: float) -> li
 
 
 def _encode_long(batches, pieces: Pieces):
+    """Frames (block, unit) of units too long for the lattice, with their ids."""
     ids = {p: (i, s) for p, i, s in pieces.table}
     floor = min(s for _, _, s in pieces.table) - 10.0
 
@@ -138,15 +141,20 @@ def _encode_long(batches, pieces: Pieces):
     for df in batches:
         found = [_merge_long(u, ids, fallback) if pieces.kind == 2
                  else _best_long(u, ids, fallback, pieces.longest, floor) for u in df["unit"]]
-        yield pd.DataFrame({"unit": df["unit"], "ids": found})
+        yield pd.DataFrame({"block": df["block"], "unit": df["unit"], "ids": found})
 
 
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
+def _edge(e: Column, shift: int, bits: int) -> Column:
+    return F.shiftright(e, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
 def _merged(edges: str) -> Column:
-    """BPE: boundaries as bits; the best edge over exactly one inner boundary removes it."""
+    """BPE: boundaries as bits; the best edge over exactly one inner boundary removes it. The edges
+    that span no boundary but their own ends are then the pieces."""
     def step(bits, _):
         fits = F.filter(edges, lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"])
                         & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1))
@@ -183,40 +191,53 @@ def _viterbi(edges: str) -> Column:
 
 
 def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
-    """``found(unit)``, different non-empty units, to ``(unit, ids)``."""
+    """``found(unit)``, different units of 1 to ``LATTICE_CHARS`` characters, to ``(unit, ids)``.
+
+    Nothing is shuffled if ``found`` is partitioned by unit. An edge travels as one number: the
+    rank of its score, its start and length, and its piece (all ones: no piece).
+    """
     spark = found.sparkSession
+    rank = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces.table}, reverse=True))}
+    none, last = (1 << 20) - 1, len(rank)
+    if max(i for _, i, _ in pieces.table) >= none:
+        raise ValueError("too many pieces")
     # bounded by the vocabulary
     table = F.broadcast(spark.createDataFrame(
-        pd.DataFrame(list(pieces.table), columns=["piece", "id", "score"]),
-        "piece string, id int, score double"))
-    floor = min(s for _, _, s in pieces.table) - 10.0
+        pd.DataFrame([(p, rank[s] << 32 | i) for p, i, s in pieces.table], columns=["piece", "_code"]),
+        "piece string, _code long"))
     n = F.length("unit")
-    subs = (found.where(n <= LATTICE_CHARS)
-            .withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
+    subs = (found.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
             .withColumn("len", F.explode(F.sequence(
                 F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))))
             .withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len"))))
-    edges = subs.join(table, "piece", "left").where("id is not null or len = 1")
+    code = F.coalesce("_code", F.lit(last << 32 | none).cast("long"))
+    packed = code + F.shiftleft(F.col("start").cast("long"), 26) + F.shiftleft(F.col("len").cast("long"), 20)
+    lattice = subs.join(table, "piece", "left").where("_code is not null or len = 1").select(
+        "unit", packed.alias("_edge")).groupBy("unit").agg(F.sort_array(F.collect_list("_edge")).alias("_p"))
+    start, size, piece = (lambda e: _edge(e, 26, 6)), (lambda e: _edge(e, 20, 6)), (lambda e: _edge(e, 0, 20))
     if pieces.byte_ids:
-        code = F.hex(F.encode("piece", "UTF-8"))
-        raw = F.transform(
-            F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")),
-            lambda k: F.get(F.array(*[F.lit(i) for i in pieces.byte_ids]),
-                            F.conv(code.substr(k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+        by_byte = F.array(*[F.lit(i) for i in pieces.byte_ids])
+
+        def raw(e):
+            hexes = F.hex(F.encode(F.col("unit").substr(start(e) + 1, size(e)), "UTF-8"))
+            return F.transform(F.sequence(F.lit(0), (F.length(hexes) / 2 - 1).cast("int")), lambda k: F.get(
+                by_byte, F.conv(hexes.substr(k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
     else:
-        raw = F.array(F.lit(pieces.unknown))
-    end = F.col("start") + F.col("len")
-    edge = F.struct(
-        F.coalesce(-F.col("score"), F.lit(-floor)).alias("rank"), "start", "len",
-        F.coalesce("score", F.lit(floor)).alias("score"),
-        (_bit(F.col("start")) + _bit(end)).alias("ends"),
-        (_bit(end) - _bit(F.col("start") + 1)).alias("inner"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(raw).alias("ids"))
-    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("e"))
-    fold = _merged("e") if pieces.kind == 2 else _viterbi("e")
-    long_ = found.where(n > LATTICE_CHARS).mapInPandas(
-        partial(_encode_long, pieces=pieces), "unit string, ids array<int>")
-    return lattice.select("unit", fold.alias("ids")).unionByName(long_)
+        def raw(e):
+            return F.array(F.lit(pieces.unknown))
+    scores = F.array(*[F.lit(float(s)) for s in rank], F.lit(float(min(rank)) - 10.0)) \
+        if pieces.kind != 2 else None
+
+    def unpack(e):
+        end = start(e) + size(e)
+        fields = [start(e).alias("start"), size(e).alias("len"), (_bit(start(e)) + _bit(end)).alias("ends"),
+                  (_bit(end) - _bit(start(e) + 1)).alias("inner"),
+                  F.when(piece(e) != none, F.array(piece(e))).otherwise(raw(e)).alias("ids")]
+        if scores is not None:
+            fields.append(F.get(scores, _edge(e, 32, 24)).alias("score"))
+        return F.struct(*fields)
+    edges = lattice.select("unit", F.transform("_p", unpack).alias("e"))
+    return edges.select("unit", (_merged("e") if pieces.kind == 2 else _viterbi("e")).alias("ids"))
 
 
 def _block_units(batches):
@@ -278,9 +299,14 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.struct(F.col(doc_id).alias("i")).alias("_row"), body.alias("_text"),
         F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(blocks)).alias("block"),
     ).repartition(blocks, "block")
-    found = df.select("block", "_text").mapInArrow(_block_units, "block bigint, unit string")
-    coded = encode_units(found.select("unit").distinct(), pieces)
-    known = found.join(coded.hint("merge"), "unit").select("block", "unit", "ids")
+    # one exchange by unit serves the lattice and the way back; enough partitions for its edges
+    found = df.select("block", "_text").mapInArrow(_block_units, "block bigint, unit string").repartition(
+        blocks * LATTICE_PARTS, "unit")
+    short = found.where(F.length("unit") <= LATTICE_CHARS)
+    coded = encode_units(short.select("unit").distinct(), pieces)
+    known = short.join(coded.hint("merge"), "unit").select("block", "unit", "ids").unionByName(
+        found.where(F.length("unit") > LATTICE_CHARS).mapInPandas(
+            partial(_encode_long, pieces=pieces), "block bigint, unit string, ids array<int>"))
     surface = pieces.surface
     out = df.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         lambda a, b: _encode_block(a, b, surface),
