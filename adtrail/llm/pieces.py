@@ -21,7 +21,9 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from adtrail.plans.cut import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -148,28 +150,33 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
-def _edge(e: Column, shift: int, bits: int) -> Column:
+def _part(e: Column, shift: int, bits: int) -> Column:
     return F.shiftright(e, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def _merged(edges: str) -> Column:
+def _merged(df: DataFrame, edges: str) -> DataFrame:
     """BPE: boundaries as bits; the best edge over exactly one inner boundary removes it. The edges
     that span no boundary but their own ends are then the pieces."""
+    df = df.withColumn("_wide", F.transform(F.filter(edges, lambda e: e["len"] > 1),
+                                            lambda e: F.struct(e["ends"], e["inner"])))
+
     def step(bits, _):
-        fits = F.filter(edges, lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"])
+        fits = F.filter("_wide", lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"])
                         & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1))
         return F.when(F.size(fits) > 0, bits - bits.bitwiseAND(fits[0]["inner"])).otherwise(bits)
     n = F.length("unit")
     every = _bit(n + 1) - 1
-    bits = F.when(n > 1, F.aggregate(F.sequence(F.lit(2), n), every, step)).otherwise(every)
-    return F.aggregate(  # one round of binding: the lambda sees the final bits
-        F.array(bits), F.array().cast("array<int>"), lambda _, b: F.flatten(F.transform(
+    df = df.withColumn("_bits", F.when((n > 1) & (F.size("_wide") > 0), F.aggregate(
+        F.sequence(F.lit(2), n), every, step)).otherwise(every))
+    ids = F.aggregate(  # one round of binding: the lambda sees the final bits
+        F.array("_bits"), F.array().cast("array<int>"), lambda _, b: F.flatten(F.transform(
             F.array_sort(F.filter(edges, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"])
                                   & (b.bitwiseAND(e["inner"]) == 0)),
                          lambda x, y: x["start"] - y["start"]), lambda e: e["ids"])))
+    return df.select("unit", ids.alias("ids"))
 
 
-def _viterbi(edges: str) -> Column:
+def _viterbi(df: DataFrame, edges: str) -> DataFrame:
     """Unigram: the best (score, start, ids) up to each position, then the path backwards."""
     n = F.length("unit")
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"),
@@ -187,7 +194,8 @@ def _viterbi(edges: str) -> Column:
             F.concat(here["ids"], state["ids"]).alias("ids"))).otherwise(state)
     best = F.aggregate(F.sequence(F.lit(1), n), begin, step)
     first = F.struct(best.alias("best"), n.alias("at"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(F.lit(1), n), first, back, lambda s: s["ids"])
+    return df.select("unit", F.aggregate(
+        F.sequence(F.lit(1), n), first, back, lambda s: s["ids"]).alias("ids"))
 
 
 def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
@@ -214,7 +222,7 @@ def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
     packed = code + F.shiftleft(F.col("start").cast("long"), 26) + F.shiftleft(F.col("len").cast("long"), 20)
     lattice = subs.join(table, "piece", "left").where("_code is not null or len = 1").select(
         "unit", packed.alias("_edge")).groupBy("unit").agg(F.sort_array(F.collect_list("_edge")).alias("_p"))
-    start, size, piece = (lambda e: _edge(e, 26, 6)), (lambda e: _edge(e, 20, 6)), (lambda e: _edge(e, 0, 20))
+    start, size, piece = (lambda e: _part(e, 26, 6)), (lambda e: _part(e, 20, 6)), (lambda e: _part(e, 0, 20))
     if pieces.byte_ids:
         by_byte = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
@@ -234,17 +242,17 @@ def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
                   (_bit(end) - _bit(start(e) + 1)).alias("inner"),
                   F.when(piece(e) != none, F.array(piece(e))).otherwise(raw(e)).alias("ids")]
         if scores is not None:
-            fields.append(F.get(scores, _edge(e, 32, 24)).alias("score"))
+            fields.append(F.get(scores, _part(e, 32, 24)).alias("score"))
         return F.struct(*fields)
     edges = lattice.select("unit", F.transform("_p", unpack).alias("e"))
-    return edges.select("unit", (_merged("e") if pieces.kind == 2 else _viterbi("e")).alias("ids"))
+    return _merged(edges, "e") if pieces.kind == 2 else _viterbi(edges, "e")
 
 
 def _block_units(batches):
-    """Arrow batches (block, text) of one partition to its different (block, unit)."""
+    """Arrow batches of the texts of one partition to its different (block, unit)."""
     seen: dict[int, set] = {}
     for batch in batches:
-        for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("_text").to_pylist()):
             seen.setdefault(block, set()).update(units(text))
     for block, own in seen.items():
         names = list(own)
@@ -299,10 +307,9 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.struct(F.col(doc_id).alias("i")).alias("_row"), body.alias("_text"),
         F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(blocks)).alias("block"),
     ).repartition(blocks, "block")
-    # one exchange by unit serves the lattice and the way back; enough partitions for its edges
-    found = df.select("block", "_text").mapInArrow(_block_units, "block bigint, unit string").repartition(
-        blocks * LATTICE_PARTS, "unit")
-    short = found.where(F.length("unit") <= LATTICE_CHARS)
+    # all columns go in, so that both reads of the texts are alike
+    found = materialise(df.mapInArrow(_block_units, "block bigint, unit string"))
+    short = found.where(F.length("unit") <= LATTICE_CHARS).repartition(blocks * LATTICE_PARTS, "unit")
     coded = encode_units(short.select("unit").distinct(), pieces)
     known = short.join(coded.hint("merge"), "unit").select("block", "unit", "ids").unionByName(
         found.where(F.length("unit") > LATTICE_CHARS).mapInPandas(
