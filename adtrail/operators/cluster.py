@@ -100,7 +100,8 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
     label among its core neighbours.
     """
     group = other_group or "_all"
-    base = df if other_group else df.withColumn("_all", F.lit(0))
+    base = df.where(F.col(hash_col).isNotNull())
+    base = base if other_group else base.withColumn("_all", F.lit(0))
     per = base.groupBy(hash_col, group).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*order_by)).alias("_first"))
     if other_group:
@@ -204,9 +205,11 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
         hash_col, group, "label")
     verdict = cores.join(core_labels.unionByName(border), [hash_col, group], "left").select(
         hash_col, group, F.coalesce("label", F.lit(-1)).cast("long").alias("label"), "is_core")
-    if other_group:
-        return df.join(verdict, [hash_col, group])
-    return df.join(verdict.drop("_all"), hash_col)
+    # a row without a hash (or group) is near nothing: noise
+    on = [hash_col, group] if other_group else [hash_col]
+    out = df.join(verdict if other_group else verdict.drop("_all"), on, "left")
+    return out.withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).withColumn(
+        "is_core", F.coalesce("is_core", F.lit(False)))
 
 
 def cluster_profile(members: DataFrame, domain: str = "domain",

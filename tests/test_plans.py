@@ -237,3 +237,11 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError):
         cut.checkpoint_folder(Session())
+
+
+def test_dbscan_keeps_rows_without_hash_as_noise(spark):
+    rows = [(i, "0" * 32) for i in range(4)] + [(i, None) for i in range(4, 9)]
+    got = cluster.dbscan(spark.createDataFrame(rows, "pos int, screenshot_hash string"),
+                         order_by=["pos"], min_samples=3).collect()
+    assert sorted((r.pos, r.label, r.is_core) for r in got) == [
+        (i, 0, True) if i < 4 else (i, -1, False) for i in range(9)]
