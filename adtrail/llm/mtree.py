@@ -23,8 +23,8 @@ TOP = 5
 EVERY = 50
 #: Vectors per tree, queries per group, entries per page.
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
-PAGE = 32
+QUERY_ROWS = 2048
+PAGE = 128
 #: Slack for bounds in floating point, relative to the length of the vectors.
 SLACK = 1e-9
 
@@ -95,6 +95,8 @@ class MTree:
                 continue
             d = np.sqrt(((self.x[rows] - q) ** 2).sum(axis=1))
             if leaf:
+                near = d <= bound + slack
+                rows, d = rows[near], d[near]
                 for key, dist in zip(score(rows), d.tolist()):
                     if key is None:
                         continue
