@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 BANDS = 28
 ROWS = 5
 #: Rounds in which members of a bucket's largest group are the pivots.
-PROBES = 6
+PROBES = 2
 #: A similarity is a sum of fractions; one at the bound itself counts.
 ROUNDING = 1e-9
 #: Words whose arrivals are computed together in one task.
@@ -155,14 +155,50 @@ def _verify(batches, size: int, similarity: float):
         yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], names=["a", "b"])
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, turn: int):
+def _shares(batches, size: int):
+    """Arrow batches (id, words) to (id, key, share of the text's weight)."""
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        lists = batch.column(1)
+        offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        held, n = [], 0
+        for i in range(len(ids)):
+            with np.errstate(over="ignore"):
+                keys, weights = weighted(flat[offsets[i]:offsets[i + 1]], size)
+            held.append((np.full(len(keys), ids[i]), keys.view(np.int64), weights / weights.sum()))
+            n += len(keys)
+            if n >= TASK_WORDS or i == len(ids) - 1:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in zip(*held)], names=["id", "key", "share"])
+                held, n = [], 0
+
+
+def _reach(stored: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``(id, reach)``: the mean of two texts' reach bounds their similarity from above.
+
+    Let u and v be the shares of shingles that no other of the texts holds. In the sum that defines
+    the similarity the denominator of a common d, of shares p and q, is at least 1/p + v/q and at
+    least 1/q + u/p, so its mean is at least ((1+u)/p + (1+v)/q)/2, and the term at most
+    (p/(1+u) + q/(1+v))/2. Common shares sum to 1-u and 1-v at most, so a text reaches (1-u)/(1+u).
+    """
+    rows = stored.join(ids, "id").select("id", "w").mapInArrow(
+        partial(_shares, size=size), "id bigint, key bigint, share double")
+    own = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("share").alias("share")).where("n = 1")
+    u = F.coalesce("u", F.lit(0.0))
+    return materialise(ids.join(own.groupBy("id").agg(F.sum("share").alias("u")), "id", "left").select(
+        "id", ((1 - u) / (1 + u)).alias("reach")))
+
+
+def _pairs(members: DataFrame, labels: DataFrame | None, turn: int, similarity: float):
     """Pairs to verify in this round, and the members left for later ones.
 
     A pivot is compared with all members of its bucket that are not in its group; then it is
     settled there and leaves the bucket. At first (no labels) the pivot is the smallest member.
-    Later rounds look at buckets that still hold several groups: for ``PROBES`` rounds twice as
-    many pivots each time come from the largest group, so that members outside it, which get fewer
-    with each link, are compared with few; then those that are left are the pivots themselves.
+    Later rounds look at buckets that still hold several groups, and only at pairs whose ``reach``
+    allows a link: for ``PROBES`` rounds four times as many pivots each time come from the largest
+    group, those of the highest reach first, so that members outside it, which get fewer with each
+    link, are compared with few; then those that are left are the pivots themselves.
     """
     if labels is None:
         low = members.groupBy("bucket").agg(F.min("id").alias("a"))
@@ -174,15 +210,17 @@ def _pairs(members: DataFrame, labels: DataFrame | None, turn: int):
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("groups"))
     now = materialise(now.join(mixed.where("groups > 1").select("bucket", "main"), "bucket"))
     # one order for all buckets of a round: buckets that overlap then share pivots
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(
+        F.col("reach").desc(), F.xxhash64("id", F.lit(turn)), "id"))
     probing = turn <= PROBES
     chosen = now.where("label = main" if probing else "label != main").withColumn("_rank", rank).where(
-        F.col("_rank") <= (2 if probing else 4) ** turn).select(
-        "bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-    both = now.join(chosen, "bucket").where("label != la")
+        F.col("_rank") <= 4 ** turn).select(
+        "bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("reach").alias("ra"))
+    both = now.join(chosen, "bucket").where(
+        (F.col("label") != F.col("la")) & (F.col("reach") + F.col("ra") > 2 * similarity - ROUNDING))
     # between two pivots once is enough
     both = both.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    rest = now.select("bucket", "id").join(
+    rest = now.select("bucket", "id", "reach").join(
         chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti")
     return both, rest
 
@@ -194,6 +232,13 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, near)
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several groups."""
+    several = members.join(labels, "id").groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    return members.join(several, "bucket")
+
+
 def _classes(docs, doc_id, text, size, similarity, bands, rows):
     """``copies(doc_id, key)`` per input row, ``nodes(key, id, copy_id)`` per different text and
     ``labels(id, label)`` of the texts that share a bucket with another."""
@@ -220,7 +265,7 @@ def _classes(docs, doc_id, text, size, similarity, bands, rows):
     wb = stored.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     labels, edges, done, turn = None, None, None, 0
     while True:
-        pairs, members = _pairs(members, labels, turn)
+        pairs, members = _pairs(members, labels, turn, similarity)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -231,9 +276,13 @@ def _classes(docs, doc_id, text, size, similarity, bands, rows):
         both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
         edges = materialise(both if edges is None else edges.unionByName(both))
         labels = _components(ids, edges)
-        open_ = members.join(labels, "id").groupBy("bucket").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        if open_.isEmpty():
+        if turn == 0:
+            left = materialise(_mixed(members, labels).select("bucket", "id"))
+            members = left.join(_reach(stored, left.select("id").distinct(), size), "id")
+        top = members.groupBy("bucket").agg(F.max("reach").alias("top"))
+        members = materialise(members.join(top, "bucket").where(
+            F.col("reach") + F.col("top") > 2 * similarity - ROUNDING).select("bucket", "id", "reach"))
+        if _mixed(members, labels).isEmpty():
             return sketch.select("doc_id", "key"), nodes.select("key", "id", "copy_id"), labels
         turn += 1
 
