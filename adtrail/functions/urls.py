@@ -40,16 +40,16 @@ def _label(labels: Column, from_end: int) -> Column:
 def _suffix_size(labels: Column) -> Column:
     last, second = _label(labels, 1), _label(labels, 2)
     two = last.isin(*fixed.SECOND_LEVEL_COUNTRIES) & second.isin(*fixed.SECOND_LEVEL_LABELS)
-    one = last.isin(*fixed.GENERIC_SUFFIXES) | (F.length(last) == 2)
-    return F.when(two, 2).when(one, 1).otherwise(0)
+    return F.when(two, 2).otherwise(1)
 
 
 def registered_domain(url: Col) -> Column:
-    """Public suffix plus one label; ``""`` for addresses, bare suffixes and unknown ones."""
+    """Public suffix plus one label; ``""`` for addresses and bare suffixes. The last label is the
+    suffix where no longer one is known."""
     name = host(url)
     labels = F.split(name, r"\.")
     size = _suffix_size(labels)
-    found = ~name.rlike(_IPV4) & (size > 0) & (F.size(labels) > size)
+    found = ~name.rlike(_IPV4) & (F.size(labels) > size)
     wanted = F.least(size + 1, F.size(labels))
     return F.when(found, F.array_join(F.slice(labels, -wanted, wanted), ".")).otherwise("")
 

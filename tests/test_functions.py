@@ -31,6 +31,12 @@ def test_url_parts(spark):
         ("x.com", "", "q=/a", "x.com", "x.com", False)]
 
 
+def test_last_label_is_the_suffix_where_none_is_known(spark):
+    got = values(spark, [("http://x.foo.science/",), ("http://foo.agency/",), ("http://science/",),
+                         ("http://10.0.0.1/",)], "u string", urls.registered_domain("u"))
+    assert got == [("foo.science",), ("foo.agency",), ("",), ("",)]
+
+
 def test_registered_domain_rules_agree_with_the_column_form(spark):
     df = spark.createDataFrame(
         [("http://a.b.ck/",), ("http://www.ck/",), ("http://b.ck",), ("http://x.y.co.uk/",),
