@@ -49,40 +49,40 @@ def _line_terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(_TERM), F.lit(0))
 
 
-def inverse_frequencies(files: DataFrame, text: str = "text") -> dict[str, float]:
-    """Smoothed inverse document frequency of each template term over all files. The driver gets at
-    most one number per term of the fixed templates."""
-    known = F.array_distinct(F.filter(_line_terms(F.coalesce(F.col(text), F.lit(""))),
-                                      lambda w: w.isin(*VOCABULARY)))
-    rows = files.select(F.explode(F.concat(F.array(F.lit("")), known)).alias("w")).groupBy("w").count().collect()
-    n = {r.w: r["count"] for r in rows}
-    total = n.get("", 0)
-    return {w: _idf(total, n.get(w, 0)) for w in VOCABULARY} | {"": _idf(total, 0)}
+#: Inverse document frequencies over the templates, not over the given files: a line gets the same
+#: verdict in every table. A term outside the templates has a fixed weight (each as a term of its own).
+OTHER = 2.0
 
 
-def _idf(total: int, n: int) -> float:
-    return math.log((1 + total) / (1 + n)) + 1.0
+def inverse_frequencies(templates) -> dict[str, float]:
+    """Smoothed inverse document frequency of each term of the templates over the templates."""
+    n = Counter(w for _, t in templates for w in set(terms(t)))
+    return {w: math.log((1 + len(templates)) / (1 + c)) + 1.0 for w, c in n.items()}
 
 
-def scan_headers(files: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-                 idf: dict[str, float] | None = None) -> DataFrame:
+def _vectors(templates, idf: dict[str, float]) -> list[dict[str, float]]:
+    """Unit vectors of the templates."""
+    out = []
+    for _, t in templates:
+        v = {w: n * idf[w] for w, n in Counter(terms(t)).items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        out.append({w: x / norm for w, x in v.items()})
+    return out
+
+
+def scan_headers(files: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``_row`` (the input row), ``own`` (score, license, line number) of its best line, NULL if no
     line reaches the threshold. Ties go to the first template, then the first line.
 
-    Terms that no template has count at the highest weight, each as a term of its own, so that a
-    statement must be most of its line."""
-    idf = idf or inverse_frequencies(files, text)
+    Terms that no template has count at a fixed weight, so that a statement must be most of its line."""
+    idf = inverse_frequencies(TEMPLATES)
+    vectors = _vectors(TEMPLATES, idf)
     df = files.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     lines = F.transform(F.split("_t", "\n"), lambda x, i: F.struct(_line_terms(x).alias("w"), i.alias("i")))
     df = df.withColumn("_lines", F.filter(lines, lambda x: F.exists(x["w"], lambda w: w.isin(*VOCABULARY))))
-    vectors = []
-    for _, t in TEMPLATES:
-        v = {w: n * idf[w] for w, n in Counter(terms(t)).items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({w: x / norm for w, x in v.items()})
     table = F.create_map(*[c for w in VOCABULARY for c in (F.lit(w), F.struct(
         F.lit(idf[w]).alias("idf"), F.array(*[F.lit(v.get(w, 0.0)) for v in vectors]).alias("t")))])
-    rest = F.lit(idf[""] ** 2)
+    rest = F.lit(OTHER ** 2)
 
     def weigh(x):
         known = F.filter(x["w"], lambda w: w.isin(*VOCABULARY))

@@ -66,3 +66,15 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_verdict_does_not_depend_on_the_table(spark):
+    stated = {"Code licensed under the Apache License, Version 2.0.": "Apache-2.0",
+              "Foo is released under the MIT License.": "MIT",
+              "This work is licensed under the GNU General Public License, version 3, see COPYING.": "GPL-3.0",
+              "a long story about the license of a poet": None, "unter mit der Last": None}
+    few = spark.createDataFrame([(t, t) for t in stated], "path string, text string")
+    fill = spark.range(20000).selectExpr("concat('f', id) path", "concat('the words under bridge ', id) text")
+    for table in (few, few.union(fill)):
+        got = scan_licenses(table).where("path not like 'f%'").collect()
+        assert {r.path: r.license for r in got} == stated
