@@ -2,7 +2,8 @@ import math
 import re
 from collections import Counter
 
-from adtrail.llm.licenses import LICENSE_FILE, TEMPLATES, THRESHOLD, VOCABULARY, scan_licenses, terms
+from adtrail.llm.licenses import (
+    LICENSE_FILE, TEMPLATES, THRESHOLD, VOCABULARY, full_texts, scan_licenses, terms)
 
 
 def brute(rows):
@@ -78,3 +79,35 @@ def test_verdict_does_not_depend_on_the_table(spark):
     for table in (few, few.union(fill)):
         got = scan_licenses(table).where("path not like 'f%'").collect()
         assert {r.path: r.license for r in got} == stated
+
+
+GPL_HEADER = """/* Copyright 2020 A. Writer
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int x = 1;"""
+
+
+def test_headers_wrapped_over_lines_and_whole_licence_files(spark):
+    common = dict(full_texts())
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 500)
+    narrow = "Copyright 2021 B\n\n" + re.sub(r"(.{30}\S*) ", r"\1\n", mit)
+    rows = {
+        "h/gpl.c": (GPL_HEADER, "GPL-3.0", 3), "h/mit.c": (narrow + "\n\nint y;", "MIT", 3),
+        "h/two.txt": ("words before\nLicensed under the Apache License,\nVersion 2.0.\nwords after it", "Apache-2.0", 2),
+        "h/spdx.c": ("// a\n// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\n",
+                     "GPL-2.0-or-later WITH Classpath-exception-2.0", 2),
+        "h/none.c": ("// SPDX-License-Identifier: NONE", None, None),
+        "h/prose.txt": ("mit der Zeit\nthe terms of use\nversion 3 of it\nfree of charge, to any person", None, None),
+        **{f"{n}/COPYING": (t[:t.find("END OF TERMS")] if "END OF TERMS" in t else t, n, None)
+           for n, t in common.items()},
+        "x/notes.txt": ("plain", None, None), "GPL-2.0/deep/down/a.txt": ("plain", "GPL-2.0", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _, _) in rows.items()], "path string, text string")
+    got = {r.path: r for r in scan_licenses(df).collect()}
+    assert {p: r.license for p, r in got.items()} == {p: want for p, (_, want, _) in rows.items()}
+    for p, (_, _, line) in rows.items():
+        assert line is None or got[p].line == line
