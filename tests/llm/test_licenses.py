@@ -4,6 +4,7 @@ from collections import Counter
 
 from adtrail.llm.licenses import (
     LICENSE_FILE, TEMPLATES, THRESHOLD, VOCABULARY, full_texts, scan_licenses, terms)
+from adtrail.llm.q_licenses import op9_license_scan
 
 
 def brute(rows):
@@ -111,3 +112,20 @@ def test_headers_wrapped_over_lines_and_whole_licence_files(spark):
     assert {p: r.license for p, r in got.items()} == {p: want for p, (_, want, _) in rows.items()}
     for p, (_, _, line) in rows.items():
         assert line is None or got[p].line == line
+
+
+def test_query_inherits_from_several_depths(spark):
+    got = op9_license_scan(spark, "/root/testdata/sf0.01")
+    rows = got.collect()
+    assert len(rows) == 1000
+    headers = [r.path for r in rows if r.origin == "header"]
+    assert {p.count("/") for p in headers} == {1, 2, 3} and all("/LICENSE." in p for p in headers)
+    owned = {p.rpartition("/")[0] for p in headers}
+    depths = set()
+    for r in rows:
+        d = r.path.rpartition("/")[0]
+        above = [a for a in (d, d.rpartition("/")[0], d.split("/")[0]) if a in owned]
+        assert (r.license is not None) == bool(above or r.origin == "header")
+        if r.origin == "directory":
+            depths.add(above[0].count("/"))
+    assert depths == {0, 1, 2}
