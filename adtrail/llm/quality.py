@@ -21,6 +21,9 @@ STOP_WORDS = (
     "el", "los", "las", "de", "en", "y", "por", "una", "con", "para", "se", "del",
 )
 
+#: Languages that the list covers, as they stand in a column of languages.
+STOP_WORD_LANGUAGES = ("en", "de", "fr", "es")
+
 _OPS = {">=": operator.ge, "<=": operator.le}
 
 
@@ -69,7 +72,17 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
-def _measured(docs: DataFrame, text: str, rules) -> DataFrame:
+def _unlisted(docs: DataFrame, lang: str | None) -> Column:
+    """Whether a row's text (``_t``) is in a language without a list of stop words: by the column
+    ``lang`` if the table has one and it is filled, or because letters of other scripts outnumber the
+    Latin ones."""
+    said = F.lower(F.regexp_extract(F.col("_row")[lang].cast("string"), r"^\s*([A-Za-z]+)", 1)) \
+        if lang in docs.columns else F.lit("")
+    latin, all_ = (F.regexp_count("_t", F.lit(x)) for x in (r"\p{IsLatin}", r"\p{L}"))
+    return (F.coalesce(said, F.lit("")) != "") & ~said.isin(*STOP_WORD_LANGUAGES, "und") | (2 * latin < all_)
+
+
+def _measured(docs: DataFrame, text: str, rules, lang: str | None) -> DataFrame:
     """``_row`` (the input row), the counts, ``base_failed`` and ``kept``."""
     df = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     df = df.withColumn("_w", words(F.col("_t")))
@@ -81,6 +94,13 @@ def _measured(docs: DataFrame, text: str, rules) -> DataFrame:
         "_lines": F.filter(F.split("_t", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))),
         "_h": F.transform("_w", lambda w: F.xxhash64(w)),
     })
+    # only asked where the rule would reject the text
+    few = [r for r in rules if r.measure == "stop_word_ratio"]
+    df = df.withColumn("stop_word_ratio", _ratio("n_stop_words", "n_words"))
+    failed = F.lit(False)
+    for r in few:
+        failed = failed | ~_OPS[r.op](F.col(r.measure), F.lit(r.bound))
+    df = df.withColumn("_free", F.when(failed, _unlisted(docs, lang)).otherwise(F.lit(False)))
     df = df.drop("_w", "_t").withColumns({
         "n_lines": F.size("_lines"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -90,33 +110,35 @@ def _measured(docs: DataFrame, text: str, rules) -> DataFrame:
     df = df.withColumns({
         "mean_word_chars": _ratio("word_chars", "n_words"),
         "symbol_ratio": _ratio("n_symbols", "n_words"),
-        "stop_word_ratio": _ratio("n_stop_words", "n_words"),
         "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
     })
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.lit(True)
     for r in rules:
-        verdict = verdict & _OPS[r.op](F.col(r.measure), F.lit(r.bound))
+        passed = _OPS[r.op](F.col(r.measure), F.lit(r.bound))
+        verdict = verdict & (passed | F.col("_free") if r in few else passed)
     return df.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & verdict)
 
 
 def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   rules=RULES) -> DataFrame:
+                   rules=RULES, lang: str | None = "lang") -> DataFrame:
     """One row per input row: the id, ``n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words``, the ratios, ``base_failed`` and ``kept``.
 
-    A NULL or empty text has no words, so it fails the base rule. Repeated rows are scored one by
+    The stop-word rule holds for the languages of ``STOP_WORD_LANGUAGES`` only. Texts in another
+    language, by the column ``lang`` or, whatever it says, by a script other than Latin, pass on the
+    remaining rules; a Latin text of unknown language is held to the list. A NULL or empty text has no words, so it fails the base rule. Repeated rows are scored one by
     one, an empty table gives no rows, and further columns are ignored whatever their names.
     """
-    return _measured(docs, text, rules).select(
+    return _measured(docs, text, rules, lang).select(
         F.col("_row")[doc_id].alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "kept",
         "mean_word_chars", "symbol_ratio", "stop_word_ratio", "dup_line_ratio")
 
 
-def quality_filter(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def quality_filter(docs: DataFrame, text: str = "text", rules=RULES, lang: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; edge cases as in quality_scores."""
     # a plain filter would be pushed below the measures, each written out again inside the next
-    df = _measured(docs, text, rules)
+    df = _measured(docs, text, rules, lang)
     none = F.array().cast(ArrayType(df.schema["_row"].dataType))
     return df.select(F.inline(F.when(F.col("kept"), F.array("_row")).otherwise(none)))

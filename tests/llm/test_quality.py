@@ -40,3 +40,20 @@ def test_filter_keeps_prose_and_all_columns(make_docs):
 
 def test_empty_table(make_docs):
     assert quality_scores(make_docs([])).count() == 0
+
+
+def test_clean_text_in_languages_without_a_list_is_kept(spark):
+    def prose(words):
+        return " ".join(f"{w}{i}" for i in range(30) for w in words.split())
+    russian, greek = prose("мы шли домой"), prose("πήγαμε στο σπίτι")
+    korean, arabic, polish = prose("우리는 집으로 갔다"), prose("ذهبنا إلى البيت"), prose("szliśmy przez las")
+    rows = [(1, russian, "ru", True), (2, greek, "el", True), (3, korean, None, True), (4, arabic, "", True),
+            (5, polish, "pl-PL", True), (6, polish, None, False), (7, polish, "en", False), (8, russian, "en", True),
+            (9, "# 12 " * 5 + " ".join(f"{i}" for i in range(1000, 1090)), None, False),
+            (10, " ".join(["мы"] * 90), "ru", False), (11, " ".join(f"the house{i} of" for i in range(40)), "en-GB", True)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    want = {r[0]: r[3] for r in rows}
+    assert {r.doc_id: r.kept for r in quality_scores(docs).collect()} == want
+    assert {r.doc_id for r in quality_filter(docs).collect()} == {i for i, k in want.items() if k}
+    bare = docs.drop("lang").where("doc_id in (1, 6)")
+    assert [r.doc_id for r in quality_filter(bare).collect()] == [1]
