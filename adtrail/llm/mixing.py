@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adtrail.llm.text import word_count, words
 from adtrail.plans.cut import materialise
+from adtrail.plans.groups import number_rows, shuffle_width
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -23,8 +24,6 @@ MAX_PASSES = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
 SEED = 20240229
-#: The table of sources is ranked in one task; more sources than this raise an error.
-MAX_SOURCES = 100_000
 
 
 def _source_key(source: str) -> Column:
@@ -32,30 +31,40 @@ def _source_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, budget=BUDGET, max_passes=MAX_PASSES,
-                   max_sources=MAX_SOURCES) -> DataFrame:
+def source_targets(sized: DataFrame, weights=WEIGHTS, budget=BUDGET, max_passes=MAX_PASSES) -> DataFrame:
     """``sized(_s, size)`` to one row per source: ``source_size`` and ``target`` in words.
 
     Sources fill up together in proportion to their weights until one is full. Sorted by how early
-    they fill, the level reached with the first k full is largest at the true k.
+    they fill, the level reached with the first k full is largest at the true k. The sorted sources
+    are stored, and sums per partition carry the running sums across.
     """
     sources = sized.groupBy("_s").agg(F.sum("size").alias("source_size"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
                      (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sources.withColumn("_rank", F.row_number().over(Window.orderBy("_s"))).withColumn(
-        "_w", F.when(F.col("_rank") <= max_sources, w).otherwise(
-            F.raise_error(F.lit(f"more than {max_sources} sources")).cast("double")))
-    cap = F.col("source_size") * F.lit(float(max_passes))
-    early = Window.orderBy(cap / F.col("_w"), "_rank")
-    before = early.rowsBetween(Window.unboundedPreceding, -1)
-    after = early.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) * F.lit(float(budget))
-             - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    levels = ranked.withColumn("_level", level)
-    return levels.select(
-        "_s", "source_size",
-        F.least(cap, F.max("_level").over(whole) * F.col("_w")).alias("target"))
+    ranked = number_rows(sources, ["_s"], "_rank", start=1).withColumns({
+        "_w": w, "_cap": F.col("source_size") * F.lit(float(max_passes))}).withColumn(
+        "_early", F.col("_cap") / F.col("_w"))
+    order = ["_early", "_rank"]
+    placed = materialise(
+        ranked.repartitionByRange(shuffle_width(sized), *order).sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id()))
+    # one row per partition
+    sums = placed.groupBy("_pid").agg(
+        F.sum("source_size").alias("_n"), F.sum("_cap").alias("_caps"), F.sum("_w").alias("_ws"))
+    parts = Window.orderBy("_pid")
+    full = F.sum("_caps").over(parts.rowsBetween(Window.unboundedPreceding, -1))
+    rest = F.sum("_ws").over(parts.rowsBetween(1, Window.unboundedFollowing))
+    over = sums.select("_pid", F.coalesce(full, F.lit(0.0)).alias("_full"),
+                       F.coalesce(rest, F.lit(0.0)).alias("_rest"))
+    total = sums.agg(F.sum("_n").alias("n")).first()["n"]
+    early = Window.partitionBy("_pid").orderBy(*order)
+    before = F.coalesce(F.sum("_cap").over(early.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("_w").over(early.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = (F.lit(float(budget) * (total or 0)) - F.col("_full") - before) / (F.col("_rest") + after)
+    levels = placed.join(F.broadcast(over), "_pid").select(level.alias("_level"))
+    top = levels.agg(F.max("_level").alias("x")).first()["x"]
+    return placed.select(
+        "_s", "source_size", F.least("_cap", F.lit(top).cast("double") * F.col("_w")).alias("target"))
 
 
 def _place(docs: DataFrame, doc_id: str, text: str, source: str,
@@ -164,8 +173,8 @@ def _map_slots(batches, seed: int, most: int = 1 << 18):
 
 def _slots(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """One row per slot: source, shard, slot number in the source, block."""
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("_slots").over(whole) / shard_slots))
+    slots = plan.agg(F.sum("_slots").alias("n")).first()["n"] or 0
+    shards = F.lit(max(1, -(-slots // shard_slots))).cast("long")
     rows = plan.where("_slots > 0").select(
         F.col("_s").alias("_0"), F.col("_slots").alias("_1"), shards.alias("_2"),
         F.col("_blocks").alias("_3"))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from adtrail.llm.mixing import mix_documents, mixture_blocks, mixture_counts, permute
+from adtrail.llm.mixing import mix_documents, mixture_blocks, mixture_counts, permute, source_targets
 
 
 def targets(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
@@ -82,3 +82,17 @@ def test_documents_and_blocks_hold_the_words_taken(make_docs):
 def test_empty_table(make_docs):
     assert mixture_counts(make_docs([])).count() == 0
     assert mix_documents(make_docs([(1, None), (2, " ")])).count() == 0
+
+
+def test_targets_of_more_sources_than_one_task_takes(spark):
+    n = 120_000
+    sized = spark.range(n).selectExpr("concat('0', lpad(id, 6, '0')) as _s", "1 + id * 7919 % 1000 as size")
+    got = source_targets(sized).toPandas().sort_values("_s")
+    size = 1 + np.arange(n) * 7919 % 1000
+    assert (got["source_size"].to_numpy() == size).all()
+    w = np.array([5.0, 2.0, 1.0])[np.arange(n) % 3]
+    low, high = 0.0, 1e6
+    for _ in range(200):  # the level at which the budget is used up
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(2.0 * size, mid * w).sum() < 1.5 * size.sum() else (low, mid)
+    assert np.allclose(got["target"], np.minimum(2.0 * size, low * w), rtol=1e-9)
