@@ -3,7 +3,7 @@
 One translate table lower-cases letters and blanks separators of a text's UTF-8 bytes, a split gives
 its terms and a Counter their frequencies. Each task adds up the counters of its documents by
 language and source before anything is shuffled. Sources are compared in tiles: a task gets a few
-thousand terms and two groups of sources of one language, whatever the table's size.
+hundred terms and two groups of sources of one language, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SMOOTHING = 5
 TOP_TERMS = 50
 #: Entries that a task holds before it passes its sums on.
 HELD = 400_000
-TILE_TERMS = 4096
+TILE_TERMS = 256
 TILE_SOURCES = 128
 
 
