@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adtrail.plans.cut import materialise
-from adtrail.plans.groups import number_rows, ordered, top_per
+from adtrail.plans.groups import ordered, top_per
 
 #: Marks around the turn of a role, and around a turn of any other role (fixed values).
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -139,7 +139,7 @@ def format_branches(messages: DataFrame, tree: str = "tree_id", id: str = "messa
     (``array<struct<start, length>>``, code points from 0).
 
     A message whose parent is NULL, not in its tree, or itself starts a path. NULL scores count 0,
-    NULL texts and roles are empty. Of rows that repeat a tree and id, the first by role and text
+    NULL texts and roles are empty. Of rows that repeat a tree and id, the first by role and text's md5
     counts; a message without id has no replies. Replies that go round in a cycle have no root, so no
     path. NULL trees are one tree. An empty table gives no rows; further columns are ignored.
 
@@ -150,11 +150,12 @@ def format_branches(messages: DataFrame, tree: str = "tree_id", id: str = "messa
         F.col(tree).alias("_tree"), F.col(id).alias("_id"), F.col(parent).alias("_parent"), points.alias("_score"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = number_rows(rows.withColumn("_hash", F.md5("_text")), ["_tree", "_id", "_role", "_hash"], "n")
+    rows = materialise(rows.withColumn("n", F.monotonically_increasing_id()))
     alone = F.when(F.col("_id").isNull(), F.col("n"))
-    nodes = rows.groupBy("_tree", "_id", alone.alias("_alone")).agg(
-        F.min("n").alias("n"), F.min_by(F.struct("_parent", "_score"), "n").alias("_of")).select(
-        "n", "_tree", "_id", F.col("_of._parent").alias("_parent"), F.col("_of._score").alias("score"))
+    nodes = rows.groupBy("_tree", "_id", alone.alias("_alone")).agg(F.min(F.struct(
+        "_role", F.md5("_text").alias("_hash"), "_parent", "_score", "n")).alias("_of")).select(
+        F.col("_of.n").alias("n"), "_tree", "_id", F.col("_of._parent").alias("_parent"),
+        F.col("_of._score").alias("score"))
     nodes = materialise(nodes)
     replies = nodes.where("_parent is not null and not (_parent <=> _id)").select(
         F.col("n").alias("_n"), F.col("_tree").alias("_of"), "_parent")
@@ -167,9 +168,9 @@ def format_branches(messages: DataFrame, tree: str = "tree_id", id: str = "messa
     leaves = reached.join(inner, "n", "left_anti").join(linked.select("n", "_tree", "_id"), "n").select(
         F.col("n").alias("leaf"), "depth", "total", "_tree", "_id", (-F.col("total")).alias("_worst"))
     if keep is None:
-        leaves = ordered(leaves, ["_tree"], ["_worst", "leaf"]).running_sum(F.lit(1), "rank").result()
+        leaves = ordered(leaves, ["_tree"], ["_worst", "_id", "leaf"]).running_sum(F.lit(1), "rank").result()
     else:
-        leaves = top_per(leaves, ["_tree"], ["_worst", "leaf"], keep, rank="rank")
+        leaves = top_per(leaves, ["_tree"], ["_worst", "_id", "leaf"], keep, rank="rank")
     leaves = materialise(leaves)
     turns = _paths(leaves, jumps).join(rows.select("n", "_role", "_text"), "n").select(
         "leaf", "pos", template.opening(F.col("_role")).alias("open"), template.escape(F.col("_text")).alias("text"),
