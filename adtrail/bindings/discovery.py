@@ -9,45 +9,58 @@ from adtrail.bindings import inputs as I
 from adtrail.bindings.inputs import table
 from adtrail.bindings.registry import query
 from adtrail.functions import bits, urls
-from adtrail.operators import attribution, campaigns, cluster, tracking
+from adtrail.operators import attribution, campaigns, cluster, domains, tracking
 
-_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
+_PAGES = f"{I.PAGE_URLS}, {I.domains_sql('SELECT url FROM pu')}"
 
 
 @query("url_parts", f"""
-SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc,
+WITH {_PAGES} SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc,
   regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
-  regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query, {I.reg_sql('url')} AS domain,
-  {_HOST} AS fqdn, regexp_extract(url, '[.]([^./?#]*)(?:[?#].*)?$', 1)
-    IN ('png','gif','jpg') AS image FROM pages""")
+  regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query, domain,
+  host AS fqdn, regexp_extract(url, '[.]([^./?#]*)(?:[?#].*)?$', 1)
+    IN ('png','gif','jpg') AS image FROM pu JOIN dom ON host = {I.host_sql('url')}""")
 def url_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    pages = domains.with_domains(I.page_urls(spark, sf), {"domain": "url"}, I.suffix_rules(spark))
+    return pages.select(
         "page_id", urls.netloc("url").alias("netloc"), urls.url_path("url").alias("path"),
-        urls.url_query("url").alias("query"), urls.registered_domain("url").alias("domain"),
+        urls.url_query("url").alias("query"), "domain",
         urls.fqdn("url").alias("fqdn"), urls.is_image_url("url").alias("image"))
 
 
-@query("registered_domain_by_rules",
-       f"SELECT {I.reg_sql('url')} AS domain, count(*) AS pages FROM pages GROUP BY 1")
-def registered_by_rules(spark, sf):
-    rules = spark.createDataFrame([(r,) for r in (*fixed.GENERIC_SUFFIXES, "co.uk", "*.ck",
-                                                  "!www.ck")], "rule string")
-    df = urls.registered_domain_by_rules(
-        table(spark, sf, "pages").select("page_id", "url"), "url", rules, "domain")
-    return df.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"))
+# shops of customers under all kinds of suffixes, a third of them without a name of their own
+_SHOPS = f"""sh AS MATERIALIZED (SELECT CASE c_custkey % 3 WHEN 0 THEN 'http://' WHEN 1 THEN 'https://www.shop'
+    || (c_custkey % 40) || '.' ELSE '//u:p@a.b.Shop' || (c_custkey % 40) || '.' END ||
+    {I.ending_sql('c_custkey // 3')} || CASE WHEN c_custkey % 2 = 0 THEN ':8080/x' ELSE './y' END AS url
+  FROM customer)"""
 
 
-@query("third_party_pages", f"""
-SELECT {I.reg_sql('url')} AS domain, count(*) AS pages,
-  count(*) FILTER (WHERE {I.reg_sql('url')} <> 'example.org') AS third_party
-FROM pages GROUP BY 1""")
+@query("registered_domain_by_rules", f"""WITH {_SHOPS},
+  clean AS (SELECT 'http://' || lower(regexp_extract(url, '//(?:[^@/]*@)?([^:/]*[^:/.])[.]?[:/]', 1)) AS url FROM sh),
+  {I.domains_sql('SELECT url FROM clean')}
+SELECT domain, count(*) AS shops FROM clean JOIN dom ON host = {I.host_sql('url')} GROUP BY 1""")
+def registered_by_rules(spark, sf):
+    k = F.col("c_custkey")
+    n = (k % 40).cast("string")
+    head = F.when(k % 3 == 0, "http://").when(k % 3 == 1, F.concat(F.lit("https://www.shop"), n, F.lit("."))).otherwise(
+        F.concat(F.lit("//u:p@a.b.Shop"), n, F.lit(".")))
+    shops = table(spark, sf, "customer").select(F.concat(
+        head, I.ending(F.floor(k / 3)), F.when(k % 2 == 0, ":8080/x").otherwise("./y")).alias("url"))
+    return domains.with_domains(shops, {"domain": "url"}, I.suffix_rules(spark)).groupBy("domain").agg(
+        F.count(F.lit(1)).alias("shops"))
+
+
+@query("third_party_pages", f"""WITH {_PAGES}, two AS (SELECT d.domain AS domain, h.domain AS home
+  FROM pu a JOIN pu b ON b.page_id = a.page_id - a.page_id % 27
+    JOIN dom d ON d.host = {I.host_sql('a.url')} JOIN dom h ON h.host = {I.host_sql('b.url')})
+SELECT domain, count(*) AS pages, count(*) FILTER (WHERE domain <> home) AS third_party FROM two GROUP BY 1""")
 def third_party_pages(spark, sf):
-    df = table(spark, sf, "pages").withColumn(
-        "home", F.concat(F.lit("http://pub"), F.col("page_id").cast("string"),
-                         F.lit(".example.org/")))
-    return df.groupBy(urls.registered_domain("url").alias("domain")).agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.count_if(urls.third_party("url", "home")).alias("third_party"))
+    pages = I.page_urls(spark, sf)
+    homes = pages.select(F.col("page_id").alias("_home"), F.col("url").alias("home"))
+    pages = pages.withColumn("_home", F.col("page_id") - F.col("page_id") % 27).join(homes, "_home")
+    seen = domains.third_party(pages, "url", "home", I.suffix_rules(spark))
+    return domains.with_domains(seen, {"domain": "url"}, I.suffix_rules(spark)).groupBy("domain").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if("third_party").alias("third_party"))
 
 
 @query("job_names", """
@@ -456,15 +469,16 @@ def campaign_table(spark, sf):
     return campaigns.campaign_table(*_campaign_inputs(spark, sf))
 
 
-@query("ad_summaries", f"""WITH {I.PAGE_ADS} SELECT screenshot_hash, count(*) AS ads,
+@query("ad_summaries", f"""WITH {I.PAGE_ADS}, {I.domains_sql('SELECT home_url AS url FROM pa')}
+SELECT screenshot_hash, count(*) AS ads,
   count(DISTINCT regexp_extract(ad_url, '^[a-z]+://([^/?#]*)', 1)) AS landing_hosts,
-  count(DISTINCT {I.reg_sql('home_url')}) AS home_domains,
+  count(DISTINCT domain) AS home_domains,
   count(DISTINCT regexp_extract(home_url, '^[a-z]+://([^/?#]*)', 1)) AS seed_domains
-FROM pa GROUP BY 1""")
+FROM pa JOIN dom ON host = {I.host_sql('home_url')} GROUP BY 1""")
 def ad_summaries(spark, sf):
     ads = I.page_ads(spark, sf)
     seeds = ads.select("log_id", F.col("home_url").alias("seed_url"))
-    return campaigns.ad_summaries(campaigns.with_seed(ads, seeds))
+    return campaigns.ad_summaries(campaigns.with_seed(ads, seeds), I.suffix_rules(spark))
 
 
 @query("flagged_landing_domains", """

@@ -11,16 +11,65 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adtrail.functions import bits
 from adtrail.plans.cut import materialise, spread
-from adtrail.plans.groups import ordered
+from adtrail.plans.groups import number_rows, ordered
 
 LETTERS = "etaonisrh"
 SIDE = 9
 
+#: Suffix rules of the bindings, and endings that they give to hosts: plain, two-label, wildcard,
+#: exception and unlisted ones.
+SUFFIX_RULES = ("com", "net", "org", "uk", "co.uk", "pl", "gov.pl", "*.ck", "!www.ck", "jp", "*.kobe.jp",
+                "!city.kobe.jp")
+SUFFIXES = ("com", "co.uk", "gov.pl", "pl", "shop.ck", "www.ck", "kobe.jp", "city.kobe.jp", "unlisted")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def suffix_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+
+
+def ending(n: Column) -> Column:
+    """One of `SUFFIXES` by number."""
+    return F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (n % len(SUFFIXES) + 1).cast("int"))
+
+
+def ending_sql(n: str) -> str:
+    return f"[{', '.join(repr(x) for x in SUFFIXES)}][({n}) % {len(SUFFIXES)} + 1]"
+
+
+def host_sql(url: str) -> str:
+    return f"lower(regexp_extract({url}, '^[a-z]+://([^/?#:]*)', 1))"
+
+
+def domains_sql(urls: str) -> str:
+    """``dom(host, domain)`` of all hosts of the query ``urls(url)``, by `SUFFIX_RULES`."""
+    rules = ", ".join(f"('{r.lstrip('*!').lstrip('.')}', {-1000 if r[0] == '!' else int(r[0] == '*')})"
+                      for r in SUFFIX_RULES)
+    return f"""rk(tail, more) AS (VALUES {rules}),
+  hn AS (SELECT host, string_split(host, '.') AS l FROM (SELECT DISTINCT {host_sql('url')} AS host FROM ({urls}))),
+  tl AS (SELECT host, i, array_to_string(l[len(l) - i + 1:], '.') AS tail
+    FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM hn)),
+  sz AS (SELECT host, coalesce(max(i - 1) FILTER (WHERE more < 0), max(i + more)) AS size
+    FROM tl JOIN rk USING (tail) GROUP BY 1),
+  dom AS MATERIALIZED (SELECT host, CASE WHEN len(l) > coalesce(size, 1)
+    THEN array_to_string(l[len(l) - coalesce(size, 1):], '.') ELSE '' END AS domain
+    FROM hn LEFT JOIN sz USING (host))"""
+
+
+def page_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with their URLs moved from the example domains to hosts of their own under `SUFFIXES`."""
+    head, rest = (F.regexp_extract("url", x, 1) for x in (r"^(.*?)\.example\.[a-z]+/", r"\.example\.[a-z]+(/.*)$"))
+    return table(spark, sf, "pages").select("page_id", F.concat(
+        head, F.lit("."), ending(F.col("page_id")), rest).alias("url"))
+
+
+PAGE_URLS = f"""pu AS MATERIALIZED (SELECT page_id, regexp_extract(url, '^(.*?)[.]example[.][a-z]+/', 1) || '.' ||
+    {ending_sql('page_id')} || regexp_extract(url, '[.]example[.][a-z]+(/.*)$', 1) AS url FROM pages)"""
+
+
 # --- documents as screenshots --------------------------------------------------------------
 def letter_grid(text: str) -> Column:
     """81 counts: nine letters in nine consecutive parts of the whole text."""
@@ -101,11 +150,11 @@ def _hop(p: Column, kind: Column) -> Column:
         F.when(kind == 0, F.concat(F.lit("http://a.example.com/adServe/banners?tid="), s))
         .when(kind == 1, F.concat(F.lit("http://w.popcash.net/"), s))
         .when(kind == 2, F.concat(F.lit("http://c"), (p % 7).cast("string"),
-                                  F.lit(".example.org/prod/redirect.html?x="), s))
+                                  F.lit(".example."), ending(p % 7), F.lit("/prod/redirect.html?x="), s))
         .when(kind == 3, F.concat(F.lit("http://serve.popads.net/s?c="), s))
         .when(kind == 4, F.concat(F.lit("http://popmyads.com/"), s))
         .when(kind == 5, F.concat(F.lit("http://h"), (p % 15).cast("string"),
-                                  F.lit(".example.net/"), F.substring(m, 1, 2), F.lit("/"),
+                                  F.lit(".example."), ending(p % 15), F.lit("/"), F.substring(m, 1, 2), F.lit("/"),
                                   F.substring(m, 3, 2), F.lit("/"), F.substring(m, 5, 2),
                                   F.lit("/"), m, F.lit(".js")))
         .when(kind == 6, F.concat(F.lit("http://hilltopads.net/"), s))
@@ -124,10 +173,10 @@ def _hop_sql(kind: str) -> str:
     return f"""CASE {kind}
       WHEN 0 THEN 'http://a.example.com/adServe/banners?tid=' || p
       WHEN 1 THEN 'http://w.popcash.net/' || p
-      WHEN 2 THEN 'http://c' || (p % 7) || '.example.org/prod/redirect.html?x=' || p
+      WHEN 2 THEN 'http://c' || (p % 7) || '.example.' || {ending_sql('p % 7')} || '/prod/redirect.html?x=' || p
       WHEN 3 THEN 'http://serve.popads.net/s?c=' || p
       WHEN 4 THEN 'http://popmyads.com/' || p
-      WHEN 5 THEN 'http://h' || (p % 15) || '.example.net/' || substr(md5(p::VARCHAR),1,2) || '/'
+      WHEN 5 THEN 'http://h' || (p % 15) || '.example.' || {ending_sql('p % 15')} || '/' || substr(md5(p::VARCHAR),1,2) || '/'
         || substr(md5(p::VARCHAR),3,2) || '/' || substr(md5(p::VARCHAR),5,2) || '/'
         || md5(p::VARCHAR) || '.js'
       WHEN 6 THEN 'http://hilltopads.net/' || p
@@ -140,11 +189,12 @@ def _hop_sql(kind: str) -> str:
 
 
 def page_ads(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as landing pages; the hash is that of the document with the same number."""
-    p = F.col("page_id")
-    hashes = document_hashes(spark, sf).select(F.col("doc_id").alias("page_id"),
-                                               "screenshot_hash")
-    home = F.concat(F.lit("http://www.pub"), (p % 50).cast("string"), F.lit(".example.com/"))
+    """An ad per document: its hash, and a page, dealt out in turn, as the landing page."""
+    p = F.col("doc_id")
+    hashes = number_rows(document_hashes(spark, sf).select("doc_id", "screenshot_hash"), ["doc_id"], "_doc")
+    pages = number_rows(page_urls(spark, sf), ["page_id"], "_page")
+    ads = hashes.withColumn("_page", F.pmod("_doc", table(spark, sf, "pages").agg(F.count(F.lit(1))).scalar()))
+    home = F.concat(F.lit("http://www.pub"), (p % 50).cast("string"), F.lit(".example."), ending(p % 50), F.lit("/"))
 
     def url_node(u: Column, reason: str) -> Column:
         return F.struct(F.lit("f1").alias("frame_id"), F.lit("URL").alias("kind"),
@@ -159,22 +209,18 @@ def page_ads(spark: SparkSession, sf: str) -> DataFrame:
                  F.lit("click_listener").alias("reason")),
         url_node(_hop(p, F.floor(p / 13) % 13), "Dynamic Script Load"),
         url_node(home, "FIRST"))
-    return table(spark, sf, "pages").select("page_id", "url").join(hashes, "page_id").select(
-        F.col("page_id").cast("string").alias("log_id"), F.col("page_id").alias("line_no"),
-        F.col("url").alias("ad_url"), home.alias("home_url"), "screenshot_hash",
-        chain.alias("redirections"))
+    return ads.join(pages, "_page").select(
+        p.cast("string").alias("log_id"), p.alias("line_no"), F.col("url").alias("ad_url"),
+        home.alias("home_url"), "screenshot_hash", chain.alias("redirections"))
 
 
-PAGE_ADS = DOC_HASHES + f""", pa AS MATERIALIZED (
-  SELECT p, url AS ad_url, screenshot_hash, 'http://www.pub' || (p % 50) || '.example.com/' AS home_url,
+PAGE_ADS = DOC_HASHES + f""", {PAGE_URLS}, pa AS MATERIALIZED (
+  SELECT p, url AS ad_url, screenshot_hash,
+    'http://www.pub' || (p % 50) || '.example.' || {ending_sql('p % 50')} || '/' AS home_url,
     {_hop_sql('p % 13')} AS hop1, {_hop_sql('(p // 13) % 13')} AS hop2
-  FROM (SELECT page_id AS p, url FROM pages) JOIN dh ON p = doc_id)"""
-
-
-def reg_sql(url: str) -> str:
-    """Registrable domain in SQL, for hosts whose public suffix is one label."""
-    return (f"regexp_extract(lower(regexp_extract({url}, '^[a-z]+://([^/?#:]*)', 1)), "
-            "'([^.]+[.][^.]+)$', 1)")
+  FROM (SELECT doc_id AS p, screenshot_hash, (row_number() OVER (ORDER BY doc_id) - 1)
+      % (SELECT count(*) FROM pages) AS pn FROM dh)
+    JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS pn FROM pu) USING (pn))"""
 
 
 def toxic_hashes(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,16 +253,16 @@ def shown_sql(ts: str) -> str:
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(
-        "ts", F.concat(F.lit("http://d"), F.col("user_id").cast("string"),
-                       F.lit(".example.com/"), "event_type", F.lit("?k="),
+        "ts", F.concat(F.lit("http://d"), F.col("user_id").cast("string"), F.lit(".example."),
+                       ending(F.col("user_id")), F.lit("/"), "event_type", F.lit("?k="),
                        F.col("k").cast("string")).alias("url"),
         F.col("event_type").alias("campaign"),
         F.when(F.col("k") % 3 == 0, "binary").otherwise("malvert").alias("class"))
 
 
-OBSERVATIONS = EVENTS + """, obs AS (SELECT ts,
-    'http://d' || user_id || '.example.com/' || event_type || '?k=' || k AS url,
-    'd' || user_id || '.example.com' AS domain, '/' || event_type AS url_path,
+OBSERVATIONS = EVENTS + f""", obs AS (SELECT ts,
+    'http://d' || user_id || '.example.' || {ending_sql('user_id')} || '/' || event_type || '?k=' || k AS url,
+    'd' || user_id || '.example.' || {ending_sql('user_id')} AS domain, '/' || event_type AS url_path,
     event_type AS campaign,
     CASE WHEN k % 3 = 0 THEN 'binary' ELSE 'malvert' END AS class FROM ev)"""
 
@@ -252,65 +298,78 @@ VERDICTS = EVENTS + """, vl AS (SELECT 'd' || user_id AS domain, ts AS query_tim
 _AGENTS = {"signup": "edge_win", "click": "chrome_mac", "view": "ie_win"}
 
 
-def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """Polling attempts: the job is (event type, k), the landing page depends on user and k."""
+def attempts(spark: SparkSession, sf: str, hashes: DataFrame | None = None) -> DataFrame:
+    """Polling attempts: fifty events in a row poll one URL, each with the agent of its type. A
+    quarter of the URLs leads to another document each time, so that all documents are reached; a
+    quarter to one of two, and the rest to one."""
     e = events(spark, sf)
-    k, user = F.col("k"), F.col("user_id")
+    n, user = F.col("event_id"), F.col("user_id")
+    j = F.floor(n / 50)
     agent = F.coalesce(*[F.when(F.col("event_type") == t, a) for t, a in _AGENTS.items()],
                        F.lit("chrome_android"))
-    url = F.concat(F.lit("http://m"), k.cast("string"), F.lit("-feed.com/go?x="),
-                   k.cast("string"))
-    loaded = F.concat(F.lit("http://www.land"), (k % 7).cast("string"), F.lit("-example.com/"),
-                      F.when(k % 3 == 0, (user % 40).cast("string")).otherwise("a"))
-    doc = k + F.when(k % 4 == 0, 100 * (user % 2)).otherwise(0)
-    hashes = document_hashes(spark, sf).select(F.col("doc_id").alias("_doc"), "screenshot_hash")
+    url = F.concat(F.lit("http://m"), j.cast("string"), F.lit("-feed."), ending(j), F.lit("/go?x="),
+                   j.cast("string"))
+    loaded = F.concat(F.lit("http://www.land"), (j % 23).cast("string"), F.lit("-example."),
+                      ending(F.floor(j / 2)), F.lit("/"),
+                      F.when(j % 3 == 0, (user % 40).cast("string")).otherwise("a"))
+    doc = F.when(j % 4 == 0, 50 * F.floor(j / 4) + n % 50).when(
+        j % 4 == 1, j * 31 + 100 * (user % 2)).otherwise(j * 31)
+    hashes = document_hashes(spark, sf) if hashes is None else hashes
+    numbered = number_rows(hashes.select("doc_id", "screenshot_hash"), ["doc_id"], "_doc").drop("doc_id")
     blank = (F.col("event_type") == "error") & (user % 10 == 0)
     return materialise(e.select(
         "event_id", agent.alias("agent"), url.alias("url"), loaded.alias("loaded_url"),
-        doc.alias("_doc"), blank.alias("_blank"), F.col("value").alias("total_time"),
+        F.pmod(doc, hashes.agg(F.count(F.lit(1))).scalar()).alias("_doc"), blank.alias("_blank"),
+        F.col("value").alias("total_time"),
         F.when(F.col("event_type") == "purchase", "True").otherwise("False")
         .alias("downloaded_files"),
         F.concat(agent, F.lit(":"), F.url_encode(url)).alias("job_name"),
-    ).join(hashes, "_doc").withColumn(
+    ).join(numbered, "_doc").withColumn(
         "image_hash", F.when(F.col("_blank"), "0" * 32).otherwise(F.col("screenshot_hash"))
     ).drop("_doc", "_blank", "screenshot_hash"))
 
 
-ATTEMPTS = DOC_HASHES + ", " + EVENTS + """, at0 AS (SELECT event_id, k,
+ATTEMPTS = DOC_HASHES + ", " + EVENTS + f""", at0 AS (SELECT event_id, j,
     CASE event_type WHEN 'signup' THEN 'edge_win' WHEN 'click' THEN 'chrome_mac'
       WHEN 'view' THEN 'ie_win' ELSE 'chrome_android' END AS agent,
-    'http://m' || k || '-feed.com/go?x=' || k AS url,
-    'http://www.land' || (k % 7) || '-example.com/' ||
-      CASE WHEN k % 3 = 0 THEN (user_id % 40)::VARCHAR ELSE 'a' END AS loaded_url,
-    k + CASE WHEN k % 4 = 0 THEN 100 * (user_id % 2) ELSE 0 END AS doc,
+    'http://m' || j || '-feed.' || {ending_sql('j')} || '/go?x=' || j AS url,
+    'http://www.land' || (j % 23) || '-example.' || {ending_sql('j // 2')} || '/' ||
+      CASE WHEN j % 3 = 0 THEN (user_id % 40)::VARCHAR ELSE 'a' END AS loaded_url,
+    (CASE WHEN j % 4 = 0 THEN 50 * (j // 4) + event_id % 50
+      WHEN j % 4 = 1 THEN j * 31 + 100 * (user_id % 2) ELSE j * 31 END) % (SELECT count(*) FROM dh) AS doc,
     event_type = 'error' AND user_id % 10 = 0 AS blank, value AS total_time,
-    CASE WHEN event_type = 'purchase' THEN 'True' ELSE 'False' END AS downloaded_files FROM ev),
-  att AS MATERIALIZED (SELECT at0.*, 'land' || (k % 7) || '-example.com' AS landed,
+    CASE WHEN event_type = 'purchase' THEN 'True' ELSE 'False' END AS downloaded_files
+  FROM (SELECT *, event_id // 50 AS j FROM ev)),
+  {domains_sql('SELECT loaded_url AS url FROM at0 UNION SELECT url FROM at0')},
+  att AS MATERIALIZED (SELECT at0.*, l.domain AS landed, u.domain AS polled,
     CASE WHEN blank THEN repeat('0', 32) ELSE screenshot_hash END AS image_hash
-  FROM at0 JOIN dh ON dh.doc_id = at0.doc)"""
+  FROM at0 JOIN (SELECT screenshot_hash, row_number() OVER (ORDER BY doc_id) - 1 AS doc FROM dh) USING (doc)
+    JOIN dom l ON l.host = {host_sql('loaded_url')} JOIN dom u ON u.host = {host_sql('url')})"""
 
 
-def sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def sources(spark: SparkSession, sf: str, hashes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Known domains, hashes and upstream domains for the funnel."""
     nations = table(spark, sf, "nation")
+    n = F.col("n_nationkey")
     docs = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    hashes = document_hashes(spark, sf) if hashes is None else hashes
     return {
-        "ad_domains": table(spark, sf, "region").select(F.concat(
-            F.lit("land"), F.col("r_regionkey").cast("string"), F.lit("-example.com"))
+        "ad_domains": nations.select(F.concat(
+            F.lit("land"), (n % 23).cast("string"), F.lit("-example."), ending(F.floor(n / 2)))
             .alias("ad_domain")),
-        "image_hashes": document_hashes(spark, sf).join(docs, "doc_id", "left_semi").select(
+        "image_hashes": hashes.join(docs, "doc_id", "left_semi").select(
             F.col("screenshot_hash").alias("image_hash")).distinct(),
         "upstream_domains": nations.select(F.concat(
-            F.lit("m"), (F.col("n_nationkey") * 9).cast("string"), F.lit("-feed.com"))
+            F.lit("m"), (n * 9).cast("string"), F.lit("-feed."), ending(n * 9))
             .alias("upstream_domain")),
     }
 
 
-SOURCES = ATTEMPTS + """, ad_domains AS (SELECT 'land' || r_regionkey || '-example.com' AS d
-    FROM region),
+SOURCES = ATTEMPTS + f""", ad_domains AS (SELECT 'land' || (n_nationkey % 23) || '-example.' ||
+    {ending_sql('n_nationkey // 2')} AS d FROM nation),
   known AS MATERIALIZED (SELECT DISTINCT screenshot_hash AS h FROM dh
     WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-  ups AS (SELECT 'm' || (n_nationkey * 9) || '-feed.com' AS d FROM nation)"""
+  ups AS (SELECT 'm' || (n_nationkey * 9) || '-feed.' || {ending_sql('n_nationkey * 9')} AS d FROM nation)"""
 
 
 # --- browser events ------------------------------------------------------------------------

@@ -37,10 +37,11 @@ def campaigns_seen(spark, sf):
         "last_seen", shown("last_seen"))
 
 
-@query("domain_slds", f"""WITH {I.OBSERVATIONS}
-SELECT DISTINCT 'example.com' AS sld, domain FROM obs""")
+@query("domain_slds", f"""WITH {I.OBSERVATIONS}, {I.domains_sql('SELECT url FROM obs')}
+SELECT domain AS sld, host AS domain FROM dom""")
 def domain_slds(spark, sf):
-    return reputation.domain_slds(reputation.split_observations(I.observations(spark, sf)))
+    return reputation.domain_slds(reputation.split_observations(I.observations(spark, sf)),
+                                  I.suffix_rules(spark))
 
 
 _TIMES = ("first_query_time", "last_query_time")
@@ -210,7 +211,8 @@ def next_hops(spark, sf):
 @query("new_domain_jobs", f"""WITH {I.SOURCES} SELECT agent, url FROM att GROUP BY 1, 2
 HAVING bool_or(landed NOT IN (SELECT d FROM ad_domains))""")
 def new_domain_jobs(spark, sf):
-    return tracking.keep_new_domain_jobs(I.attempts(spark, sf), I.sources(spark, sf)["ad_domains"])
+    return tracking.keep_new_domain_jobs(
+        I.attempts(spark, sf), I.sources(spark, sf)["ad_domains"], I.suffix_rules(spark))
 
 
 _MATCH = I.SOURCES + f""", ih AS (SELECT DISTINCT image_hash AS h FROM att),
@@ -222,8 +224,9 @@ _MATCH = I.SOURCES + f""", ih AS (SELECT DISTINCT image_hash AS h FROM att),
   CASE WHEN min(bits) = 0 THEN 'same' ELSE 'similar' END AS match
 FROM att JOIN near ON near.h = image_hash GROUP BY 1, 2""")
 def known_hash_jobs(spark, sf):
-    return tracking.keep_known_hash_jobs(I.attempts(spark, sf),
-                                         I.sources(spark, sf)["image_hashes"])
+    hashes = I.document_hashes(spark, sf)
+    return tracking.keep_known_hash_jobs(I.attempts(spark, sf, hashes),
+                                         I.sources(spark, sf, hashes)["image_hashes"])
 
 
 _DEDUPE = f""", sets AS (SELECT url, agent, CASE agent WHEN 'edge_win' THEN 0 WHEN 'chrome_mac' THEN 1
@@ -267,20 +270,22 @@ _FUNNEL = _MATCH + f""", new AS (SELECT agent, url FROM att GROUP BY 1, 2
     HAVING bool_or(landed NOT IN (SELECT d FROM ad_domains))),
   matched AS (SELECT DISTINCT agent, url FROM att JOIN near ON near.h = image_hash
     SEMI JOIN new USING (agent, url)),
-  expected AS (SELECT agent, url FROM (SELECT DISTINCT agent, url, k FROM att)
-    WHERE k NOT IN (SELECT n_nationkey FROM nation)),
+  expected AS (SELECT agent, url FROM (SELECT DISTINCT agent, url, j FROM att)
+    WHERE j NOT IN (SELECT n_nationkey FROM nation)),
   listed AS (SELECT agent, url FROM matched SEMI JOIN expected USING (agent, url)),
-  todo AS (SELECT agent, url FROM listed
-    WHERE regexp_extract(url, '//([^/]*)', 1) NOT IN (SELECT d FROM ups)) {_DEDUPE}"""
+  todo AS (SELECT DISTINCT agent, url FROM att SEMI JOIN listed USING (agent, url)
+    WHERE polled NOT IN (SELECT d FROM ups)) {_DEDUPE}"""
 
 
 def _funnel(spark, sf):
-    att = I.attempts(spark, sf)
+    hashes = I.document_hashes(spark, sf)
+    att = I.attempts(spark, sf, hashes)
+    n = F.col("n_nationkey")
     skipped = table(spark, sf, "nation").select(F.concat(
-        F.lit("http://m"), F.col("n_nationkey").cast("string"), F.lit("-feed.com/go?x="),
-        F.col("n_nationkey").cast("string")).alias("url"))
+        F.lit("http://m"), n.cast("string"), F.lit("-feed."), I.ending(n), F.lit("/go?x="),
+        n.cast("string")).alias("url"))
     expected = jobs.minus(att.select("agent", "url").distinct(), skipped, ["url"])
-    return (att, *tracking.milking_funnel(att, I.sources(spark, sf), expected))
+    return (att, *tracking.milking_funnel(att, I.sources(spark, sf, hashes), expected, I.suffix_rules(spark)))
 
 
 @query("milking_funnel", f"""WITH {_FUNNEL}
@@ -327,29 +332,36 @@ def download_rate(spark, sf):
   ORDER BY doc_id LIMIT 1)
 SELECT DISTINCT agent, url FROM att, probe WHERE {I.ham_sql('image_hash', 'p')} <= 40""")
 def find_hash(spark, sf):
-    probe = I.document_hashes(spark, sf).orderBy("doc_id").first()["screenshot_hash"]
-    return tracking.find_hash(I.attempts(spark, sf), probe, 40)
+    hashes = I.document_hashes(spark, sf)
+    probe = hashes.agg(F.min_by("screenshot_hash", "doc_id")).scalar()
+    return tracking.find_hash(I.attempts(spark, sf, hashes), probe, 40)
 
 
-_MILK = I.PAGE_ADS + f""", w AS MATERIALIZED (SELECT p, screenshot_hash, {I.reg_sql('ad_url')} AS ad_domain,
-    [hop1, hop2, home_url] AS hops FROM pa),
-  oth AS MATERIALIZED (SELECT p, screenshot_hash, ad_domain, u, {I.reg_sql('u')} AS d, i,
+_MILK = I.PAGE_ADS + f""", {I.domains_sql("""SELECT ad_url AS url FROM pa UNION SELECT hop1 FROM pa
+    UNION SELECT hop2 FROM pa UNION SELECT home_url FROM pa""")},
+  w AS MATERIALIZED (SELECT p, screenshot_hash, domain AS ad_domain, [hop1, hop2, home_url] AS hops
+    FROM pa JOIN dom ON host = {I.host_sql('ad_url')}),
+  oth AS MATERIALIZED (SELECT p, screenshot_hash, ad_domain, u, domain AS d, i,
     row_number() OVER (PARTITION BY p ORDER BY i) AS rn
     FROM (SELECT *, unnest(hops) AS u, generate_subscripts(hops, 1) AS i FROM w)
-    WHERE {I.reg_sql('u')} <> ad_domain),
+      JOIN dom ON host = {I.host_sql('u')} WHERE domain <> ad_domain),
   polled AS (SELECT p, u, d FROM oth WHERE rn = 1 AND screenshot_hash <> repeat('0', 32) AND d <> ''),
   firsts AS (SELECT d AS domain, arg_min(u, p) AS milking_url FROM polled GROUP BY 1),
   upd AS (SELECT DISTINCT d FROM oth WHERE rn > 1 OR screenshot_hash = repeat('0', 32))"""
 
 
+def _milked(spark, sf):
+    return tracking.milking_urls(I.page_ads(spark, sf), I.suffix_rules(spark), ["line_no"])
+
+
 @query("milking_urls", f"WITH {_MILK} SELECT domain, milking_url FROM firsts")
 def milking_urls(spark, sf):
-    return tracking.milking_urls(I.page_ads(spark, sf), ["line_no"])["milking_urls"]
+    return _milked(spark, sf)["milking_urls"]
 
 
 @query("upstream_domains", f"WITH {_MILK} SELECT d AS upstream_domain FROM upd")
 def upstream_domains(spark, sf):
-    return tracking.milking_urls(I.page_ads(spark, sf), ["line_no"])["upstream_domains"]
+    return _milked(spark, sf)["upstream_domains"]
 
 
 @query("milking_summary", f"""WITH {_MILK} SELECT
@@ -359,7 +371,7 @@ def upstream_domains(spark, sf):
   (SELECT count(*) FROM (SELECT ad_domain FROM w UNION SELECT domain FROM firsts
     UNION SELECT d FROM upd)) AS all_domains""")
 def milking_summary(spark, sf):
-    return tracking.milking_summary(tracking.milking_urls(I.page_ads(spark, sf), ["line_no"]))
+    return tracking.milking_summary(_milked(spark, sf))
 
 
 # --- records -------------------------------------------------------------------------------

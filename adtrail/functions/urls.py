@@ -1,8 +1,8 @@
-"""URL columns: parts, registrable domain, image test, job names."""
+"""URL columns: parts, image test, job names. Registrable domains are in `adtrail.operators.domains`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from adtrail import fixed
 from adtrail.functions.cols import Col, as_col
@@ -11,7 +11,7 @@ _AUTHORITY = r"^(?:[a-zA-Z0-9+.-]+:)?//([^/?#]*)"
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"^[^?#]*\?([^#]*)"
 _HOST = r"^(?:(?:[a-zA-Z0-9+.-]+:)?//)?(?:[^/?#]*@)?([^/?#:@]*)"
-_IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
+IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
 def netloc(url: Col) -> Column:
@@ -33,68 +33,11 @@ def host(url: Col) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(as_col(url), _HOST, 1)), r"\.+$", "")
 
 
-def _label(labels: Column, from_end: int) -> Column:
-    return F.coalesce(F.try_element_at(labels, F.lit(-from_end)), F.lit(""))
-
-
-def _suffix_size(labels: Column) -> Column:
-    last, second = _label(labels, 1), _label(labels, 2)
-    two = last.isin(*fixed.SECOND_LEVEL_COUNTRIES) & second.isin(*fixed.SECOND_LEVEL_LABELS)
-    return F.when(two, 2).otherwise(1)
-
-
-def registered_domain(url: Col) -> Column:
-    """Public suffix plus one label; ``""`` for addresses and bare suffixes. The last label is the
-    suffix where no longer one is known."""
-    name = host(url)
-    labels = F.split(name, r"\.")
-    size = _suffix_size(labels)
-    found = ~name.rlike(_IPV4) & (F.size(labels) > size)
-    wanted = F.least(size + 1, F.size(labels))
-    return F.when(found, F.array_join(F.slice(labels, -wanted, wanted), ".")).otherwise("")
-
-
 def fqdn(url: Col) -> Column:
     """The host with empty labels dropped."""
     return F.array_join(F.filter(F.split(host(url), r"\."), lambda p: p != ""), ".")
 
 
-def registered_domain_by_rules(df: DataFrame, url: str, rules: DataFrame, out: str) -> DataFrame:
-    """`registered_domain` against a full rule table ``rule string`` (``*.x``, ``!y.x`` allowed).
-
-    Distinct hosts are resolved once by equi-joins and joined back, so copies of a host cost
-    nothing and the rule table (a public list of bounded size) may be broadcast by Spark.
-    """
-    kinds = rules.select(
-        F.regexp_replace("rule", r"^(\*\.|!)", "").alias("_tail"),
-        F.when(F.col("rule").startswith("*."), 1).when(F.col("rule").startswith("!"), -1)
-        .otherwise(0).alias("_extra"),
-    ).distinct()
-    hosts = df.select(host(url).alias("_host")).distinct()
-    tails = hosts.select(
-        "_host", F.split("_host", r"\.").alias("_labels")
-    ).select("_host", "_labels", F.posexplode(
-        F.transform(F.sequence(F.lit(1), F.size("_labels")),
-                    lambda i: F.array_join(F.slice(F.col("_labels"), -i, i), "."))
-    ).alias("_pos", "_tail"))
-    hits = tails.join(kinds, "_tail").select(
-        "_host", "_labels",
-        # an exception rule beats every other; otherwise the longest suffix wins
-        F.when(F.col("_extra") == -1, F.lit(1000) + F.col("_pos"))
-        .otherwise(F.col("_pos") + 1 + F.col("_extra")).alias("_rank"),
-    )
-    best = hits.groupBy("_host").agg(F.max("_rank").alias("_rank"))
-    n_labels = F.size(F.split("_host", r"\."))
-    size = F.when(F.col("_rank") >= 1000, F.col("_rank") - 1000).otherwise(F.col("_rank"))
-    resolved = best.where(~F.col("_host").rlike(_IPV4)).select(
-        "_host", size.alias("_size"), F.split("_host", r"\.").alias("_l")
-    ).where(F.col("_size") < n_labels).select(
-        "_host", F.array_join(F.slice("_l", -(F.col("_size") + 1), F.col("_size") + 1), ".")
-        .alias(out))
-    return (df.withColumn("_host", host(url)).join(resolved, "_host", "left")
-            .withColumn(out, F.coalesce(out, F.lit(""))).drop("_host"))
-
-
 def is_image_url(url: Col, extensions=fixed.IMAGE_EXTENSIONS) -> Column:
     """The last path segment ends in a known image extension (case-sensitive)."""
     return F.regexp_extract(url_path(url), r"\.([^./]*)$", 1).isin(*extensions)
@@ -123,8 +66,3 @@ def strip_www(domain: Col, exact: bool = False) -> Column:
     """Drop a leading ``www.``; ``exact`` drops the first four characters unseen."""
     d = as_col(domain)
     return F.substring(d, 5, 1 << 30) if exact else F.regexp_replace(d, r"^www\.", "")
-
-
-def third_party(url: Col, home: Col) -> Column:
-    """The URL belongs to another registrable domain than the home page."""
-    return registered_domain(url) != registered_domain(home)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from adtrail import fixed
 from adtrail.functions import urls
+from adtrail.operators.domains import with_domains
+from adtrail.plans.cut import materialise
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
@@ -31,25 +33,29 @@ def listed(df: DataFrame, threat_list: DataFrame, domain: str) -> DataFrame:
         "listed", F.col("_d").isNotNull()).drop("_d")
 
 
-def ad_summaries(ads: DataFrame, hash_col: str = "screenshot_hash") -> DataFrame:
+def ad_summaries(ads: DataFrame, rules: DataFrame, hash_col: str = "screenshot_hash") -> DataFrame:
     """Per hash: ads, landing hosts, home domains and seed domains.
 
-    ``ads`` needs ``ad_url``, ``home_url`` and ``seed_domain``.
+    ``ads`` needs ``ad_url``, ``home_url`` and ``seed_domain``; ``rules`` are public-suffix rules.
     """
-    return ads.groupBy(hash_col).agg(
+    return with_domains(ads, {"_home": "home_url"}, rules).groupBy(hash_col).agg(
         F.count(F.lit(1)).alias("ads"),
         F.count_distinct(urls.fqdn("ad_url")).alias("landing_hosts"),
-        F.count_distinct(urls.registered_domain("home_url")).alias("home_domains"),
+        F.count_distinct("_home").alias("home_domains"),
         F.count_distinct("seed_domain").alias("seed_domains"))
 
 
-def summary_members(ads: DataFrame, hash_col: str = "screenshot_hash") -> DataFrame:
-    """The sets behind `ad_summaries`, one row per distinct (hash, kind, value)."""
-    kinds = F.explode(F.array(
-        F.struct(F.lit("landing").alias("kind"), urls.fqdn("ad_url").alias("value")),
-        F.struct(F.lit("home").alias("kind"), urls.registered_domain("home_url").alias("value")),
-        F.struct(F.lit("seed").alias("kind"), F.col("seed_domain").alias("value"))))
-    return ads.select(hash_col, kinds.alias("m")).select(hash_col, "m.kind", "m.value").distinct()
+def summary_members(ads: DataFrame, hash_col: str = "screenshot_hash",
+                    rules: DataFrame | None = None) -> DataFrame:
+    """The sets behind `ad_summaries`, one row per distinct (hash, kind, value); home domains only
+    if there are suffix rules to find them by."""
+    if rules is not None:
+        ads = with_domains(ads, {"_home": "home_url"}, rules)
+    kinds = {"landing": urls.fqdn("ad_url"), "seed": F.col("seed_domain")} | (
+        {"home": F.col("_home")} if rules is not None else {})
+    members = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value"))
+                                  for k, v in kinds.items()]))
+    return ads.select(hash_col, members.alias("m")).select(hash_col, "m.kind", "m.value").distinct()
 
 
 def campaign_table(members: DataFrame, campaign_map: DataFrame, all_ads: DataFrame,
@@ -66,7 +72,7 @@ def campaign_table(members: DataFrame, campaign_map: DataFrame, all_ads: DataFra
     # renamed, so that both inputs may come from the same table
     per_hash = all_ads.groupBy(F.col(hash_col).alias("_hash")).agg(
         F.count(F.lit(1)).alias("ads"))
-    tagged = mine.join(per_hash, F.col(hash_col) == F.col("_hash"), "left").drop("_hash")
+    tagged = materialise(mine.join(per_hash, F.col(hash_col) == F.col("_hash"), "left").drop("_hash"))
     owner = tagged.where("ads is not null").groupBy(hash_col).agg(
         F.min(F.struct("category", "label")).alias("o"), F.first("ads").alias("ads")).select(
         hash_col, "o.category", "o.label", "ads")
@@ -74,16 +80,16 @@ def campaign_table(members: DataFrame, campaign_map: DataFrame, all_ads: DataFra
 
     attacks = owner.select("category", F.col("ads").alias("n")).unionByName(
         alone.select("category", F.lit(1).cast("long").alias("n")))
-    sets = summary_members(all_ads.withColumn("home_url", F.lit(None).cast("string")), hash_col)
-    sets = sets.withColumnRenamed(hash_col, "_hash")
-    owned = owner.join(sets, F.col(hash_col) == F.col("_hash")).drop("_hash")
+    sets = summary_members(all_ads, hash_col).withColumnRenamed(hash_col, "_hash")
+    owned = materialise(owner.join(sets, F.col(hash_col) == F.col("_hash")).drop("_hash"))
     landing = owned.where("kind = 'landing'").select(
         "category", "label", F.col("value").alias("landing")).unionByName(
-        alone.select("category", "label", "landing")).where(F.col("landing") != "").distinct()
+        alone.select("category", "label", "landing")).distinct()
     publishers = owned.where("kind = 'seed'").select("category", "value").distinct()
     all_publishers = publishers.select("value").unionByName(
         alone.select(F.col("seed_domain").alias("value")))
-    flagged = listed(landing, threat_list, "landing").where("listed").select(
+    # a landing page without host counts as one, but is not looked up
+    flagged = listed(landing.where(F.col("landing") != ""), threat_list, "landing").where("listed").select(
         "category", "label").distinct()
 
     def per(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from adtrail import fixed
 from adtrail.functions import urls
 from adtrail.functions.fields import ipv4_answers, verdict_flags
+from adtrail.operators.domains import with_domains
 
 
 def split_observations(observations: DataFrame) -> DataFrame:
@@ -34,10 +35,10 @@ def campaigns_seen(observations: DataFrame, ts: str = "ts") -> DataFrame:
     return observations.groupBy("campaign").agg(F.max(ts).alias("last_seen"))
 
 
-def domain_slds(observations: DataFrame) -> DataFrame:
+def domain_slds(observations: DataFrame, rules: DataFrame) -> DataFrame:
     """Each domain once, with its registrable domain."""
-    return observations.select("domain").distinct().select(
-        urls.registered_domain("domain").alias("sld"), "domain")
+    return with_domains(observations.select("domain").distinct(), {"sld": "domain"}, rules).select(
+        "sld", "domain")
 
 
 def verdict_aggregates(ts: str = "query_time", result: str = "result",

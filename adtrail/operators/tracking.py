@@ -5,11 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adtrail import fixed
 from adtrail.functions import bits, urls
 from adtrail.operators.cluster import nearest_known, with_lanes
+from adtrail.operators.domains import with_domains
 from adtrail.plans.cut import materialise
 from adtrail.plans.groups import first_per
 
@@ -24,63 +25,59 @@ def parse_attempts(results: DataFrame) -> DataFrame:
         {"agent": F.col("_j.agent"), "url": F.col("_j.url")}).drop("_j")
 
 
-def milking_urls(ads: DataFrame, order_by: Sequence[str] = ("log_id", "src_file", "line_no")
-                 ) -> dict[str, DataFrame]:
+def milking_urls(ads: DataFrame, rules: DataFrame,
+                 order_by: Sequence[str] = ("log_id", "src_file", "line_no")) -> dict[str, DataFrame]:
     """Sources to poll, from clustered ads with chains.
 
-    Walking up a chain (the landing page skipped), the first URL of another domain is the one to
-    poll; later ones are upstream. A blank landing page gives no URL to poll. Returns the tables
-    ``ad_domains``, ``image_hashes``, ``milking_urls`` (one per polled domain, the first in
-    input order) and ``upstream_domains``.
+    Walking up a chain (the landing page skipped), the first URL of another registrable domain (by
+    the suffix ``rules``) is the one to poll; later ones are upstream. A blank landing page gives no
+    URL to poll. Returns the tables ``ad_domains``, ``image_hashes``, ``milking_urls`` (one per
+    polled domain, the first in input order) and ``upstream_domains``.
     """
-    landed = ads.withColumn("ad_domain", urls.registered_domain("ad_url"))
-    # domains are worked out once per hop, in their own projection
-    hops = F.transform(
-        F.filter(F.slice("redirections", 2, 1 << 30), lambda n: n["kind"] == "URL"),
-        lambda n: F.struct(n["value"].alias("url"),
-                           urls.registered_domain(n["value"]).alias("domain")))
-    walked = landed.withColumn("_hops", hops).withColumn("_other", F.expr(
-        "filter(_hops, h -> h.domain <> ad_domain)"))
-    blank = F.col("screenshot_hash") == fixed.ZERO_HASH
-    found = walked.withColumns({
-        "polled": F.when(~blank, F.try_element_at("_other", F.lit(1))),
-        "upstream": F.when(blank, F.col("_other")).otherwise(F.slice("_other", 2, 1 << 30)),
-    })
-    polled = found.where("polled.domain <> ''").select(
-        F.col("polled.url").alias("milking_url"), F.col("polled.domain").alias("domain"),
-        *order_by)
+    landed = materialise(with_domains(
+        ads.select(*order_by, "ad_url", "screenshot_hash", "redirections"), {"ad_domain": "ad_url"}, rules
+    ).withColumn("_ad", F.monotonically_increasing_id()))
+    hops = landed.select("_ad", *order_by, "ad_domain", "screenshot_hash", F.posexplode("redirections").alias(
+        "_hop", "_node")).where("_hop > 0 and _node.kind = 'URL'")
+    other = with_domains(hops.withColumn("url", F.col("_node.value")).drop("_node"),
+                         {"domain": "url"}, rules).where("domain <> ad_domain")
+    # a chain is a few dozen hops at the most, so is its window
+    nth = F.row_number().over(Window.partitionBy("_ad").orderBy("_hop"))
+    blank = F.coalesce(F.col("screenshot_hash") == fixed.ZERO_HASH, F.lit(False))
+    found = materialise(other.withColumn("_polled", (nth == 1) & ~blank))
+    polled = found.where("_polled and domain <> ''").select(
+        F.col("url").alias("milking_url"), "domain", *order_by)
     return {
         "ad_domains": landed.select("ad_domain").distinct(),
-        "image_hashes": ads.select(F.col("screenshot_hash").alias("image_hash")).distinct(),
+        "image_hashes": landed.select(F.col("screenshot_hash").alias("image_hash")).distinct(),
         "milking_urls": first_per(polled, ["domain"], order_by).select("domain", "milking_url"),
-        "upstream_domains": found.select(F.explode("upstream").alias("u")).select(
-            F.col("u.domain").alias("upstream_domain")).distinct(),
+        "upstream_domains": found.where("not _polled").select(
+            F.col("domain").alias("upstream_domain")).distinct(),
     }
 
 
 def milking_summary(sources: dict[str, DataFrame]) -> DataFrame:
-    """Sizes of the source tables and of the union of all their domains."""
-    everything = sources["ad_domains"].toDF("d").unionByName(
-        sources["milking_urls"].select(F.col("domain").alias("d"))).unionByName(
-        sources["upstream_domains"].toDF("d"))
-
-    def n(df: DataFrame) -> DataFrame:
-        return df.distinct().agg(F.count(F.lit(1)).alias("ad_domains"))
-
-    return n(sources["ad_domains"]).withColumns({
-        "image_hashes": n(sources["image_hashes"]).scalar(),
-        "milking_urls": n(sources["milking_urls"]).scalar(),
-        "upstream_domains": n(sources["upstream_domains"]).scalar(),
-        "all_domains": n(everything).scalar()})
-
-
-def keep_new_domain_jobs(attempts: DataFrame, ad_domains: DataFrame,
-                         landing: Column | None = None) -> DataFrame:
+    """Sizes of the source tables and of the union of all their domains, in one aggregation of the
+    tagged values."""
+    columns = {"ad_domains": "ad_domain", "image_hashes": "image_hash", "milking_urls": "domain",
+               "upstream_domains": "upstream_domain"}
+    tagged = None
+    for name, column in columns.items():
+        rows = sources[name].select(F.lit(name).alias("kind"), F.col(column).alias("value"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    is_hash = F.col("kind") == "image_hashes"
+    held = tagged.groupBy("value", is_hash.alias("_hash")).agg(
+        *[F.max(F.col("kind") == name).alias(name) for name in columns])
+    return held.agg(*[F.count_if(name).alias(name) for name in columns],
+                    F.count_if(~F.col("_hash")).alias("all_domains"))
+
+
+def keep_new_domain_jobs(attempts: DataFrame, ad_domains: DataFrame, rules: DataFrame,
+                         landing: str = "loaded_url") -> DataFrame:
     """Jobs of which any attempt landed on a domain that is not known yet: ``(agent, url)``."""
-    where = urls.registered_domain("loaded_url") if landing is None else landing
     known = ad_domains.toDF("_landed").distinct().withColumn("_known", F.lit(True))
-    return attempts.select(*JOB, where.alias("_landed")).distinct().join(
-        known, "_landed", "left").groupBy(*JOB).agg(
+    landed = with_domains(attempts.select(*JOB, landing).distinct(), {"_landed": landing}, rules)
+    return landed.select(*JOB, "_landed").distinct().join(known, "_landed", "left").groupBy(*JOB).agg(
         F.max(F.col("_known").isNull()).alias("_new")).where("_new").select(*JOB)
 
 
@@ -214,23 +211,21 @@ def dedupe_agents(attempts: DataFrame, preference: Sequence[str] = fixed.AGENT_P
     return judged.select("url", kept.alias("k")).where("k.keep").select("k.agent", "url")
 
 
-def milking_funnel(attempts: DataFrame, sources: dict[str, DataFrame],
-                   expected: DataFrame, preference: Sequence[str] = fixed.AGENT_PREFERENCE,
-                   landing: Column | None = None, polled: Column | None = None
+def milking_funnel(attempts: DataFrame, sources: dict[str, DataFrame], expected: DataFrame,
+                   rules: DataFrame, preference: Sequence[str] = fixed.AGENT_PREFERENCE
                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All filters in turn: ``(jobs kept, upstream jobs, jobs left after each stage)``.
 
-    ``expected``: the (agent, url) jobs of the current source list. Each stage is a small table
-    of job keys; the attempts themselves are only read, never rewritten.
+    ``expected``: the (agent, url) jobs of the current source list; ``rules``: public-suffix rules.
+    Each stage is a small table of job keys; the attempts themselves are only read, never rewritten.
     """
-    new = keep_new_domain_jobs(attempts, sources["ad_domains"], landing)
-    new = materialise(new)
+    new = materialise(keep_new_domain_jobs(attempts, sources["ad_domains"], rules))
     after_new = attempts.join(new, JOB, "left_semi")
     matched = materialise(keep_known_hash_jobs(after_new, sources["image_hashes"]))
     listed, other = split_by_membership(matched, expected, JOB)
-    site = urls.registered_domain("url") if polled is None else polled
+    listed = materialise(listed)
     up, rest = split_by_membership(
-        listed.withColumn("upstream_domain", site), sources["upstream_domains"].toDF(
+        with_domains(listed, {"upstream_domain": "url"}, rules), sources["upstream_domains"].toDF(
             "upstream_domain"), ["upstream_domain"])
     rest = materialise(rest.select(*JOB))
     upstream = materialise(other.select(*JOB).unionByName(up.select(*JOB)))
@@ -282,8 +277,9 @@ def download_rate(results: DataFrame) -> DataFrame:
                        F.count_if(F.col("with") == 0).alias("jobs_without_download"))
 
 
-def find_hash(attempts: DataFrame, image_hash: str,
+def find_hash(attempts: DataFrame, image_hash: str | Column,
               max_bits: int = fixed.SIMILAR_BITS) -> DataFrame:
-    """Jobs that saw a hash near the given one."""
-    return attempts.where(bits.hamming("image_hash", F.lit(image_hash)) <= max_bits).select(
+    """Jobs that saw a hash near the given one: a value, or a column such as a scalar subquery."""
+    wanted = F.lit(image_hash) if isinstance(image_hash, str) else image_hash
+    return attempts.where(bits.hamming("image_hash", wanted) <= max_bits).select(
         *JOB).distinct()

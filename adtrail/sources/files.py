@@ -15,6 +15,9 @@ from adtrail.functions.fields import parse_rank
 from adtrail.plans.groups import first_per, number_rows
 from adtrail.sources.logs import log_name
 
+#: Starts the second part of a public-suffix list (fixed value).
+PRIVATE_SUFFIXES = "// ===BEGIN PRIVATE DOMAINS==="
+
 
 # --- ads -----------------------------------------------------------------------------------
 def _hop(entry: Column) -> Column:
@@ -96,6 +99,28 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
         "value", log_name(F.col("_metadata.file_path")).alias("list")))
 
 
+def read_suffix_rules(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
+    """Rules of a published public-suffix list as ``(rule)``: a line's text up to the first white
+    space, comments left out. The list is one small file; its private section counts on request.
+    Rules with letters outside ASCII are given in their ``xn--`` form too, as hosts write them.
+    """
+    whole = F.col("value") if private else F.split("value", PRIVATE_SUFFIXES)[0]
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(whole, r"\r?\n")).alias("line"))
+    rules = lines.select(F.regexp_extract("line", r"^\s*(\S*)", 1).alias("rule")).where(
+        (F.col("rule") != "") & ~F.col("rule").startswith("//"))
+    return rules.mapInPandas(_both_forms, "rule string")
+
+
+def _both_forms(batches):
+    def ascii_form(rule: str) -> str:
+        return ".".join(x if x.isascii() else x.encode("idna").decode() for x in rule.split("."))
+
+    for df in batches:
+        coded = df["rule"].map(ascii_form)
+        yield df
+        yield coded[coded != df["rule"]].to_frame()
+
+
 def read_job_list(spark: SparkSession, path: str) -> DataFrame:
     """Domains (second field) of ``agent:domain`` lines, each once."""
     return job_domains(spark.read.text(path))

@@ -20,32 +20,15 @@ def test_url_parts(spark):
         spark,
         [("http://u:p@WWW.Example.co.uk:80/a/b.js;p=1?x=1#f",), ("//x.org/y",), ("",),
          ("http://10.0.0.1/x.png",), ("http://com/",), ("http://x.com?q=/a",)],
-        "u string", urls.netloc("u"), urls.url_path("u"), urls.url_query("u"),
-        urls.registered_domain("u"), urls.fqdn("u"), urls.is_image_url("u"))
+        "u string", urls.netloc("u"), urls.url_path("u"), urls.url_query("u"), urls.fqdn("u"),
+        urls.is_image_url("u"))
     assert got == [
-        ("u:p@WWW.Example.co.uk:80", "/a/b.js", "x=1", "example.co.uk", "www.example.co.uk", False),
-        ("x.org", "/y", "", "x.org", "x.org", False),
-        ("", "", "", "", "", False),
-        ("10.0.0.1", "/x.png", "", "", "10.0.0.1", True),
-        ("com", "/", "", "", "com", False),
-        ("x.com", "", "q=/a", "x.com", "x.com", False)]
-
-
-def test_last_label_is_the_suffix_where_none_is_known(spark):
-    got = values(spark, [("http://x.foo.science/",), ("http://foo.agency/",), ("http://science/",),
-                         ("http://10.0.0.1/",)], "u string", urls.registered_domain("u"))
-    assert got == [("foo.science",), ("foo.agency",), ("",), ("",)]
-
-
-def test_registered_domain_rules_agree_with_the_column_form(spark):
-    df = spark.createDataFrame(
-        [("http://a.b.ck/",), ("http://www.ck/",), ("http://b.ck",), ("http://x.y.co.uk/",),
-         ("http://1.2.3.4/",), ("http://a.nowhere",)], "u string")
-    rules = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",)],
-                                  "rule string")
-    got = {r.u: r.d for r in urls.registered_domain_by_rules(df, "u", rules, "d").collect()}
-    assert got == {"http://a.b.ck/": "a.b.ck", "http://www.ck/": "www.ck", "http://b.ck": "",
-                   "http://x.y.co.uk/": "y.co.uk", "http://1.2.3.4/": "", "http://a.nowhere": ""}
+        ("u:p@WWW.Example.co.uk:80", "/a/b.js", "x=1", "www.example.co.uk", False),
+        ("x.org", "/y", "", "x.org", False),
+        ("", "", "", "", False),
+        ("10.0.0.1", "/x.png", "", "10.0.0.1", True),
+        ("com", "/", "", "com", False),
+        ("x.com", "", "q=/a", "x.com", False)]
 
 
 def test_job_names_and_small_url_helpers(spark):
@@ -56,9 +39,8 @@ def test_job_names_and_small_url_helpers(spark):
     row = one(spark, urls.complete_scheme(F.lit("//a.js"), F.lit("https://x/")).alias("a"),
               urls.complete_scheme(F.lit("/a.js"), F.lit("https://x/")).alias("b"),
               urls.strip_www(F.lit("www.a.com")).alias("c"),
-              urls.strip_www(F.lit("m.ab.com"), exact=True).alias("d"),
-              urls.third_party(F.lit("http://a.b.com/"), F.lit("http://c.b.com")).alias("e"))
-    assert tuple(row) == ("https://a.js", "/a.js", "a.com", ".com", False)
+              urls.strip_www(F.lit("m.ab.com"), exact=True).alias("d"))
+    assert tuple(row) == ("https://a.js", "/a.js", "a.com", ".com")
 
 
 def test_hash_lanes_distance_and_bits(spark):

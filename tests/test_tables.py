@@ -43,7 +43,7 @@ def test_milking_urls_from_chains(spark):
     ads = spark.createDataFrame(
         rows, "log_id string, ad_url string, screenshot_hash string, "
         f"redirections array<{schemas.HOP}>, line_no int")
-    got = tracking.milking_urls(ads, ["line_no"])
+    got = tracking.milking_urls(ads, spark.createDataFrame([("com",)], "rule string"), ["line_no"])
     flat = {k: {tuple(r) for r in v.collect()} for k, v in got.items()}
     assert flat["milking_urls"] == {("m.net", "http://m.net/go")}
     assert flat["upstream_domains"] == {("up.org",), ("only.net",)}
@@ -105,7 +105,8 @@ def test_funnel_counts_never_grow(spark):
                "image_hashes": spark.createDataFrame([(near(0),)], "h string"),
                "upstream_domains": spark.createDataFrame([("d.com",)], "d string")}
     expected = att.where("url <> 'http://e.com/1'").select("agent", "url")
-    kept, upstream, counts = tracking.milking_funnel(att, sources, expected)
+    rules = spark.createDataFrame([("com",)], "rule string")
+    kept, upstream, counts = tracking.milking_funnel(att, sources, expected, rules)
     assert [r.jobs for r in counts.orderBy("stage").collect()] == [6, 5, 4, 3, 2, 1]
     assert [tuple(r) for r in kept.collect()] == [("edge_win", "http://a.com/1")]
     assert {r.url for r in upstream.collect()} == {"http://d.com/1", "http://e.com/1"}
