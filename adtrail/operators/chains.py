@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adtrail import fixed, schemas
@@ -12,7 +10,8 @@ from adtrail.functions.urls import complete_scheme
 from adtrail.operators.records import field, first_frame_insert, nesting, pair_next, route_events
 from adtrail.plans.components import roots
 from adtrail.plans.cut import materialise
-from adtrail.plans.groups import number_rows, ordered
+from adtrail.plans.groups import may_be_hot, number_rows, ordered
+from adtrail.plans.stacks import unfit_ends
 
 OVERWRITE, FIRST_WINS, LAST_RESORT = 0, 1, 2
 
@@ -24,12 +23,12 @@ def frame_roots(links: DataFrame) -> DataFrame:
     return roots(last, ["log_id"], "frame", "parent")
 
 
-def _opener_loads(events: DataFrame) -> DataFrame:
+def _opener_loads(events: DataFrame, **scan) -> DataFrame:
     """Frame loads with the window-open request that is still pending before them."""
     at = F.col("route")
     marked = events.where(at.isin("window_open", "load_frame"))
     opened = F.when(at == "window_open", F.struct(field("frame").alias("frame"), F.col("seq")))
-    g = ordered(marked, ["log_id"], ["seq"]).last(opened, "opener")
+    g = ordered(marked, ["log_id"], ["seq"], **scan).last(opened, "opener")
     return g.result().where((at == "load_frame") & F.col("opener").isNotNull()).select(
         "log_id", "seq", field("frame").alias("frame"), field("load_url").alias("load_url"),
         F.col("opener.frame").alias("opener"), F.col("opener.seq").alias("opened_at"))
@@ -58,14 +57,14 @@ def _timer_payload() -> tuple[Column, Column]:
     return kind, F.when(code.isNotNull(), F.trim(code)).otherwise(F.trim(name))
 
 
-def span_marks(events: DataFrame) -> DataFrame:
+def span_marks(events: DataFrame, **scan) -> DataFrame:
     """Begin (+1) and End (-1) marks: ``(log_id, seq, frame, delta, kind, p1, p2)``."""
     route = F.col("route")
     events = events.withColumn("_frame", field("frame"))
     calls = pair_next(
         events, route == "handler_target", route.isin("handler_call", "handler_lazy"),
         F.struct(field("current_target").alias("target"), field("event").alias("event")),
-        ["log_id", "_frame"], ["seq"])
+        ["log_id", "_frame"], ["seq"], **scan)
     listener = F.concat(F.col("paired.target"), F.lit(":"), _call_name())
     begins = calls.select("log_id", "seq", F.col("_frame").alias("frame"), F.lit(1).alias("delta"),
                           F.lit("event_listener").alias("kind"), listener.alias("p1"),
@@ -95,65 +94,48 @@ def span_marks(events: DataFrame) -> DataFrame:
     return others.unionByName(begins)
 
 
-def _closes_other(begin: str = "open") -> Column:
-    """An End whose innermost open span is of another kind or carries another payload."""
-    o = F.col(begin)
-    kind = F.col("kind")
-    fits = (o["kind"] == kind) & F.when(
-        kind == "scheduled_action", o["p2"].eqNullSafe(F.col("p2"))).when(
-        kind == "request_animation_frame", o["p1"].eqNullSafe(F.col("p1"))).when(
-        kind == "event_listener", o["p1"].startswith(F.col("p1"))).otherwise(True)
-    return ~F.coalesce(fits, F.lit(False))
+def _fits(begin: Column, end: Column) -> Column:
+    """An End fits a Begin of its kind with the same payload; any script End fits any script."""
+    kind = end["kind"]
+    return F.coalesce((begin["kind"] == kind) & F.when(
+        kind == "scheduled_action", begin["p2"].eqNullSafe(end["p2"])).when(
+        kind == "request_animation_frame", begin["p1"].eqNullSafe(end["p1"])).when(
+        kind == "event_listener", F.coalesce(begin["p1"], F.lit("")).startswith(
+            F.coalesce(end["p1"], F.lit("")))).otherwise(True), F.lit(False))
 
 
-def _ignored_ends(rows: Iterator) -> Iterator:
-    """Ends that do not fit the innermost open span, for rows sorted by (log, root, seq).
+def _no_url(span: Column) -> Column:
+    return (span["kind"] == "compiled_script") & (F.coalesce(span["p2"], F.lit("")) == "")
 
-    Holds one stack at a time, so memory grows with nesting depth only.
-    """
-    import pandas as pd
-
-    family, stack = None, []
-    for batch in rows:
-        dropped = []
-        for r in batch.itertuples(index=False):
-            if (r.log_id, r.root) != family:
-                family, stack = (r.log_id, r.root), []
-            if r.delta > 0:
-                stack.append(r)
-                continue
-            top = stack[-1] if stack else None
-            fits = top is not None and top.kind == r.kind and {
-                "scheduled_action": lambda: top.p2 == r.p2,
-                "request_animation_frame": lambda: top.p1 == r.p1,
-                "event_listener": lambda: (top.p1 or "").startswith(r.p1 or ""),
-            }.get(r.kind, lambda: True)()
-            if fits:
-                stack.pop()
-            elif top is not None:
-                dropped.append((r.log_id, r.seq))
-        yield pd.DataFrame(dropped, columns=["log_id", "seq"])
-
-
-def valid_marks(marks: DataFrame) -> DataFrame:
-    """Remove the Ends that fit no open span (``marks`` carries ``root``).
-
-    Well-nested families pass through prefix scans alone. Only a family in which some End meets a
-    span of another kind is replayed row by row, in order, to find the Ends to ignore.
+
+def valid_marks(marks: DataFrame, **scan) -> DataFrame:
+    """Marks that count (``marks`` carries ``root``), with ``depth``: how many spans are open, the
+    row's own included, leaving out scripts without URL.
+
+    Ends that do not fit the innermost open span go. Well-nested families pass through prefix scans
+    alone; only those in which some End meets a span that it does not fit are replayed, in chunks. A
+    script without URL with nothing but such scripts below it does not run anything: it goes too,
+    with its End.
     """
     span = F.struct("kind", "p1", "p2")
-    seen = nesting(marks, ["log_id", "root"], ["seq"], "delta", span)
-    odd = materialise(seen.where(F.col("closes") & _closes_other()).select(
-        "log_id", "root").distinct())
-    if odd.isEmpty():
-        return marks
-    replay = marks.join(odd, ["log_id", "root"], "left_semi").repartition(
-        "log_id", "root").sortWithinPartitions("log_id", "root", "seq")
-    ignored = materialise(replay.mapInPandas(_ignored_ends, "log_id string, seq bigint"))
-    return marks.join(ignored, ["log_id", "seq"], "left_anti")
-
-
-def current_runner(queries: DataFrame, marks: DataFrame, roots_: DataFrame) -> DataFrame:
+    keys = ["log_id", "root"]
+    seen = nesting(marks, keys, ["seq"], "delta", span, **scan)
+    odd = materialise(seen.where(F.col("closes") & ~_fits(F.col("open"), span)).select(*keys).distinct())
+    if not odd.isEmpty():
+        replay = marks.join(odd, keys, "left_semi")
+        ignored = materialise(unfit_ends(replay, keys, "seq", ["kind", "p1", "p2"], _fits, **scan).select(
+            "log_id", "seq"))
+        marks = materialise(marks.join(ignored, ["log_id", "seq"], "left_anti"))
+    nested = nesting(marks, keys, ["seq"], "delta", span, **scan)
+    begins = F.col("delta") > 0
+    bare = F.when(begins, _no_url(span)).otherwise(F.col("closes") & _no_url(F.col("open")))
+    counted = F.when((begins | F.col("closes")) & ~F.col("_bare"), F.col("delta")).otherwise(0)
+    deep = ordered(nested.withColumn("_bare", F.coalesce(bare, F.lit(False))), keys, ["seq"], **scan).running_sum(
+        counted, "depth").result()
+    return deep.where(~(F.col("_bare") & (F.col("depth") == 0))).select(*marks.columns, "depth")
+
+
+def current_runner(queries: DataFrame, marks: DataFrame, roots_: DataFrame, **scan) -> DataFrame:
     """The innermost span open at each query: ``queries`` plus ``runner`` (NULL = none).
 
     ``queries``: ``(log_id, seq, frames array<string>)``, frames in order of preference. All
@@ -171,13 +153,10 @@ def current_runner(queries: DataFrame, marks: DataFrame, roots_: DataFrame) -> D
     # a mark at the same record comes after the question about it
     rows = rows.withColumn("_tie", F.when(F.col("pos").isNull(), 1).otherwise(0))
     seen = nesting(rows, ["log_id", "root"], ["seq", "_tie", "pos"], "delta",
-                   F.struct("frame", "kind", "p1", "p2"))
+                   F.struct("frame", "kind", "p1", "p2"), **scan)
     o = F.col("open")
-    # a script without URL at the bottom of the stack stands for no runner
-    usable = o.isNotNull() & ~((F.col("level") == 1) & (o["kind"] == "compiled_script")
-                               & (F.coalesce(o["p2"], F.lit("")) == ""))
     runner = fx.runner_node(o["frame"], o["kind"], o["p1"], o["p2"])
-    found = seen.where(F.col("pos").isNotNull() & usable).groupBy("log_id", "seq").agg(
+    found = seen.where(F.col("pos").isNotNull() & o.isNotNull()).groupBy("log_id", "seq").agg(
         F.min_by(runner, "pos").alias("runner"))
     return queries.join(found, ["log_id", "seq"], "left")
 
@@ -231,9 +210,11 @@ def derive_edges(events: DataFrame) -> DataFrame:
     def rows(*routes: str) -> DataFrame:
         return ev.where(F.col("route").isin(*routes))
 
-    loads = materialise(_opener_loads(ev))
-    roots_ = frame_roots(_links(ev, loads))
-    marks = materialise(valid_marks(_rooted(span_marks(ev), roots_)))
+    # logs of ordinary length hold no group that must be split
+    scan = {} if may_be_hot(ev, ["log_id"]) else {"hot": False}
+    loads = materialise(_opener_loads(ev, **scan))
+    roots_ = materialise(frame_roots(_links(ev, loads)))
+    marks = materialise(valid_marks(materialise(_rooted(span_marks(ev, **scan), roots_)), **scan))
 
     # --- edges of plain fields
     plain = [
@@ -243,11 +224,10 @@ def derive_edges(events: DataFrame) -> DataFrame:
     ]
     r = F.col("route")
     history = pair_next(ev, r == "history_source", r == "history_target", field("frame_url"),
-                        ["log_id", "_frame"], ["seq"])
+                        ["log_id", "_frame"], ["seq"], **scan)
     plain.append(_edge(history, _url(field("frame"), field("frame_url")),
                        _url(field("frame"), F.col("paired")), "History Push State"))
-    bottom = nesting(marks, ["log_id", "root"], ["seq"], "delta", F.col("seq")).where(
-        "delta > 0 and level = 1 and kind = 'compiled_script' and p2 <> ''")
+    bottom = marks.where("delta > 0 and depth = 1 and kind = 'compiled_script' and p2 <> ''")
     scripts = rows("script_begin").join(bottom.select("log_id", "seq"), ["log_id", "seq"],
                                         "left_semi")
     plain.append(_page_based(scripts, field("url"), "Script Load"))
@@ -261,7 +241,7 @@ def derive_edges(events: DataFrame) -> DataFrame:
         r == "js_navigation", F.array(frame, main, origin)).otherwise(F.array(frame, main)))
     opener_asks = loads.select("log_id", "seq", F.array("opener").alias("frames"))
     answered = materialise(current_runner(
-        wanted.select("log_id", "seq", "frames").unionByName(opener_asks), marks, roots_
+        wanted.select("log_id", "seq", "frames").unionByName(opener_asks), marks, roots_, **scan
     ).where("runner is not null").select("log_id", "seq", "runner"))
     run = ev.where(asks).join(answered, ["log_id", "seq"])
     by = F.col("runner")
@@ -318,7 +298,7 @@ def derive_edges(events: DataFrame) -> DataFrame:
 
     base = valid_edges(_union(plain)).unionByName(_union(native)).unionByName(dom0)
     base = materialise(base)
-    return base.unionByName(_load_edges(ev, rows("load_frame"), loads, answered, base))
+    return base.unionByName(_load_edges(ev, rows("load_frame"), loads, answered, base, scan))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -328,56 +308,109 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def upstream_url(asked: DataFrame, edges: DataFrame, url: str = "load_url") -> DataFrame:
-    """Earliest edge into the same URL, in any frame, that does not come from a real page.
+def _is_page(node: Column) -> Column:
+    return (node["kind"] == "URL") & ~fx.is_blank_page(node["value"])
+
+
+def upstream_url(asked: DataFrame, edges: DataFrame, url: str = "load_url", **scan) -> DataFrame:
+    """Why a URL was loaded elsewhere: of the nodes for it, in any frame, the first made whose edge,
+    at the moment of the question, does not come from a real page.
 
-    ``asked``: ``(log_id, seq, <url>)``. Adds ``up struct<src, reason>``; edges recorded after
-    the question do not count.
+    ``asked``: ``(log_id, seq, <url>)``, no seq twice in a log. Adds ``up struct<src, reason>``. An
+    edge counts from the next record on; a node keeps its first edge until one overwrites it.
     """
-    unreal = (F.col("src.kind") != "URL") | fx.is_blank_page(F.col("src.value"))
-    into = edges.where((F.col("dst.kind") == "URL") & unreal).select(
-        "log_id", F.col("dst.value").alias(url), F.col("seq").alias("_at"), "src", "reason")
-    hits = asked.join(into, ["log_id", url]).where(F.col("_at") < F.col("seq")).groupBy(
-        "log_id", "seq").agg(F.min_by(F.struct("src", "reason"), "_at").alias("up"))
+    node = ["log_id", "dst"]
+    into = edges.where((F.col("dst.kind") == "URL") & (F.col("policy") != LAST_RESORT))
+    first = into.groupBy(*node).agg(F.min("seq").alias("born"))
+    plain = into.where(F.col("policy") == FIRST_WINS).groupBy(*node).agg(
+        F.min_by(F.struct("src", "reason", "seq"), "seq").alias("e")).select(*node, "e.*")
+    held = into.where(F.col("policy") == OVERWRITE).select(*node, "src", "reason", "seq").withColumn(
+        "over", F.lit(True)).unionByName(plain.withColumn("over", F.lit(False)))
+    # an ordinary edge after the first one changes nothing
+    changes = held.join(first, node).where("over or seq = born")
+    spans = ordered(changes, node, ["seq"], **scan).next(F.col("seq"), "until").result()
+    spans = spans.where(~_is_page(F.col("src"))).select(
+        "log_id", F.col("dst.value").alias(url), F.struct("born", "dst", "src", "reason").alias("up"),
+        F.col("seq").alias("since"), "until")
+    spans = materialise(spans)
+    # edges that stay: the smallest of those made before the question, by a prefix scan
+    lasting = spans.where("until is null").select("log_id", url, F.col("since").alias("seq"), "up")
+    rows = lasting.withColumn("_tie", F.lit(1)).unionByName(
+        asked.select("log_id", url, "seq").withColumn("_tie", F.lit(0)), allowMissingColumns=True)
+    stayed = ordered(rows, ["log_id", url], ["seq", "_tie", "up"], **scan).running_min(
+        F.col("up"), "found", before=True).result().where("_tie = 0 and found is not null").select(
+        "log_id", "seq", F.col("found").alias("up"))
+    # edges that are overwritten later: few, and each holds for a while
+    passing = spans.where("until is not null").join(asked.select("log_id", url, "seq"), ["log_id", url]).where(
+        "since < seq and seq <= until").select("log_id", "seq", "up")
+    hits = stayed.unionByName(passing).groupBy("log_id", "seq").agg(F.min("up").alias("up")).select(
+        "log_id", "seq", F.struct("up.src", "up.reason").alias("up"))
     return asked.join(hits, ["log_id", "seq"], "left")
 
 
-def _load_edges(ev, load_rows, loads, answered, base) -> DataFrame:
-    """Edges of frame loads: link click, window open, unknown insert, frame load, last resort."""
-    # an open request is used up by the first load that a link or a runner explains
-    into = base.where("dst.kind = 'URL'").groupBy(
-        "log_id", F.col("dst.frame_id").alias("opener"), F.col("dst.value").alias("load_url")
-    ).agg(F.min("seq").alias("linked_at"))
-    judged = loads.join(into, ["log_id", "opener", "load_url"], "left").join(
-        answered, ["log_id", "seq"], "left").withColumn(
-        "clicked", F.coalesce((F.col("linked_at") < F.col("seq"))
-                              & (F.col("opener") != F.col("frame")), F.lit(False)))
-    explained = judged.where("clicked or runner is not null")
-    used = materialise(explained.join(
-        explained.groupBy("log_id", "opened_at").agg(F.min("seq").alias("seq")),
-        ["log_id", "opened_at", "seq"]))
-    dst = _url(F.col("frame"), F.col("load_url"))
-    clicks = _edge(used.where("clicked"), dst, _url(F.col("opener"), F.col("load_url")),
-                   "Anchor link click", OVERWRITE)
-    opens = _edge(used.where("not clicked"), dst, F.col("runner"), "Window Open", OVERWRITE)
+def _fingerprint(df: DataFrame) -> tuple:
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
 
-    rest = load_rows.join(used.select("log_id", "seq"), ["log_id", "seq"], "left_anti")
-    resort = _page_based(rest, field("load_url"), "Load Frame", LAST_RESORT)
-    framed = valid_edges(_page_based(rest, field("load_url"), "Frame Load"))
+def _load_edges(ev, load_rows, loads, answered, base, scan) -> DataFrame:
+    """Edges of frame loads: link click, window open, unknown insert, frame load, last resort.
 
+    What explains a load depends on the edges made before it, those of other loads included. So the
+    loads are judged against each other's edges again and again until nothing changes; each round
+    settles at least the next load of every chain of dependent loads.
+    """
     # the first load of a frame that was announced by an inserted HTML node
     announced = first_frame_insert(ev).withColumnRenamed("seq", "inserted_at")
     first_load = load_rows.select("log_id", F.col("_frame").alias("frame"), "seq",
                                   field("load_url").alias("load_url")).join(
         announced, ["log_id", "frame"]).where(F.col("seq") > F.col("inserted_at"))
-    firsts = first_load.join(
-        first_load.groupBy("log_id", "frame").agg(F.min("seq").alias("seq")),
-        ["log_id", "frame", "seq"]).join(used.select("log_id", "seq"), ["log_id", "seq"],
-                                         "left_anti")
-    unknown = upstream_url(firsts, base.unionByName(opens)).where("up is not null")
-    guessed = _edge(unknown, dst, F.col("up.src"),
-                    F.concat(F.col("up.reason"), F.lit(" unknown")), OVERWRITE)
-    return _union([clicks, opens, guessed, framed, resort])
+    firsts = materialise(first_load.groupBy("log_id", "frame").agg(
+        F.min_by(F.struct("seq", "load_url"), "seq").alias("f")).select("log_id", "frame", "f.*"))
+    judged = materialise(loads.join(answered, ["log_id", "seq"], "left"))
+    dst = _url(F.col("frame"), F.col("load_url"))
+
+    def framed(rest: DataFrame) -> DataFrame:
+        return valid_edges(_page_based(rest, field("load_url"), "Frame Load"))
+
+    made, used = materialise(framed(load_rows)), judged.select("log_id", "seq").limit(0)
+    if not (judged.isEmpty() and firsts.isEmpty()):
+        known = _fingerprint(made)
+        while True:
+            made, used = _explained(load_rows, judged, firsts, dst, base, made, framed, scan)
+            before, known = known, _fingerprint(made)
+            if before == known:
+                break
+    rest = load_rows.join(used, ["log_id", "seq"], "left_anti")
+    return made.unionByName(_page_based(rest, field("load_url"), "Load Frame", LAST_RESORT))
+
+
+def _explained(load_rows, judged, firsts, dst, base, made, framed, scan) -> tuple[DataFrame, DataFrame]:
+    """The edges of all loads, given those found so far, and the loads that use up a window open."""
+    edges = base.unionByName(made)
+    into = edges.where("dst.kind = 'URL'").groupBy(
+        "log_id", F.col("dst.frame_id").alias("opener"), F.col("dst.value").alias("load_url")
+    ).agg(F.min("seq").alias("linked_at"))
+    clicked = F.coalesce((F.col("linked_at") < F.col("seq")) & (F.col("opener") != F.col("frame")), F.lit(False))
+    explained = judged.join(into, ["log_id", "opener", "load_url"], "left").withColumn("clicked", clicked).where(
+        "clicked or runner is not null")
+    # an open request is used up by the first load that a link or a runner explains
+    used = materialise(explained.groupBy("log_id", "opened_at").agg(F.min_by(
+        F.struct("seq", "frame", "load_url", "opener", "runner", "clicked"), "seq").alias("u")).select("log_id", "u.*"))
+    clicks = _edge(used.where("clicked"), dst, _url(F.col("opener"), F.col("load_url")),
+                   "Anchor link click", OVERWRITE)
+    opens = _edge(used.where("not clicked"), dst, F.col("runner"), "Window Open", OVERWRITE)
+    unused = [df.join(used.select("log_id", "seq"), ["log_id", "seq"], "left_anti") for df in (firsts, load_rows)]
+    unknown = upstream_url(unused[0], edges, **scan).where("up is not null")
+    guessed = _edge(unknown, dst, F.col("up.src"), F.concat(F.col("up.reason"), F.lit(" unknown")), OVERWRITE)
+    return materialise(_union([clicks, opens, guessed, framed(unused[1])])), used.select("log_id", "seq")
+
+
+def load_urls(events: DataFrame) -> DataFrame:
+    """The page that a session started from, ``(log_id, load_url)``: the first frame load of an
+    ``http`` URL. ``events`` as in `derive_edges`."""
+    loads = route_events(events).where("route = 'load_frame'").withColumn("load_url", field("load_url"))
+    return loads.where(F.col("load_url").startswith("http")).groupBy("log_id").agg(
+        F.min_by("load_url", "seq").alias("load_url"))
 
 
 def resolve_edges(edges: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ def components(nodes: DataFrame, neighbour_min: Callable[[DataFrame], DataFrame]
 def roots(links: DataFrame, keys: list[str], child: str, parent: str) -> DataFrame:
     """Follow ``child -> parent`` links to the top by pointer doubling.
 
-    A node that is its own parent, or that has no row as a child, is a root. Nodes on a cycle get
-    the smallest node id of what they reach after enough doublings to have gone all the way round.
+    A node that is its own parent, or that has no row as a child, is a root. Nodes on a cycle, and
+    those that lead into it, get its smallest node id: after enough doublings to have gone all the way
+    round, ``top`` is on the cycle, and what it has passed is the cycle.
     """
     cols = [*keys, F.col(child).alias("node"), F.col(parent).alias("top")]
     # one parent per child: the caller resolves repeats; self-links end the walk
@@ -54,6 +55,7 @@ def roots(links: DataFrame, keys: list[str], child: str, parent: str) -> DataFra
         if moved.where("_moved").isEmpty():
             return current.select(*keys, F.col("node").alias(child), F.col("top").alias("root"))
         if reach > 2 * longest:
-            return moved.select(*keys, F.col("node").alias(child),
-                                F.when(F.col("_moved"), F.col("low")).otherwise(F.col("top"))
-                                .alias("root"))
+            rings = moved.select(*keys, F.col("node").alias("top"), F.col("low").alias("_ring"))
+            return moved.join(rings, [*keys, "top"], "left").select(
+                *keys, F.col("node").alias(child),
+                F.when(F.col("_moved"), F.col("_ring")).otherwise(F.col("top")).alias("root"))

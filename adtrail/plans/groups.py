@@ -118,10 +118,20 @@ class OrderedGroups:
         return self.df.drop(CHUNK)
 
 
+def may_be_hot(df: DataFrame, keys: Sequence[str], min_hot_rows: int = MIN_HOT_ROWS) -> bool:
+    """Whether some group has more than ``min_hot_rows`` rows. If none has, subsets of the rows and
+    finer keys have none either, and `ordered` need not count them again (``hot=False``)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return not sizes.where(F.col("n") > min_hot_rows).isEmpty()
+
+
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            min_hot_rows: int = MIN_HOT_ROWS) -> OrderedGroups:
-    """Prepare ordered scans; cuts groups larger than a fair share of the rows."""
+            min_hot_rows: int = MIN_HOT_ROWS, hot: bool | None = None) -> OrderedGroups:
+    """Prepare ordered scans; cuts groups larger than a fair share of the rows, which are looked for
+    unless ``hot`` is known to be false."""
     keys, order = list(keys), list(order)
+    if hot is False:
+        return OrderedGroups(df.withColumn(CHUNK, F.lit(0)), keys, order, False)
     width = shuffle_width(df)
     top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("total"), F.max("n").alias("biggest")).first()
