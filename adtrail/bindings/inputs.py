@@ -434,6 +434,194 @@ BROWSER = EVENTS + """, be AS (SELECT user_id, event_id AS seq, event_type AS t,
     GROUP BY 1, 2)"""
 
 
+def page_events(spark: SparkSession, sf: str) -> DataFrame:
+    """One log per user with records of every kind: scripts in three frames, handlers in a frame of
+    their own, child frames, popups and announced frames."""
+    e, k, t = events(spark, sf), F.col("k"), F.col("event_type")
+
+    def name(prefix: str, n: int) -> Column:
+        return F.concat(F.lit(prefix), (k % n).cast("string"))
+
+    def at(prefix: str, n: int) -> Column:
+        return F.concat(F.lit("http://"), name(prefix, n), F.lit(".example.com/"))
+
+    def json(c: Column) -> Column:
+        return F.concat(F.lit('::JSON::"'), c, F.lit('"::JSON::'))
+
+    def one_of(*kinds: str) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % len(kinds) + 1).cast("int"))
+
+    what = F.when(t == "signup", "begin").when(t == "purchase", F.when(k < 55, "end").when(k < 62, "child").when(
+        k < 74, "html").when(k < 88, "target").when(k < 96, "lazy").otherwise("call")).when(
+        t == "click", one_of("nav", "href", "src", "listen", "onset", "raf", "timer", "insert", "method")).when(
+        t == "view", F.when((k >= 60) & (k < 80), "open").otherwise("load")).otherwise(
+        one_of("meta", "push1", "push2", "redirect"))
+    e = e.withColumn("what", what)
+    w = F.col("what")
+    handler = w.isin("target", "lazy", "call") | ((w == "nav") & (k >= 45))
+    announced = (w == "html") | ((w == "load") & (k >= 85))
+    frame = F.when(handler, "h0").when(announced, name("u", 3)).when(w == "child", "f0").when(
+        (w == "load") & (k >= 80), name("w", 4)).when((t == "click") & (k >= 60), name("c", 2)).otherwise(name("f", 3))
+    n_url = F.when(((w == "nav") & (k >= 45)) | ((w == "load") & (k >= 85)), at("n", 2)).otherwise(at("n", 20))
+    headers = {
+        "begin": "DidCompileScript", "end": "DidRunCompiledScriptEnd", "child": "DidCreateChildFrame",
+        "html": "DidInsertDOMNode", "target": "DidCallHandleEventBegin", "lazy": "DidCompileLazyEventListener",
+        "call": "DidCallFunctionBegin", "nav": "WillNavigateFrame", "href": "DidCallV8SetAttribute",
+        "src": "DidCallV8SetAttribute", "listen": "DidCallV8MethodTemplate",
+        "onset": "DidCallV8SetAttributeEventListener", "raf": "RequestAnimationFrame",
+        "timer": "DidCallV8MethodTemplate", "insert": "DidInsertDOMNode", "method": "DidCallV8MethodTemplate",
+        "open": "WindowOpen", "load": "WillLoadFrame", "meta": "DidHandleHttpRefresh",
+        "push1": "DidCallV8MethodCallback", "push2": "DidCallV8MethodTemplate",
+        "redirect": "DidReceiveMainResourceRedirect"}
+
+    def by_kind(values: dict[str, str]) -> Column:
+        return F.coalesce(*[F.when(w == x, v) for x, v in values.items()])
+
+    fields = {
+        "frame": frame, "main_frame": F.lit("f0"), "origin_frame": frame, "frame_url": at("p", 11),
+        "local_frame_root": F.lit("f0"), "local_frame_root_url": F.lit("http://top.example.com/"),
+        "url": F.when(w == "begin", at("s", 10)).otherwise(n_url), "load_url": n_url, "request_url": n_url,
+        "redirect_url": at("r", 6), "refresh_url": n_url, "scriptID": F.lit("7"), "callback_debug_name": F.lit("go"),
+        "current_target": name("t", 2), "cpp_impl_ptr": name("t", 2), "event": F.lit("click"),
+        "child_frame": name("c", 2), "callback_id": (k % 6).cast("string"),
+        "node": F.when(w == "html", "HTML").otherwise("SCRIPT"),
+        "src_url": F.concat(F.lit("//"), name("cdn", 5), F.lit(".example.com/x.js")), "value": json(n_url),
+        "interface": by_kind({"href": "HTMLAnchorElement", "src": "HTMLScriptElement", "listen": "EventTarget",
+                              "timer": "Window", "method": "Element", "push1": "History", "push2": "History"}),
+        "attribute": by_kind({"href": "href", "src": "src", "listen": "addEventListener", "timer": "setTimeout",
+                              "method": "setAttribute", "push1": "pushState", "push2": "pushState",
+                              "onset": "onclick"})}
+    args = {"type": json(F.lit("click")), "listener": F.lit("<=V8 FUNCTION=> scriptID=7 go"),
+            "handler": json(name("go", 4)), "name": json(F.lit("href")), "value": json(n_url)}
+    maps = [F.create_map(*[x for n, c in m.items() for x in (F.lit(n), c)]) for m in (fields, args)]
+    return materialise(e.select(
+        F.col("user_id").cast("string").alias("log_id"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("LOG::Page::"), by_kind(headers), F.lit(" :")).alias("header"),
+        maps[0].alias("fields"), maps[1].alias("args"),
+        F.create_map().cast("map<string,string>").alias("attrs")))
+
+
+# the same records, then frame families by recursion, spans by running sums, and all edges (``raw``)
+PAGE_EVENTS = EVENTS + """, pe0 AS (SELECT user_id, event_id AS seq, event_type AS t, k, CASE event_type
+    WHEN 'signup' THEN 'begin'
+    WHEN 'purchase' THEN CASE WHEN k < 55 THEN 'end' WHEN k < 62 THEN 'child' WHEN k < 74 THEN 'html'
+      WHEN k < 88 THEN 'target' WHEN k < 96 THEN 'lazy' ELSE 'call' END
+    WHEN 'click' THEN ['nav','href','src','listen','onset','raf','timer','insert','method'][k % 9 + 1]
+    WHEN 'view' THEN CASE WHEN k >= 60 AND k < 80 THEN 'open' ELSE 'load' END
+    ELSE ['meta','push1','push2','redirect'][k % 4 + 1] END AS w FROM ev),
+  pe AS MATERIALIZED (SELECT *, CASE WHEN w IN ('target','lazy','call') OR (w = 'nav' AND k >= 45) THEN 'h0'
+      WHEN w = 'html' OR (w = 'load' AND k >= 85) THEN 'u' || (k % 3) WHEN w = 'child' THEN 'f0'
+      WHEN w = 'load' AND k >= 80 THEN 'w' || (k % 4) WHEN t = 'click' AND k >= 60 THEN 'c' || (k % 2)
+      ELSE 'f' || (k % 3) END AS frame,
+    'http://n' || (k % CASE WHEN (w = 'nav' AND k >= 45) OR (w = 'load' AND k >= 85) THEN 2 ELSE 20 END)
+      || '.example.com/' AS n_url,
+    'http://p' || (k % 11) || '.example.com/' AS p_url, 'http://s' || (k % 10) || '.example.com/' AS s_url,
+    'http://r' || (k % 6) || '.example.com/' AS r_url, 't' || (k % 2) AS target FROM pe0),
+  opening AS (SELECT *, last_value(CASE WHEN w = 'open' THEN frame END IGNORE NULLS) OVER o AS opener,
+      last_value(CASE WHEN w = 'open' THEN seq END IGNORE NULLS) OVER o AS opened_at
+    FROM pe WHERE w IN ('open', 'load') WINDOW o AS (PARTITION BY user_id ORDER BY seq)),
+  loads AS MATERIALIZED (SELECT * FROM opening WHERE w = 'load' AND opener IS NOT NULL),
+  links AS (SELECT user_id, 'c' || (k % 2) AS frame, 'f0' AS parent, seq FROM pe WHERE w = 'child'
+    UNION ALL SELECT user_id, arg_min(frame, seq), arg_min(opener, seq), min(seq) FROM loads GROUP BY user_id, opened_at),
+  parents AS MATERIALIZED (SELECT user_id, frame, arg_max(parent, seq) AS parent FROM links WHERE frame <> parent
+    GROUP BY 1, 2),
+  climb AS (WITH RECURSIVE c(user_id, frame, cur, path) AS (
+    SELECT user_id, frame, parent, [frame] FROM parents
+    UNION ALL SELECT c.user_id, c.frame, p.parent, list_append(c.path, c.cur) FROM c
+      JOIN parents p ON p.user_id = c.user_id AND p.frame = c.cur WHERE NOT list_contains(c.path, c.cur))
+    SELECT * FROM c),
+  families AS MATERIALIZED (SELECT user_id, frame, CASE WHEN list_contains(path, cur)
+      THEN list_min(path[list_position(path, cur):]) ELSE cur END AS root FROM climb
+    QUALIFY row_number() OVER (PARTITION BY user_id, frame ORDER BY len(path) DESC) = 1),
+  handled AS (SELECT *, lag(w) OVER h AS last_w, lag(target) OVER h AS last_target
+    FROM pe WHERE w IN ('target', 'lazy', 'call') WINDOW h AS (PARTITION BY user_id, frame ORDER BY seq)),
+  ran AS (SELECT user_id, seq, frame, w, p_url, last_target || ':7 go' AS name FROM handled
+    WHERE w <> 'target' AND last_w = 'target'),
+  marked AS (
+    SELECT user_id, seq, frame, CASE w WHEN 'begin' THEN 1 ELSE -1 END AS d, NULL::INT AS pos, 1 AS tie,
+      'URL' AS kind, s_url AS value, NULL::VARCHAR AS value2 FROM pe WHERE w IN ('begin', 'end')
+    UNION ALL SELECT user_id, seq, frame, 1, NULL, 1, 'event_listener', name, 'click' FROM ran
+    UNION ALL SELECT user_id, seq, unnest(CASE WHEN w IN ('raf', 'insert') THEN [frame] ELSE [frame, 'f0'] END), 0,
+      unnest(CASE WHEN w IN ('raf', 'insert') THEN [0] ELSE [0, 1] END), 0, NULL, NULL, NULL
+      FROM pe WHERE t = 'click'
+    UNION ALL SELECT user_id, seq, opener, 0, 0, 0, NULL, NULL, NULL FROM loads),
+  summed AS (SELECT m.*, coalesce(root, frame) AS root, sum(d) OVER o AS s FROM marked m
+    LEFT JOIN families USING (user_id, frame)
+    WINDOW o AS (PARTITION BY user_id, coalesce(root, frame) ORDER BY seq, tie, pos)),
+  floored AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY user_id, root
+    ORDER BY seq, tie, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lowest FROM summed),
+  levels AS (SELECT *, s - least(lowest, s) + CASE WHEN d < 0 AND s >= lowest THEN 1 ELSE 0 END AS level FROM floored),
+  opened AS MATERIALIZED (SELECT *, last_value(CASE WHEN d > 0
+      THEN {'f': frame, 'k': kind, 'v': value, 'v2': value2} END IGNORE NULLS)
+    OVER (PARTITION BY user_id, root, level ORDER BY seq, tie, pos) AS r FROM levels),
+  runner AS MATERIALIZED (SELECT user_id, seq, arg_min(r, pos) AS r FROM opened WHERE d = 0 AND r IS NOT NULL
+    GROUP BY 1, 2),
+  hist AS (SELECT *, lag(w) OVER h AS last_w, lag(p_url) OVER h AS last_url
+    FROM pe WHERE w IN ('push1', 'push2') WINDOW h AS (PARTITION BY user_id, frame ORDER BY seq)),
+  base AS MATERIALIZED (
+    SELECT user_id, seq, frame AS df, 'URL' AS dk, n_url AS dv, NULL::VARCHAR AS d2, frame AS sf, 'URL' AS sk,
+      r_url AS sv, NULL::VARCHAR AS s2, 'Server Redirect' AS reason, 1 AS policy FROM pe WHERE w = 'redirect'
+    UNION ALL SELECT user_id, seq, frame, 'URL', n_url, NULL, frame, 'URL', p_url, NULL, 'Meta Refresh', 1
+      FROM pe WHERE w = 'meta'
+    UNION ALL SELECT user_id, seq, frame, 'URL', p_url, NULL, frame, 'URL', last_url, NULL, 'History Push State', 1
+      FROM hist WHERE w = 'push2' AND last_w = 'push1' AND p_url <> last_url
+    UNION ALL SELECT pe.user_id, pe.seq, pe.frame, 'URL', s_url, NULL, pe.frame, 'URL', p_url, NULL, 'Script Load', 1
+      FROM pe JOIN opened o USING (user_id, seq) WHERE w = 'begin' AND o.level = 1
+    UNION ALL SELECT user_id, seq, frame, 'event_listener', name, 'click', frame, 'URL', p_url, NULL,
+      'dom0_click_listener', 0 FROM ran WHERE w = 'lazy'
+    UNION ALL SELECT user_id, seq, frame,
+      CASE w WHEN 'listen' THEN 'event_listener' WHEN 'onset' THEN 'event_listener'
+        WHEN 'raf' THEN 'request_animation_frame' WHEN 'timer' THEN 'scheduled_action' ELSE 'URL' END,
+      CASE w WHEN 'listen' THEN target || ':7 go' WHEN 'onset' THEN target || ':7 go'
+        WHEN 'raf' THEN (k % 6)::VARCHAR WHEN 'timer' THEN 'code'
+        WHEN 'insert' THEN 'http://cdn' || (k % 5) || '.example.com/x.js' ELSE n_url END,
+      CASE w WHEN 'listen' THEN 'click' WHEN 'onset' THEN 'click' WHEN 'timer' THEN 'go' || (k % 4) END,
+      r.f, r.k, r.v, r.v2, CASE w WHEN 'nav' THEN 'JS Navigation' WHEN 'href' THEN 'Anchor link setup - set att'
+        WHEN 'src' THEN 'Dynamic Script Load - set att' WHEN 'listen' THEN 'click_listener'
+        WHEN 'onset' THEN 'on_click_listener' WHEN 'raf' THEN 'animation_callback' WHEN 'timer' THEN 'scheduled_action'
+        WHEN 'insert' THEN 'Dynamic Script Load' ELSE 'Anchor link setup - set att method' END,
+      CASE w WHEN 'listen' THEN 0 ELSE 1 END FROM pe JOIN runner USING (user_id, seq) WHERE t = 'click'),
+  -- every load makes an edge into its node, whatever explains it
+  into_url AS (SELECT user_id, df AS opener, dv AS n_url, min(seq) AS linked_at FROM (
+    SELECT user_id, df, dv, seq FROM base WHERE dk = 'URL'
+    UNION ALL SELECT user_id, frame, n_url, seq FROM pe WHERE w = 'load') GROUP BY ALL),
+  judged AS (SELECT l.*, r.r, coalesce(i.linked_at < l.seq AND l.opener <> l.frame, false) AS clicked FROM loads l
+    LEFT JOIN into_url i USING (user_id, opener, n_url) LEFT JOIN runner r USING (user_id, seq)),
+  used AS MATERIALIZED (SELECT * FROM judged WHERE clicked OR r IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY user_id, opened_at ORDER BY seq) = 1),
+  rest AS MATERIALIZED (SELECT * FROM pe WHERE w = 'load' AND (user_id, seq) NOT IN (SELECT (user_id, seq) FROM used)),
+  sure AS MATERIALIZED (SELECT * FROM base
+    UNION ALL SELECT user_id, seq, frame, 'URL', n_url, NULL, CASE WHEN clicked THEN opener ELSE r.f END,
+      CASE WHEN clicked THEN 'URL' ELSE r.k END, CASE WHEN clicked THEN n_url ELSE r.v END,
+      CASE WHEN clicked THEN NULL ELSE r.v2 END, CASE WHEN clicked THEN 'Anchor link click' ELSE 'Window Open' END, 0
+      FROM used
+    UNION ALL SELECT user_id, seq, frame, 'URL', n_url, NULL, frame, 'URL', p_url, NULL, 'Frame Load', 1 FROM rest),
+  announced AS (SELECT user_id, frame, min(seq) AS at FROM pe WHERE w = 'html' GROUP BY 1, 2),
+  asked AS (SELECT l.user_id, l.frame, l.seq, l.n_url FROM (SELECT p.*, row_number() OVER (
+      PARTITION BY p.user_id, p.frame ORDER BY p.seq) AS rn FROM pe p JOIN announced a
+      ON a.user_id = p.user_id AND a.frame = p.frame AND p.seq > a.at WHERE w = 'load') l
+    JOIN rest USING (user_id, seq) WHERE rn = 1)"""
+# an announced frame is asked about once, so guesses build on each other at most three times
+for _n, _so_far in ((1, "sure"), (2, "(SELECT * FROM sure UNION ALL SELECT * FROM guess1)"),
+                    (3, "(SELECT * FROM sure UNION ALL SELECT * FROM guess2)")):
+    PAGE_EVENTS += f""", states{_n} AS (SELECT a.user_id, a.seq, a.frame, a.n_url, s.df, min(s.seq) AS born,
+      coalesce(arg_max({{'f': sf, 'k': sk, 'v': sv, 'v2': s2, 'why': reason}}, s.seq) FILTER (WHERE policy = 0),
+        arg_min({{'f': sf, 'k': sk, 'v': sv, 'v2': s2, 'why': reason}}, s.seq) FILTER (WHERE policy = 1)) AS e
+    FROM asked a JOIN {_so_far} s ON s.user_id = a.user_id AND s.dk = 'URL' AND s.dv = a.n_url AND s.seq < a.seq
+    GROUP BY a.user_id, a.seq, a.frame, a.n_url, s.df),
+  guess{_n} AS MATERIALIZED (SELECT user_id, seq, frame AS df, 'URL' AS dk, n_url AS dv, NULL::VARCHAR AS d2,
+      e.f AS sf, e.k AS sk, e.v AS sv, e.v2 AS s2, e.why || ' unknown' AS reason, 0 AS policy
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, seq ORDER BY born, df) AS rn FROM states{_n}
+      WHERE e.k <> 'URL') WHERE rn = 1)"""
+PAGE_EVENTS += """, raw AS MATERIALIZED (SELECT * FROM sure UNION ALL SELECT * FROM guess3
+    UNION ALL SELECT user_id, seq, frame, 'URL', n_url, NULL, frame, 'URL', p_url, NULL, 'Load Frame', 2 FROM rest),
+  resolved AS MATERIALIZED (SELECT user_id, df, dk, dv, d2, min(seq) AS born, coalesce(
+      arg_max({'f': sf, 'k': sk, 'v': sv, 'v2': s2, 'why': reason}, seq) FILTER (WHERE policy = 0),
+      arg_min({'f': sf, 'k': sk, 'v': sv, 'v2': s2, 'why': reason}, seq) FILTER (WHERE policy = 1),
+      arg_max({'f': sf, 'k': sk, 'v': sv, 'v2': s2, 'why': reason}, seq) FILTER (WHERE policy = 2)) AS e
+    FROM raw GROUP BY user_id, df, dk, dv, d2)"""
+
+
 def steps(spark: SparkSession, sf: str) -> DataFrame:
     """URL edges between consecutive events of a user: ``(log_id, dst_url, src_url, reason,
     seq)``."""

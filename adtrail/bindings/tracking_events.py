@@ -552,38 +552,30 @@ def current_runner(spark, sf):
         F.col("runner.value").alias("run_url"))
 
 
-_EDGES = I.BROWSER + """, script_bottom AS (SELECT user_id, seq FROM opened WHERE d = 1 AND level = 1),
-  raw AS (
-    SELECT user_id, seq, frame AS df, n_url AS du, frame AS sf, r_url AS su, 'Server Redirect' AS reason,
-      1 AS policy FROM be WHERE t = 'error'
-    UNION ALL SELECT user_id, seq, frame, s_url, frame, frame_url, 'Script Load', 1
-      FROM be SEMI JOIN script_bottom USING (user_id, seq)
-    UNION ALL SELECT user_id, seq, frame, n_url, run_frame, run_url, 'JS Navigation', 1
-      FROM be JOIN runner USING (user_id, seq) WHERE t = 'click' AND k % 2 = 0
-    UNION ALL SELECT user_id, seq, frame, n_url, run_frame, run_url, 'Anchor link setup - set att', 1
-      FROM be JOIN runner USING (user_id, seq) WHERE t = 'click' AND k % 2 = 1
-    UNION ALL SELECT user_id, seq, frame, n_url, frame, frame_url, 'Frame Load', 1 FROM be WHERE t = 'view'
-    UNION ALL SELECT user_id, seq, frame, n_url, frame, frame_url, 'Load Frame', 2 FROM be WHERE t = 'view')"""
-
-
-@query("derive_edges", f"""WITH {_EDGES} SELECT user_id::VARCHAR AS log_id, seq, df AS dst_frame,
-  du AS dst_url, sf AS src_frame, su AS src_url, reason, policy FROM raw""")
+def _node_columns(name: str, out: str) -> list:
+    return [F.col(f"{name}.{c}").alias(f"{out}_{c}") for c in ("frame_id", "kind", "value", "value2")]
+
+
+@query("derive_edges", f"""WITH {I.PAGE_EVENTS} SELECT user_id::VARCHAR AS log_id, seq, df AS dst_frame_id,
+  dk AS dst_kind, dv AS dst_value, d2 AS dst_value2, sf AS src_frame_id, sk AS src_kind, sv AS src_value,
+  s2 AS src_value2, reason, policy FROM raw""")
 def derive_edges(spark, sf):
-    return chains.derive_edges(I.browser_events(spark, sf)).select(
-        "log_id", "seq", F.col("dst.frame_id").alias("dst_frame"),
-        F.col("dst.value").alias("dst_url"), F.col("src.frame_id").alias("src_frame"),
-        F.col("src.value").alias("src_url"), "reason", "policy")
+    return chains.derive_edges(I.page_events(spark, sf)).select(
+        "log_id", "seq", *_node_columns("dst", "dst"), *_node_columns("src", "src"), "reason", "policy")
 
 
-@query("resolve_edges", f"""WITH {_EDGES} SELECT user_id::VARCHAR AS log_id, df AS dst_frame,
-  du AS dst_url, coalesce(arg_min(su, seq) FILTER (WHERE policy = 1),
-    arg_max(su, seq) FILTER (WHERE policy = 2)) AS src_url,
-  coalesce(arg_min(reason, seq) FILTER (WHERE policy = 1),
-    arg_max(reason, seq) FILTER (WHERE policy = 2)) AS reason FROM raw GROUP BY 1, 2, 3""")
+@query("resolve_edges", f"""WITH {I.PAGE_EVENTS} SELECT user_id::VARCHAR AS log_id, df AS dst_frame_id,
+  dk AS dst_kind, dv AS dst_value, d2 AS dst_value2, e.f AS src_frame_id, e.k AS src_kind, e.v AS src_value,
+  e.v2 AS src_value2, e.why AS reason, born FROM resolved""")
 def resolve_edges(spark, sf):
-    return chains.resolve_edges(chains.derive_edges(I.browser_events(spark, sf))).select(
-        "log_id", F.col("dst.frame_id").alias("dst_frame"), F.col("dst.value").alias("dst_url"),
-        F.col("src.value").alias("src_url"), "reason")
+    return chains.resolve_edges(chains.derive_edges(I.page_events(spark, sf))).select(
+        "log_id", *_node_columns("dst", "dst"), *_node_columns("src", "src"), "reason", "born")
+
+
+@query("load_urls", f"""WITH {I.PAGE_EVENTS} SELECT user_id::VARCHAR AS log_id, arg_min(n_url, seq) AS load_url
+FROM pe WHERE w = 'load' GROUP BY 1""")
+def load_urls(spark, sf):
+    return chains.load_urls(I.page_events(spark, sf))
 
 
 # the walk over one URL node per step: stops at a repeat, at the load URL or at the limit
@@ -637,17 +629,49 @@ def url_chains(spark, sf):
     return _shown_chain(chains.url_chains(steps, targets))
 
 
-@query("chains_from_events")
+# from every navigation's URL back over resolved edges; a listener without an edge of its own frame
+# takes the earliest of any frame
+@query("chains_from_events", f"""WITH {I.PAGE_EVENTS},
+  home AS (SELECT user_id, arg_min(n_url, seq) AS load_url FROM pe WHERE w = 'load' GROUP BY 1),
+  loose AS (SELECT user_id, dv, d2, arg_min(e, born) AS e FROM resolved WHERE dk = 'event_listener' GROUP BY 1, 2, 3),
+  nodes AS MATERIALIZED (SELECT r.user_id, r.df, r.dk, r.dv, r.d2, r.born, r.e.f AS sf, r.e.k AS sk, r.e.v AS sv,
+    r.e.v2 AS s2, r.e.why AS why FROM resolved r),
+  steps AS MATERIALIZED (SELECT s.user_id, s.sf AS df, s.sk AS dk, s.sv AS dv, s.s2 AS d2,
+      coalesce(n.sf, l.e.f) AS sf, coalesce(n.sk, l.e.k) AS sk, coalesce(n.sv, l.e.v) AS sv,
+      CASE WHEN n.sk IS NOT NULL THEN n.s2 ELSE l.e.v2 END AS s2, coalesce(n.why, l.e.why) AS why
+    FROM (SELECT DISTINCT user_id, sf, sk, sv, s2 FROM nodes) s
+      LEFT JOIN nodes n ON n.user_id = s.user_id AND n.df = s.sf AND n.dk = s.sk AND n.dv = s.sv
+        AND n.d2 IS NOT DISTINCT FROM s.s2
+      LEFT JOIN loose l ON l.user_id = s.user_id AND s.sk = 'event_listener' AND l.dv = s.sv AND l.d2 = s.s2
+    WHERE n.sk IS NOT NULL OR l.e IS NOT NULL),
+  starts AS (SELECT user_id, dv AS ad_url, load_url, df, dk, dv, d2, sf, sk, sv, s2, why FROM nodes
+    LEFT JOIN home USING (user_id) WHERE dk = 'URL'
+      AND (user_id, dv) IN (SELECT (user_id, n_url) FROM pe WHERE w = 'nav')
+    QUALIFY row_number() OVER (PARTITION BY user_id, dv ORDER BY born) = 1),
+  walk AS (WITH RECURSIVE w(user_id, ad_url, load_url, hop, frame, kind, value, value2, reason, nf, nk, nv, n2,
+      seen, going) AS (
+    SELECT user_id, ad_url, load_url, 0, df, dk, dv, d2, why, sf, sk, sv, s2, [(df, dk, dv, d2, why)::VARCHAR],
+      NOT (sk = 'URL' AND sv = coalesce(load_url, '')) FROM starts
+    UNION ALL SELECT w.user_id, w.ad_url, w.load_url, w.hop + 1, w.nf, w.nk, w.nv, w.n2, s.why, s.sf, s.sk, s.sv, s.s2,
+      list_append(w.seen, (w.nf, w.nk, w.nv, w.n2, s.why)::VARCHAR),
+      NOT (s.sk = 'URL' AND s.sv = coalesce(w.load_url, '')) AND w.hop + 2 < 30
+      FROM w JOIN steps s ON s.user_id = w.user_id AND s.df = w.nf AND s.dk = w.nk AND s.dv = w.nv
+        AND s.d2 IS NOT DISTINCT FROM w.n2
+      WHERE w.going AND NOT list_contains(w.seen, (w.nf, w.nk, w.nv, w.n2, s.why)::VARCHAR))
+    SELECT * FROM w)
+SELECT user_id::VARCHAR AS log_id, ad_url, hop, frame, kind, value, reason FROM walk
+UNION ALL SELECT user_id::VARCHAR, ad_url, hop + 1, nf, nk, nv, 'FIRST' FROM walk
+QUALIFY row_number() OVER (PARTITION BY user_id, ad_url ORDER BY hop DESC) = 1""")
 def chains_from_events(spark, sf):
-    """Event records all the way to chains: no SQL, since frames, spans and the walk interact."""
-    ev = materialise(I.browser_events(spark, sf))
+    """Event records all the way to chains, with the session's load URL from its own records."""
+    ev = I.page_events(spark, sf)
     edges = materialise(chains.resolve_edges(chains.derive_edges(ev)))
     targets = ev.where(F.col("header").contains("WillNavigateFrame")).select(
-        "log_id", records.field("url").alias("ad_url")).distinct()
+        "log_id", records.field("url").alias("ad_url")).distinct().join(chains.load_urls(ev), "log_id", "left")
     found = chains.redirect_chains(edges, targets)
     return chains.chain_rows(found).select(
-        "log_id", "ad_url", "hop", F.col("node.frame_id").alias("frame"),
-        F.col("node.value").alias("url"), "reason")
+        "log_id", "ad_url", "hop", F.col("node.frame_id").alias("frame"), F.col("node.kind").alias("kind"),
+        F.col("node.value").alias("value"), "reason")
 
 
 # --- seeds and jobs ------------------------------------------------------------------------
