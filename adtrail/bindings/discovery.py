@@ -133,16 +133,17 @@ m AS (SELECT d.h, b.screenshot_hash AS known, {I.ham_sql('d.h', 'b.screenshot_ha
 SELECT h AS screenshot_hash, known, bits FROM (
   SELECT *, row_number() OVER (PARTITION BY h ORDER BY bits, known) AS rn FROM m) WHERE rn = 1""")
 def known_hash_matches(spark, sf):
-    return cluster.nearest_known(I.document_hashes(spark, sf), I.toxic_hashes(spark, sf),
-                                 "screenshot_hash", fixed.SIMILAR_BITS)
+    hashes = I.document_hashes(spark, sf)
+    return cluster.nearest_known(hashes, I.toxic_hashes(spark, sf, hashes), "screenshot_hash",
+                                 fixed.SIMILAR_BITS)
 
 
 @query("similar_to_known", f"""
 WITH {I.DOC_HASHES}, {I.TOXIC} SELECT doc_id FROM dh WHERE EXISTS (SELECT 1 FROM bad b
   WHERE {I.ham_sql('dh.screenshot_hash', 'b.screenshot_hash')} <= 13)""")
 def similar_to_known(spark, sf):
-    return cluster.similar_to(I.document_hashes(spark, sf), I.toxic_hashes(spark, sf),
-                              "screenshot_hash").select("doc_id")
+    hashes = I.document_hashes(spark, sf)
+    return cluster.similar_to(hashes, I.toxic_hashes(spark, sf, hashes), "screenshot_hash").select("doc_id")
 
 
 @query("first_ads", """
@@ -375,8 +376,8 @@ _NETWORK = I.PAGE_ADS + f""", net AS MATERIALIZED (SELECT *, coalesce(n2, n1, 'U
   FROM (SELECT *, {_rules_sql('hop1')} AS n1, {_rules_sql('hop2')} AS n2 FROM pa)), {I.TOXIC}"""
 
 
-def _networks(spark, sf):
-    return attribution.identify_network(I.page_ads(spark, sf))
+def _networks(spark, sf, hashes=None):
+    return attribution.identify_network(I.page_ads(spark, sf, hashes))
 
 
 @query("identify_network",
@@ -393,7 +394,8 @@ _NAMES = ", ".join(f"('{n}')" for n in fixed.NETWORKS)
   FROM (VALUES {_NAMES}) t(name) LEFT JOIN net ON network = name GROUP BY 1)
 SELECT * FROM c UNION ALL SELECT 'total', sum(ads)::BIGINT, sum(malicious_ads)::BIGINT FROM c""")
 def network_counts(spark, sf):
-    return attribution.network_counts(_networks(spark, sf), I.toxic_hashes(spark, sf))
+    hashes = I.document_hashes(spark, sf)
+    return attribution.network_counts(_networks(spark, sf, hashes), I.toxic_hashes(spark, sf, hashes))
 
 
 @query("network_hosts", f"""WITH {_NETWORK}, d AS (SELECT DISTINCT network, network_host FROM net
@@ -410,8 +412,8 @@ def network_hosts(spark, sf):
   screenshot_hash IN (SELECT screenshot_hash FROM bad) AS malicious, count(*) AS ads FROM dh
 GROUP BY 1""")
 def malicious_ads(spark, sf):
-    return attribution.flag_malicious(
-        I.document_hashes(spark, sf), I.toxic_hashes(spark, sf)).groupBy("malicious").agg(
+    hashes = I.document_hashes(spark, sf)
+    return attribution.flag_malicious(hashes, I.toxic_hashes(spark, sf, hashes)).groupBy("malicious").agg(
         F.count(F.lit(1)).alias("ads"))
 
 

@@ -188,10 +188,11 @@ def _hop_sql(kind: str) -> str:
       ELSE 'http://nothing.example.org/' || p END"""
 
 
-def page_ads(spark: SparkSession, sf: str) -> DataFrame:
+def page_ads(spark: SparkSession, sf: str, hashes: DataFrame | None = None) -> DataFrame:
     """An ad per document: its hash, and a page, dealt out in turn, as the landing page."""
     p = F.col("doc_id")
-    hashes = number_rows(document_hashes(spark, sf).select("doc_id", "screenshot_hash"), ["doc_id"], "_doc")
+    hashes = document_hashes(spark, sf) if hashes is None else hashes
+    hashes = number_rows(hashes.select("doc_id", "screenshot_hash"), ["doc_id"], "_doc")
     pages = number_rows(page_urls(spark, sf), ["page_id"], "_page")
     ads = hashes.withColumn("_page", F.pmod("_doc", table(spark, sf, "pages").agg(F.count(F.lit(1))).scalar()))
     home = F.concat(F.lit("http://www.pub"), (p % 50).cast("string"), F.lit(".example."), ending(p % 50), F.lit("/"))
@@ -223,9 +224,10 @@ PAGE_ADS = DOC_HASHES + f""", {PAGE_URLS}, pa AS MATERIALIZED (
     JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS pn FROM pu) USING (pn))"""
 
 
-def toxic_hashes(spark: SparkSession, sf: str) -> DataFrame:
+def toxic_hashes(spark: SparkSession, sf: str, hashes: DataFrame | None = None) -> DataFrame:
     bad = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return document_hashes(spark, sf).join(bad, "doc_id", "left_semi").select(
+    hashes = document_hashes(spark, sf) if hashes is None else hashes
+    return hashes.join(bad, "doc_id", "left_semi").select(
         "screenshot_hash").distinct()
 
 

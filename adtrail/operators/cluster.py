@@ -11,7 +11,7 @@ from adtrail.functions import bits, urls
 from adtrail.plans.components import components
 from adtrail.plans.cut import materialise
 from adtrail.plans.groups import first_per, number_rows
-from adtrail.plans.similarity import candidate_pairs, near_pairs
+from adtrail.plans.similarity import bit_order, candidate_pairs, near_known, near_pairs
 
 DENSE_PAIRS_PER_HASH = 64
 
@@ -73,7 +73,7 @@ def nearest_known(df: DataFrame, known: DataFrame, hash_col: str, max_bits: int)
     ).select(hash_col, F.col("_hit").isNotNull().alias("_hit")))
     rest = materialise(with_lanes(flagged.where(~F.col("_hit")).select(hash_col), hash_col))
     targets = materialise(with_lanes(theirs, "known"))
-    near = near_pairs(rest, targets, max_bits).groupBy(F.col(f"a_{hash_col}").alias(hash_col)).agg(
+    near = near_known(rest, targets, max_bits).groupBy(F.col(f"a_{hash_col}").alias(hash_col)).agg(
         F.min(F.struct(F.col("bits"), F.col("b_known").alias("known"))).alias("m"))
     exact = flagged.where("_hit").select(
         hash_col, F.col(hash_col).alias("known"), F.lit(0).alias("bits"))
@@ -115,9 +115,10 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
 
     # --- who is a core row: neighbours counted with their copies ---------------------------
     slim = points.select("id", "n", "hi", "lo")
-    size, candidates = candidate_pairs(slim, max_bits)
+    order = bit_order(slim)
+    size, candidates = candidate_pairs(slim, max_bits, order)
     bound = dense_pairs_per_hash * size
-    pairs = near_pairs(slim, None, max_bits, candidates=candidates).select(
+    pairs = near_pairs(slim, None, max_bits, candidates=candidates, order=order).select(
         "a_id", "a_n", "b_id", "b_n")
 
     def both_ways(p: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def dbscan(df: DataFrame, hash_col: str = "screenshot_hash",
 
         def neighbour_min(labels: DataFrame) -> DataFrame:
             marked = materialise(lanes.join(nodes, "id").join(labels, "id"))
-            near = near_pairs(marked, None, max_bits, candidates=candidates).where(
+            near = near_pairs(marked, None, max_bits, candidates=candidates, order=order).where(
                 (F.col("a_label") != F.col("b_label")) & reachable("a_lone", "b_lone"))
             return near.select(F.explode(F.array(
                 F.struct(F.col("a_id").alias("id"), F.col("b_label").alias("label")),
@@ -271,7 +272,7 @@ def match_clusters(ads: DataFrame, members: DataFrame, hash_col: str = "screensh
     rest = materialise(with_lanes(mine.where("label is null").select(hash_col), hash_col))
     targets = materialise(with_lanes(
         reps.groupBy(F.col("_rep")).agg(F.min("label").alias("label")), "_rep"))
-    near = near_pairs(rest, targets, max_bits).groupBy(F.col(f"a_{hash_col}").alias(hash_col)).agg(
+    near = near_known(rest, targets, max_bits).groupBy(F.col(f"a_{hash_col}").alias(hash_col)).agg(
         F.min(F.struct(F.col("bits"), F.col("b_label").alias("label"))).alias("m")).select(
         hash_col, "m.label")
     found = mine.where("label is not null").unionByName(near.select(hash_col, "label"))

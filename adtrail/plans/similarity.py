@@ -4,6 +4,11 @@ Two hashes that differ in at most ``k`` bits agree on at least one of ``k + 1``
 so a theta join becomes an equi-join on (band, value) with an exact distance check. A pair is
 reported only in the first band it shares, so no ``distinct`` is needed.
 
+Bits are dealt to the bands by how evenly they are set in the data, so that constant bits, which tell
+nothing, are shared out and every band holds as many telling ones. A lookup of many hashes in few
+(`near_known`) halves the bands: two hashes differ in at most one bit in one of them, and the few are
+entered with all their one-bit variants.
+
 A bucket with too many candidate pairs is split again by ``k + 1`` bands over the bits that the
 bucket has not fixed yet, and so on; what is still large after the last round is spread over a
 grid of cells in which every pair of rows meets once. Nothing is capped or left out.
@@ -13,24 +18,31 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adtrail.functions.bits import HASH_BITS, _signed, band_masks, distance, first_shared_band
+from adtrail.functions.bits import HASH_BITS, _signed, distance, first_shared_band
 from adtrail.plans.cut import materialise
 
 BUCKET_LIMIT = 8192
+ORDER_ROWS = 4096     # points of a side that the bit order is taken from
 MAX_PATHS = 50_000    # size of the mask table: seven bands allow five rounds, fourteen four
 _KEY = ["_path", "_kh", "_kl"]
 
 
-def _split_mask(free: int, n: int) -> list[int]:
-    """Cut the set bits of a 128-bit mask into ``n`` even runs."""
-    bits = [b for b in range(HASH_BITS - 1, -1, -1) if free >> b & 1]
-    out = []
-    for i in range(n):
-        run = bits[i * len(bits) // n:(i + 1) * len(bits) // n]
-        out.append(sum(1 << b for b in run))
-    return out
+def bit_order(*points: DataFrame) -> list[int]:
+    """All bits, from the one that is set most evenly to those that never vary, by a few thousand
+    points of each side; the order steers the plan only, never the result."""
+    rows = [r for p in points for r in p.select("hi", "lo").limit(ORDER_ROWS).collect()]
+    lanes = np.array([(r.lo, r.hi) for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
+    ones = (lanes[:, :, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(axis=0).ravel()
+    return sorted(range(HASH_BITS), key=lambda b: (abs(2 * int(ones[b]) - len(rows)), -b))
+
+
+def _split_mask(free: int, n: int, order: Sequence[int]) -> list[int]:
+    """Deal the set bits of a 128-bit mask into ``n`` masks, in turn."""
+    bits = [b for b in order if free >> b & 1]
+    return [sum(1 << b for b in bits[i::n]) for i in range(n)]
 
 
 def _lanes(mask: int) -> tuple[int, int]:
@@ -40,20 +52,19 @@ def _lanes(mask: int) -> tuple[int, int]:
 class _Paths:
     """The tree of band masks: a path fixes bits, its children split the bits that are free."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, order: Sequence[int]):
+        self.n, self.order = n, order
         self.full = (1 << HASH_BITS) - 1
-        self.levels: list[list[dict]] = [[]]
-        for i, mask in enumerate(_split_mask(self.full, n)):
-            self.levels[0].append({"path": i, "fixed": mask,
-                                   "before": _split_mask(self.full, n)[:i]})
+        self.masks = _split_mask(self.full, n, order)
+        self.levels: list[list[dict]] = [
+            [{"path": i, "fixed": mask, "before": self.masks[:i]} for i, mask in enumerate(self.masks)]]
 
     def children(self, level: int) -> list[dict]:
         while len(self.levels) <= level:
             grown = []
             base = sum(len(x) for x in self.levels)
             for parent in self.levels[-1]:
-                parts = _split_mask(self.full & ~parent["fixed"], self.n)
+                parts = _split_mask(self.full & ~parent["fixed"], self.n, self.order)
                 for j, part in enumerate(parts):
                     grown.append({"path": base + len(grown), "parent": parent["path"],
                                   "fixed": parent["fixed"] | part,
@@ -63,14 +74,7 @@ class _Paths:
 
 
 def _level_one(points: DataFrame, paths: _Paths) -> DataFrame:
-    bands = F.array(*[
-        F.struct(F.lit(p["path"]).alias("p"), F.lit(_lanes(p["fixed"])[0]).cast("bigint").alias("h"),
-                 F.lit(_lanes(p["fixed"])[1]).cast("bigint").alias("l"))
-        for p in paths.levels[0]])
-    return points.withColumn("_b", F.explode(bands)).select(
-        *points.columns, F.col("_b.p").alias("_path"),
-        F.col("hi").bitwiseAND(F.col("_b.h")).alias("_kh"),
-        F.col("lo").bitwiseAND(F.col("_b.l")).alias("_kl"))
+    return _level_one_of(points, [(p["path"], p["fixed"], 0) for p in paths.levels[0]])
 
 
 def _next_level(rows: DataFrame, paths: _Paths, level: int) -> DataFrame:
@@ -124,34 +128,36 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], max_bits: int,
     return a.join(b, cond & (bits <= max_bits)).withColumn("bits", bits.cast("int"))
 
 
-def candidate_pairs(points: DataFrame, max_bits: int) -> tuple[int, float]:
+def candidate_pairs(points: DataFrame, max_bits: int, order: Sequence[int]) -> tuple[int, float]:
     """Number of points, and of pairs that share a band: a bound of what a self-join compares."""
     n = max_bits + 1
-    sizes = _level_one(points.select("hi", "lo"), _Paths(n)).groupBy(*_KEY).count()
+    sizes = _level_one(points.select("hi", "lo"), _Paths(n, order)).groupBy(*_KEY).count()
     row = sizes.agg(F.sum("count").alias("rows"), F.sum(
         F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).first()
     return (row["rows"] or 0) // n, row["pairs"] or 0.0
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
-               limit: int = BUCKET_LIMIT, candidates: float | None = None) -> DataFrame:
+               limit: int = BUCKET_LIMIT, candidates: float | None = None,
+               order: Sequence[int] | None = None) -> DataFrame:
     """All pairs of rows of ``left`` and ``right`` within ``max_bits``.
 
     Both sides hold one row per hash (columns ``hi``, ``lo`` and any others). With
     ``right=None`` the pairs are those inside ``left``, each once. Output: every input column
     with prefix ``a_`` or ``b_``, and ``bits``. ``candidates`` is the number of pairs that share
-    a band, where the caller knows it already.
+    a band and ``order`` the `bit_order`, where the caller knows them already.
     """
     same = right is None
     n = max_bits + 1
-    paths = _Paths(n)
+    order = bit_order(*[p for p in (left, right) if p is not None]) if order is None else order
+    paths = _Paths(n, order)
     l1 = _level_one(left, paths)
     r1 = l1 if same else _level_one(right, paths)
     spark = left.sparkSession
 
     def simple(a: DataFrame, b: DataFrame) -> DataFrame:
         found = _join(a, b, _KEY, max_bits, same)
-        first = first_shared_band("a_hi", "a_lo", "b_hi", "b_lo", band_masks(n))
+        first = first_shared_band("a_hi", "a_lo", "b_hi", "b_lo", [_lanes(m) for m in paths.masks])
         return found.where(first == F.col("a__path"))
 
     if candidates is None:
@@ -196,3 +202,45 @@ def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
         found = found.join(F.broadcast(before), F.col("a__path") == F.col("_p")).where(
             ~earlier).drop("_p", "_before")
     return found.drop(*[f"{s}_{k}" for s in "ab" for k in _KEY])
+
+
+def near_known(left: DataFrame, right: DataFrame, max_bits: int, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """`near_pairs` of many hashes with few known ones: ``left`` has one row per hash and band, and
+    ``right``, the smaller side, all values within one bit of its own.
+
+    With half as many bands as differing bits allowed, some band differs in at most one bit. A pair
+    counts in the first such band. Buckets with too many candidates are spread over cells.
+    """
+    order = bit_order(left, right)
+    masks = _split_mask((1 << HASH_BITS) - 1, max_bits // 2 + 1, order)
+    mine = _level_one_of(left, [(i, m, 0) for i, m in enumerate(masks)])
+    flips = [(i, m, 1 << b if b >= 0 else 0) for i, m in enumerate(masks)
+             for b in [-1, *(b for b in range(HASH_BITS) if m >> b & 1)]]
+    theirs = _level_one_of(right, flips)
+    heavy = None
+    # no bucket can be heavy while all pairs together are too few
+    if float(left.count()) * right.count() > float(limit) ** 2:
+        heavy = materialise(_heavy(mine, theirs, limit))
+        heavy = None if heavy.isEmpty() else heavy
+    if heavy is None:
+        found = _join(mine, theirs, _KEY, max_bits, False)
+    else:
+        found = _join(_grid(mine, heavy, limit, "a"), _grid(theirs, heavy, limit, "b"),
+                      [*_KEY, "_i", "_j"], max_bits, False).drop("a__i", "a__j", "b__i", "b__j")
+    dh, dl = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("hi", "lo"))
+    first = None
+    for i, m in enumerate(masks):
+        h, l = (F.lit(x).cast("bigint") for x in _lanes(m))
+        close = F.bit_count(dh.bitwiseAND(h)) + F.bit_count(dl.bitwiseAND(l)) <= 1
+        first = F.when(close, i) if first is None else first.when(close, i)
+    return found.where(first == F.col("a__path")).drop(*[f"{s}_{k}" for s in "ab" for k in _KEY])
+
+
+def _level_one_of(points: DataFrame, entries: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """One row per entry (band, mask, flipped bit) and point, with the band's value as the key."""
+    table = [F.struct(F.lit(i).alias("p"), *[F.lit(x).cast("bigint").alias(c) for c, x in zip(
+        ("h", "l", "fh", "fl"), (*_lanes(mask), *_lanes(flip)))]) for i, mask, flip in entries]
+    return points.withColumn("_b", F.explode(F.array(*table))).select(
+        *points.columns, F.col("_b.p").alias("_path"),
+        F.col("hi").bitwiseAND(F.col("_b.h")).bitwiseXOR(F.col("_b.fh")).alias("_kh"),
+        F.col("lo").bitwiseAND(F.col("_b.l")).bitwiseXOR(F.col("_b.fl")).alias("_kl"))

@@ -10,7 +10,8 @@ from adtrail.operators.records import nesting, pair_next
 from adtrail.plans import cut
 from adtrail.plans.components import roots
 from adtrail.plans.groups import number_rows, ordered, top_per
-from adtrail.plans.similarity import near_pairs
+from adtrail.functions import bits
+from adtrail.plans.similarity import bit_order, near_known, near_pairs
 
 
 def bits_apart(a, b):
@@ -130,6 +131,32 @@ def test_banded_join_of_two_sides_equals_brute_force(spark, limit):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("max_bits, limit", [(13, 8192), (13, 3), (12, 8192), (1, 2), (0, 8192)])
+def test_lookup_with_one_bit_variants_equals_brute_force(spark, max_bits, limit):
+    rng = random.Random(max_bits)
+    base = [rng.getrandbits(128) for _ in range(3)]
+
+    def some(n):
+        out = set()
+        while len(out) < n:
+            h = rng.choice(base)
+            for b in rng.sample(range(128), rng.choice([0, 1, 2, 6, 12, 13, 14, 15])):
+                h ^= 1 << b
+            out.add(h & ~(0xFF << 60))       # eight bits never vary
+        return sorted(out)
+
+    def frame(hashes):
+        return spark.createDataFrame([(f"{h:032x}",) for h in hashes], "h string").select(
+            "h", bits.lane("h", 0).alias("hi"), bits.lane("h", 1).alias("lo"))
+
+    mine, known = some(150), some(40)
+    got = [(int(r.a_h, 16), int(r.b_h, 16), r.bits) for r in near_known(frame(mine), frame(known), max_bits, limit).collect()]
+    assert sorted(got) == sorted((a, b, (a ^ b).bit_count()) for a in mine for b in known if (a ^ b).bit_count() <= max_bits)
+    order = bit_order(frame(mine), frame(known))
+    assert sorted(order) == list(range(128)) and set(order[-8:]) == set(range(60, 68))
+    assert near_known(frame(mine), frame(known).limit(0), max_bits).count() == 0
+
+
 def test_nearest_known_edges_of_the_threshold(spark):
     def flipped(n):
         return f"{(1 << n) - 1:032x}"
