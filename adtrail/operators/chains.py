@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adtrail import fixed, schemas
 from adtrail.functions import fields as fx
@@ -11,6 +11,7 @@ from adtrail.operators.records import field, first_frame_insert, nesting, pair_n
 from adtrail.plans.components import roots
 from adtrail.plans.cut import materialise
 from adtrail.plans.groups import may_be_hot, number_rows, ordered
+from adtrail.plans.jumps import walks
 from adtrail.plans.stacks import unfit_ends
 
 OVERWRITE, FIRST_WINS, LAST_RESORT = 0, 1, 2
@@ -456,53 +457,46 @@ def lookup_edge(edges: DataFrame) -> DataFrame:
 
 
 def redirect_chains(edges: DataFrame, targets: DataFrame, limit: int | None = fixed.CHAIN_LIMIT,
-                    last_reason: str = "FIRST", hops_per_round: int = 5) -> DataFrame:
+                    last_reason: str = "FIRST") -> DataFrame:
     """Chains from landing URLs back to their origin: ``(log_id, ad_url, chain)``.
 
     ``edges``: resolved edges. ``targets``: ``(log_id, ad_url[, load_url])``. A chain ends where
     no edge leads on, at the session's load URL, when a (node, reason) repeats, or after
     ``limit`` edges; its last entry is the node reached. A URL without an edge has no chain.
-    All sessions advance together, one equi-join on the edge number per hop; finished chains
-    leave the loop.
+
+    The edges of all walks are listed by jump tables over the edge numbers and then cut where the
+    first of these ends comes.
     """
     if "load_url" not in targets.columns:
         targets = targets.withColumn("load_url", F.lit(None).cast("string"))
     linked = materialise(lookup_edge(edges))
-    starts = linked.where("dst.kind = 'URL'").groupBy(
+    first = linked.where("dst.kind = 'URL'").groupBy(
         "log_id", F.col("dst.value").alias("ad_url")).agg(
         F.min_by(F.struct("eid", "dst"), "eid").alias("s"))
-    hop = F.struct(F.col("key").alias("node"), F.col("reason"))
-    empty = F.array().cast(f"array<struct<node:{schemas.NODE},reason:string>>")
-    live = targets.select("log_id", "ad_url", "load_url").distinct().join(
-        starts, ["log_id", "ad_url"]).select(
-        "log_id", "ad_url", "load_url", F.col("s.eid").alias("at"), F.col("s.dst").alias("key"),
-        empty.alias("chain"))
-    step = linked.select(F.col("eid").alias("at"), "src", "reason", "next")
-    done = []
-    while True:
-        for _ in range(hops_per_round):
-            # a column of its own: inside a lambda, "key" could mean the new key selected below
-            walked = live.join(step, "at", "left").withColumn(
-                "looped", F.coalesce(F.exists("chain", lambda h: h == hop), F.lit(False)))
-            open_, looped = F.col("at").isNotNull(), F.col("looped")
-            grown = F.concat("chain", F.array(hop))
-            full = F.lit(False) if limit is None else F.size(grown) >= limit
-            home = (F.col("src.kind") == "URL") & F.col("src.value").eqNullSafe(F.col("load_url"))
-            stop = looped | full | home
-            moves = open_ & ~looped
-            live = walked.select(
-                "log_id", "ad_url", "load_url",
-                F.when(open_ & ~F.coalesce(stop, F.lit(False)), F.col("next")).alias("at"),
-                F.when(moves, F.col("src")).otherwise(F.col("key")).alias("key"),
-                F.when(moves, grown).otherwise(F.col("chain")).alias("chain"))
-        live = materialise(live)
-        done.append(live.where("at is null"))
-        live = live.where("at is not null")
-        if live.isEmpty():
-            break
-    end = F.struct(F.col("key").alias("node"), F.lit(last_reason).alias("reason"))
-    return _union(done).select("log_id", "ad_url",
-                               F.concat("chain", F.array(end)).alias("chain"))
+    starts = materialise(targets.select("log_id", "ad_url", "load_url").distinct().join(
+        first, ["log_id", "ad_url"]).select(
+        "log_id", "ad_url", "load_url", F.col("s.eid").alias("n"), F.col("s.dst").alias("start")).withColumn(
+        "walk", F.monotonically_increasing_id()))
+    listed = walks(starts, linked.select(F.col("eid").alias("n"), F.col("next").alias("to")), limit)
+    hops = listed.join(linked.select(F.col("eid").alias("n"), "src", "reason"), "n").join(
+        starts.select("walk", "start", "load_url"), "walk")
+    along = Window.partitionBy("walk").orderBy("pos")
+    hops = hops.withColumn("node", F.coalesce(F.lag("src").over(along), F.col("start")))
+    # one edge leads on from a node, so a node that returns does so with its reason
+    again = F.row_number().over(Window.partitionBy("walk", "node").orderBy("pos")) > 1
+    home = (F.col("src.kind") == "URL") & F.col("src.value").eqNullSafe(F.col("load_url"))
+    whole = Window.partitionBy("walk")
+    hops = hops.withColumns({"_again": again, "_home": F.coalesce(home, F.lit(False))}).withColumn(
+        "_end", F.least(F.min(F.when(F.col("_again"), F.col("pos"))).over(whole),
+                        F.min(F.when(F.col("_home"), F.col("pos") + 1)).over(whole)))
+    kept = hops.where(F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
+    chains = kept.groupBy("walk").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "node", "reason"))).alias("h"),
+        F.max_by("src", "pos").alias("last"))
+    end = F.struct(F.col("last").alias("node"), F.lit(last_reason).alias("reason"))
+    chain = F.concat(F.transform("h", lambda x: F.struct(x["node"].alias("node"), x["reason"].alias("reason"))),
+                     F.array(end))
+    return chains.join(starts, "walk").select("log_id", "ad_url", chain.alias("chain"))
 
 
 def chain_rows(chains: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from adtrail import fixed, schemas
 from adtrail.functions import fields as fx
 from adtrail.operators import chains, records
+from adtrail.plans.jumps import walks
 from adtrail.sources import logs
 
 BLANK = "about:blank"
@@ -251,6 +252,51 @@ def test_url_chains_end_on_cycles(spark):
         ("a", "x"), ("b", "y"), ("c", "z"), ("a", "")]
 
 
+def test_walks_without_a_limit(spark):
+    """Ends, rings of several sizes, tails into rings, and walks of 10,000 hops."""
+    rng = random.Random(6)
+    to = {i: rng.choice([None, rng.randrange(300), i + 1]) for i in range(300)}
+    to |= {i: i + 1 for i in range(1000, 11_000)} | {11_000: None, 500: 500, 501: 502, 502: 501}
+    links = spark.createDataFrame(list(to.items()), "n long, to long")
+    begin = [*range(0, 300, 3), 500, 501, 1000, 5000, 11_000]
+    starts = spark.createDataFrame([(i, n) for i, n in enumerate(begin)], "walk long, n long")
+    got = {}
+    for r in walks(starts, links).orderBy("walk", "pos").collect():
+        got.setdefault(r.walk, []).append(r.n)
+    for i, n in enumerate(begin):
+        path = []
+        while n is not None and n not in path[-1000:]:
+            path.append(n)
+            n = to.get(n)
+        assert got[i] == path + ([n] if n is not None else [])
+    short = walks(starts, links, 5).groupBy("walk").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("p")).collect()
+    assert all(r.n == r.p + 1 <= 5 for r in short) and max(r.n for r in short) == 5
+    assert walks(starts, links.where("to is null")).count() == len(begin)
+
+
+def test_url_chain_of_ten_thousand_hops(spark):
+    n = 10_000
+    edges = spark.range(n).select(F.lit("s").alias("log_id"), F.concat(F.lit("u"), F.col("id")).alias("dst_url"),
+                                  F.concat(F.lit("u"), F.col("id") + 1).alias("src_url"), F.lit("r").alias("reason"),
+                                  F.col("id").alias("seq"))
+    targets = spark.createDataFrame([("s", "u0"), ("s", f"u{n - 2}")], "log_id string, ad_url string")
+    got = {r.ad_url: [h.node.value for h in r.chain] for r in chains.url_chains(edges, targets).collect()}
+    assert got == {"u0": [f"u{i}" for i in range(n + 1)], f"u{n - 2}": [f"u{i}" for i in range(n - 2, n + 1)]}
+
+
+def test_a_listener_of_another_frame_may_lead_round_once_more(spark):
+    def node(frame, kind, value, value2=None):
+        return (frame, kind, value, value2)
+    a, x, y = node("f", "URL", "a"), node("g", "event_listener", "t", "e"), node("f", "event_listener", "t", "e")
+    rows = [("s", a, x, "one", 1, 1), ("s", y, a, "two", 2, 1)]
+    edges = chains.resolve_edges(spark.createDataFrame(rows, schemas.EDGES))
+    targets = spark.createDataFrame([("s", "a")], "log_id string, ad_url string")
+    for limit in (30, None):
+        chain, = chains.redirect_chains(edges, targets, limit).collect()
+        assert [(h.node.value, h.node.frame_id, h.reason) for h in chain.chain] == [
+            ("a", "f", "one"), ("t", "g", "two"), ("a", "f", "FIRST")]
+
+
 def test_session_logs(spark, tmp_path):
     (tmp_path / "s9.log").write_text("\n".join([
         "t:Screenshot: of URL /h/home.png", f"t {fixed.EVENT_LOG_MARKER}one.txt",
