@@ -208,16 +208,31 @@ def dbscan(spark, sf):
     return _dbscan(spark, sf).select("log_id", "label", "is_core")
 
 
-@query("cluster_profile", f"""WITH {DBSCAN} SELECT cluster AS label, count(*) AS size,
+# the same after the first ad of each domain and hash, and every ad stored twice
+DISCOVERY = DBSCAN.replace("hs AS MATERIALIZED", """w1 AS MATERIALIZED (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY domain, screenshot_hash ORDER BY line_no) AS first_one FROM ads)
+    WHERE first_one = 1), hs AS MATERIALIZED""").replace("FROM ads GROUP BY 1", "FROM w1 GROUP BY 1").replace(
+    "members AS MATERIALIZED (SELECT ads.*", "members AS MATERIALIZED (SELECT w1.*").replace(
+    "FROM ads LEFT JOIN labelled l ON l.h = ads.screenshot_hash", "FROM w1 LEFT JOIN labelled l ON l.h = w1.screenshot_hash"
+    ).replace("border b ON b.h = ads.screenshot_hash", "border b ON b.h = w1.screenshot_hash")
+
+
+def _discovered(spark, sf):
+    ads = I.document_ads(spark, sf).drop("label")
+    again = ads.withColumns({"line_no": F.col("line_no") + 1_000_000_000, "log_id": F.lit("again")})
+    return cluster.discover(ads.unionByName(again), order_by=["line_no"])
+
+
+@query("cluster_profile", f"""WITH {DISCOVERY} SELECT cluster AS label, count(*) AS size,
   count(DISTINCT domain) AS domains, count(*) FILTER (WHERE is_core) AS cores,
   count(*) FILTER (WHERE ad_url LIKE '%.png') AS images,
   count(*) FILTER (WHERE is_core) / count(*) AS core_fraction
 FROM members WHERE cluster >= 0 GROUP BY 1""")
 def cluster_profile(spark, sf):
-    return cluster.cluster_profile(_dbscan(spark, sf))
+    return cluster.cluster_profile(_discovered(spark, sf))
 
 
-_PRUNED = DBSCAN + """, kept AS (SELECT cluster FROM members WHERE cluster >= 0 GROUP BY 1
+_PRUNED = DISCOVERY + """, kept AS (SELECT cluster FROM members WHERE cluster >= 0 GROUP BY 1
     HAVING count(DISTINCT domain) >= 3 AND avg(is_core::INT) >= 0.5
       AND count(*) FILTER (WHERE ad_url LIKE '%.png') = 0),
   pruned AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (
@@ -226,7 +241,7 @@ _PRUNED = DBSCAN + """, kept AS (SELECT cluster FROM members WHERE cluster >= 0
 
 
 def _pruned(spark, sf):
-    return cluster.prune_clusters(_dbscan(spark, sf), order_by=["line_no"])
+    return cluster.prune_clusters(_discovered(spark, sf), order_by=["line_no"])
 
 
 @query("campaign_discovery",
@@ -545,11 +560,14 @@ def category_lookup(spark, sf):
 
 @query("category_names", """
 SELECT doc_id % 300 AS domain, arg_max(lang || ',' || source, doc_id) AS names FROM documents
-GROUP BY 1""")
+WHERE doc_id % 7 > 1 GROUP BY 1""")
 def category_names(spark, sf):
     named = F.transform(F.array("lang", "source"), lambda x: F.struct(x.alias("name")))
+    # lookups without a category, and failed ones
+    found = F.when(F.col("doc_id") % 7 == 0, F.filter(named, lambda x: F.lit(False))).when(
+        F.col("doc_id") % 7 > 1, named)
     df = table(spark, sf, "documents").select(
-        (F.col("doc_id") % 300).alias("domain"), named.alias("category"),
+        (F.col("doc_id") % 300).alias("domain"), found.alias("category"),
         F.col("doc_id").alias("line_no"))
     return campaigns.category_names(campaigns.categorised(df)).withColumn(
         "names", F.array_join("names", ","))

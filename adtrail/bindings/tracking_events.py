@@ -938,3 +938,138 @@ def payloads(spark, sf):
     return I.events(spark, sf).select(
         "event_id", fx.payload(json, "json").alias("json"), fx.payload(fn, "function").alias("fn"),
         fx.last_token(line).alias("token"))
+
+
+def _written(spark, df: DataFrame, by: str, order: str, text: str) -> str:
+    """Text files, one per value of ``by``, in order; the folder that holds them."""
+    path = scratch_path(spark)
+    df.select(F.col(by).alias("part"), F.col(order).alias("_o"), F.col(text).alias("value")).repartition(
+        "part").sortWithinPartitions("part", "_o").drop("_o").write.partitionBy("part").text(path)
+    return path
+
+
+# eight files of the lines of many users each: a user's lines follow each other in one file
+@query("session_scan", """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place
+FROM events""")
+def session_scan(spark, sf):
+    path = scratch_path(spark)
+    I.events(spark, sf).select("user_id", "event_id").repartitionByRange(8, "user_id").sortWithinPartitions(
+        "user_id", "event_id").select(F.concat(F.col("user_id").cast("string"), F.lit(" "), F.col("event_id").cast(
+            "string")).alias("value")).write.text(path)
+    lines = logs.read_sessions(spark, path).withColumns({
+        "user": F.split("line", " ")[0], "event_id": F.split("line", " ")[1].cast("long")})
+    first = lines.groupBy("log_id", "user").agg(F.min("line_no").alias("first"))
+    return lines.join(first, ["log_id", "user"]).select(
+        "event_id", (F.col("line_no") - F.col("first")).cast("long").alias("place"))
+
+
+_DIGESTS = """f AS (SELECT doc_id % 50 AS part, string_agg(md5(text) || chr(10), '' ORDER BY doc_id) AS content
+  FROM documents GROUP BY 1)"""
+
+
+def _digest_files(spark, sf) -> str:
+    docs = table(spark, sf, "documents").select(
+        "doc_id", (F.col("doc_id") % 50).alias("slot"), F.md5("text").alias("line"))
+    return _written(spark, docs, "slot", "doc_id", "line")
+
+
+@query("file_hashes", f"""WITH {_DIGESTS} SELECT sha256(content) AS file_hash, length(content) AS length FROM f""")
+def file_hashes(spark, sf):
+    return files.hash_files(spark, _digest_files(spark, sf)).select("file_hash", "length")
+
+
+@query("quiet_files", f"""WITH {_DIGESTS} SELECT count(*) AS quiet, sum(length(content))::BIGINT AS bytes,
+  0::BIGINT AS quiet_now FROM f""")
+def quiet_files(spark, sf):
+    path = _digest_files(spark, sf)
+    later = files.quiet_files(spark, path, now="2100-01-01 00:00:00")
+    now = files.quiet_files(spark, path).agg(F.count(F.lit(1)))
+    return later.agg(F.count(F.lit(1)).alias("quiet"), F.sum("length").alias("bytes")).withColumn(
+        "quiet_now", now.scalar())
+
+
+# results come as text; what is not a number becomes NULL
+@query("job_results_round_trip", f"""WITH {I.EVENTS} SELECT event_type AS ip_type, 'job' || event_id AS job_name,
+  CASE WHEN k % 5 <> 0 THEN k / 10 END AS total_time, CASE WHEN k % 3 <> 0 THEN k END AS ads_opened FROM ev""")
+def job_results_round_trip(spark, sf):
+    path, k = scratch_path(spark), F.col("k")
+    results = I.events(spark, sf).select(
+        "event_id", F.concat(F.lit("job"), F.col("event_id").cast("string")).alias("job_name"),
+        F.col("event_type").alias("ip_type"),
+        F.when(k % 5 == 0, "n/a").otherwise((k / 10).cast("string")).alias("total_time"),
+        F.when(k % 3 == 0, "").otherwise(k.cast("string")).alias("ads_opened"))
+    for half in (0, 1):
+        files.append_results(results.where(F.col("event_id") % 2 == half).drop("event_id"), path)
+    return files.read_job_results(spark, path).select("ip_type", "job_name", "total_time", "ads_opened")
+
+
+@query("url_helpers", """WITH h AS (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http:' || substr(url, strpos(url, '//')) WHEN 1 THEN
+    'https:' || substr(url, strpos(url, '//')) ELSE substr(url, strpos(url, '//')) END AS completed,
+  CASE WHEN host LIKE 'www.%' THEN substr(host, 5) ELSE host END AS no_www, substr(host, 5) AS cut,
+  page_id % 4 <> 3 AS ignorable FROM h""")
+def url_helpers(spark, sf):
+    n = F.col("page_id")
+    on = F.when(n % 3 == 0, "http://x/").when(n % 3 == 1, "https://x/").otherwise("ftp://x/")
+    bare = F.regexp_replace("url", "^[a-z]+:", "")
+    seen = F.when(n % 4 == 0, "").when(n % 4 == 1, F.concat(F.lit("chrome-extension://"), "url")).when(
+        n % 4 == 2, "about:blank").otherwise(F.col("url"))
+    host = urls.netloc("url")
+    return table(spark, sf, "pages").select(
+        "page_id", urls.complete_scheme(bare, on).alias("completed"), urls.strip_www(host).alias("no_www"),
+        urls.strip_www(host, exact=True).alias("cut"), fx.ignorable_url(seen).alias("ignorable"))
+
+
+@query("sessions_with_ads", """SELECT (doc_id // 10)::VARCHAR AS log_id, count(*) AS ads FROM documents
+WHERE doc_id % 3 <> 0 GROUP BY 1""")
+def sessions_with_ads(spark, sf):
+    p = F.col("line_no")
+    ads = I.page_ads(spark, sf).select(
+        F.floor(p / 10).cast("string").alias("log_id"),
+        F.when(p % 3 == 0, F.slice("redirections", 1, 0)).otherwise(F.col("redirections")).alias("redirections"))
+    return chains.sessions_with_ads(ads)
+
+
+@query("unqueried_domains", f"""WITH {I.VERDICTS}, d AS (SELECT 'd' || c_custkey AS domain FROM customer)
+SELECT domain FROM d WHERE domain NOT IN (SELECT domain FROM verdicts)""")
+def unqueried_domains(spark, sf):
+    known = table(spark, sf, "customer").select(
+        F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("domain"))
+    return reputation.unqueried(reputation.verdict_table(known, I.verdict_log(spark, sf)),
+                                "first_query_time").select("domain")
+
+
+@query("first_frame_inserts", f"""WITH {I.PAGE_EVENTS} SELECT user_id::VARCHAR AS log_id, frame, min(seq) AS seq
+FROM pe WHERE w = 'html' GROUP BY 1, 2""")
+def first_frame_inserts(spark, sf):
+    return records.first_frame_insert(records.route_events(I.page_events(spark, sf)))
+
+
+# what explains the listeners that edges come from: their own frame's edge, else the earliest of any
+@query("listener_lookup", f"""WITH {I.PAGE_EVENTS}, l AS (SELECT * FROM resolved WHERE dk = 'event_listener'),
+  loose AS (SELECT user_id, dv, d2, arg_min(df, born) AS df, count(*) AS n FROM l GROUP BY 1, 2, 3)
+SELECT r.user_id::VARCHAR AS log_id, r.df AS dst_frame, r.dv AS dst_value, r.born,
+  coalesce(x.df, o.df) AS next_frame FROM resolved r
+  LEFT JOIN l x ON x.user_id = r.user_id AND x.df = r.e.f AND x.dv = r.e.v AND x.d2 = r.e.v2
+  LEFT JOIN loose o ON o.user_id = r.user_id AND o.dv = r.e.v AND o.d2 = r.e.v2 WHERE r.e.k = 'event_listener'""")
+def listener_lookup(spark, sf):
+    linked = materialise(chains.lookup_edge(chains.resolve_edges(chains.derive_edges(I.page_events(spark, sf)))))
+    led = linked.select(F.col("eid").alias("next"), F.col("dst.frame_id").alias("next_frame"))
+    return linked.where("src.kind = 'event_listener'").join(led, "next", "left").select(
+        "log_id", F.col("dst.frame_id").alias("dst_frame"), F.col("dst.value").alias("dst_value"), "born", "next_frame")
+
+
+# a click is answered by a purchase of the same user within an hour; later clicks are still open
+@query("unanswered_stream", f"""WITH {I.EVENTS}, w AS (SELECT least(max(ts) FILTER (WHERE event_type = 'click'),
+    max(ts) FILTER (WHERE event_type = 'purchase')) AS passed FROM ev)
+SELECT event_id FROM ev c, w WHERE event_type = 'click' AND c.ts + INTERVAL 1 HOUR < passed AND NOT EXISTS (
+  SELECT 1 FROM ev p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts >= c.ts
+    AND p.ts <= c.ts + INTERVAL 1 HOUR)""")
+def unanswered_stream(spark, sf):
+    def events_of(kind: str, at: str, *cols: str) -> DataFrame:
+        return _event_stream(spark, sf).where(F.col("event_type") == kind).select(
+            *cols, "user_id", F.col("ts").alias(at))
+
+    open_ = streams.unanswered_stream(events_of("click", "seen_at", "event_id"),
+                                      events_of("purchase", "answered_at"), "user_id", "1 hour")
+    return streams.run_available(open_).select("event_id")

@@ -235,6 +235,14 @@ def prune_clusters(members: DataFrame, domain: str = "domain", url: str = "ad_ur
     return first_per(members.join(kept, "label", "left_semi"), ["label", domain], order_by)
 
 
+def discover(ads: DataFrame, domain: str = "domain", hash_col: str = "screenshot_hash",
+             order_by: Sequence[str] = ("log_id", "src_file", "line_no"),
+             max_bits: int = fixed.CLUSTER_BITS, min_samples: int = fixed.MIN_SAMPLES) -> DataFrame:
+    """Clusters of landing pages before pruning: the first ad of each (domain, hash), so that a page
+    shown again on its domain counts once, then density clusters. Feeds `prune_clusters`."""
+    return dbscan(first_ads(ads, domain, hash_col, order_by), hash_col, order_by, max_bits, min_samples)
+
+
 def filter_clusters(members: DataFrame, excluded: DataFrame,
                     min_size: int = fixed.MIN_CAMPAIGN_ADS) -> tuple[DataFrame, DataFrame]:
     """Drop small clusters, then those on the curated list: ``(members kept, counts)``."""

@@ -84,6 +84,22 @@ def retry_batches(stream: DataFrame, answered: Callable[[], DataFrame], key: str
         availableNow=True).start()
 
 
+def unanswered_stream(seen: DataFrame, answers: DataFrame, key: str, wait: str,
+                      seen_at: str = "seen_at", answered_at: str = "answered_at",
+                      late: str = "0 seconds") -> DataFrame:
+    """Rows of ``seen`` that get no answer within ``wait``: an outer join of two streams.
+
+    Both sides are kept for as long as a partner may still come; once the watermark of both has
+    passed ``seen_at + wait``, a row without one is emitted and its state dropped. Rows without a
+    key never get an answer.
+    """
+    asked = seen.withWatermark(seen_at, late)
+    found = answers.select(F.col(key).alias("_key"), F.col(answered_at).alias("_at")).withWatermark("_at", late)
+    on = (F.col(key) == F.col("_key")) & (F.col("_at") >= F.col(seen_at)) & (
+        F.col("_at") <= F.col(seen_at) + F.expr(f"interval {wait}"))
+    return asked.join(found, on, "left_outer").where(F.col("_at").isNull()).drop("_key", "_at")
+
+
 def run_available(stream: DataFrame, mode: str = "append", finish: Callable | None = None,
                   partition: str | None = None) -> DataFrame:
     """Run a stream over what is available now and return its result as a table.

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from adtrail import fixed, schemas
 from adtrail.operators import campaigns, elements, jobs, records, reputation, tracking
+from adtrail.operators import cluster
 from adtrail.operators.cluster import with_lanes
+from adtrail.plans.select import nth_smallest
 from adtrail.sources import files
 from adtrail.streaming import streams
 
@@ -347,3 +349,22 @@ def test_complete_mode_without_any_batch_gives_an_empty_table(spark, tmp_path):
     stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "s"))
     out = streams.run_available(streams.insert_absent_stream(stream, ["k"]), "complete")
     assert out.count() == 0 and out.columns == ["k", "first_seen"]
+
+
+@pytest.mark.parametrize("buckets", [2, 4096])
+def test_selection_by_rank(spark, buckets):
+    rng = random.Random(buckets)
+    values = [rng.choice([-2**63, 2**63 - 1, 7, 7, rng.randrange(-10**15, 10**15), None]) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    ranked = sorted(v for v in values if v is not None)
+    for nth in (1, 2, len(ranked) // 2, len(ranked)):
+        assert nth_smallest(df, "v", nth, buckets) == ranked[nth - 1]
+    assert nth_smallest(df, "v", len(ranked) + 1) is None and nth_smallest(df.limit(0), "v", 1) is None
+
+
+def test_repeated_ads_do_not_make_a_cluster(spark):
+    rows = [(f"l{i}", "one.com", near(0), i) for i in range(5)] + [("m", "two.com", near(3), 9)]
+    rows += [(f"n{i}", f"d{i}.com", "f" * 32, 20 + i) for i in range(3)]
+    ads = spark.createDataFrame(rows, "log_id string, domain string, screenshot_hash string, line_no int")
+    got = {r.log_id: r.label for r in cluster.discover(ads, order_by=["line_no"]).collect()}
+    assert got == {"l0": -1, "m": -1, "n0": 0, "n1": 0, "n2": 0}
