@@ -851,7 +851,7 @@ def ingest_stream(spark, sf):
   {shown_sql('min(ts)')} AS first_seen, {shown_sql('max(ts)')} AS last_seen FROM ev GROUP BY 1, 2""")
 def observe_stream(spark, sf):
     out = streams.observe_stream(_event_stream(spark, sf), ["user_id", "event_type"])
-    return streams.run_available(out, "complete").withColumns(
+    return streams.run_updates(out, ["user_id", "event_type"]).withColumns(
         {c: shown(c) for c in ("first_seen", "last_seen")})
 
 
@@ -863,8 +863,8 @@ def verdict_stream(spark, sf):
     answers = e.select(
         F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("domain"),
         F.col("ts").alias("query_time"), I.verdict_text().alias("result"))
-    out = streams.run_available(streams.verdict_stream(answers), "complete",
-                                finish=reputation.unpack_verdicts)
+    out = streams.run_updates(streams.verdict_stream(answers), ["domain"],
+                              finish=reputation.unpack_verdicts)
     return out.withColumns({c: shown(c) for c in _TIMES}).select(
         "domain", *_TIMES, "first_flag", "last_flag", "last_result")
 
@@ -891,7 +891,7 @@ def tagged_stream(spark, sf):
 GROUP BY 1""")
 def insert_absent_stream(spark, sf):
     out = streams.insert_absent_stream(_event_stream(spark, sf), ["k"])
-    return streams.run_available(out, "complete").withColumn("first_seen", shown("first_seen"))
+    return streams.run_updates(out, ["k"]).withColumn("first_seen", shown("first_seen"))
 
 
 # --- sources and sinks ---------------------------------------------------------------------

@@ -132,3 +132,33 @@ def run_available(stream: DataFrame, mode: str = "append", finish: Callable | No
     if "n" not in last:
         return spark.createDataFrame([], shape(stream).schema)
     return spark.read.parquet(f"{out}/batch={last['n']}")
+
+
+def run_updates(stream: DataFrame, keys: Sequence[str], finish: Callable | None = None,
+                folder: str | None = None) -> DataFrame:
+    """Run a keyed aggregation over what is available now and return its state as a table.
+
+    The state store holds one row per key, and each batch writes only the keys that it changed, into
+    a folder of its own, which a batch that is run again replaces. The newest row of a key stands.
+    ``finish`` shapes each batch and must keep the keys.
+    """
+    spark = stream.sparkSession
+    out, state = folder or scratch_path(spark), scratch_path(spark)
+    shape = finish or (lambda df: df)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", state).trigger(
+        availableNow=True).start().awaitTermination()
+    schema = shape(spark.createDataFrame([], stream.schema)).schema
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(out)
+    return newest_rows(rows, keys, "batch")
+
+
+def newest_rows(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """The row of the highest version per key, without the version."""
+    others = [c for c in rows.columns if c not in keys and c != version]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(F.lit(0).alias("_"), *others), version).alias("r"))
+    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in others]).select(
+        *[c for c in rows.columns if c != version])

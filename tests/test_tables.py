@@ -368,3 +368,28 @@ def test_repeated_ads_do_not_make_a_cluster(spark):
     ads = spark.createDataFrame(rows, "log_id string, domain string, screenshot_hash string, line_no int")
     got = {r.log_id: r.label for r in cluster.discover(ads, order_by=["line_no"]).collect()}
     assert got == {"l0": -1, "m": -1, "n0": 0, "n1": 0, "n2": 0}
+
+
+def test_a_batch_writes_only_the_keys_it_changed(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[("a", 1), ("b", 2), (None, 3)], [("b", 1), ("c", 9)], [("c", 5)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, ts long").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.02)
+    stream = spark.readStream.schema("k string, ts long").option("maxFilesPerTrigger", 1).parquet(source)
+    table = streams.run_updates(streams.observe_stream(stream, ["k"]), ["k"], folder=out)
+    got = {r.k: (r["count"], r.first_seen, r.last_seen) for r in table.collect()}
+    assert got == {"a": (1, 1, 1), "b": (2, 1, 2), "c": (2, 5, 9), None: (1, 3, 3)}
+    written = {r.batch: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()}
+    assert written == {0: 3, 1: 2, 2: 1}
+
+
+def test_only_rows_whose_wait_is_over_are_unanswered(spark, tmp_path):
+    at = [T0 + timedelta(minutes=i) for i in range(200)]
+    seen = [("in time", at[0]), ("late answer", at[1]), ("none", at[2]), (None, at[3]), ("still open", at[150]), ("x", at[190])]
+    answers = [("in time", at[10]), ("late answer", at[90]), ("none", at[1]), ("y", at[190]), (None, at[4])]
+    for name, rows, column in (("s", seen, "seen_at"), ("a", answers, "answered_at")):
+        spark.createDataFrame(rows, f"k string, {column} timestamp").write.parquet(str(tmp_path / name))
+    read = lambda n, c: spark.readStream.schema(f"k string, {c} timestamp").parquet(str(tmp_path / n))
+    out = streams.run_available(streams.unanswered_stream(read("s", "seen_at"), read("a", "answered_at"), "k", "1 hour"))
+    assert {r.k for r in out.collect()} == {"late answer", "none", None}
