@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from adtrail.bindings.registry import settle
 from adtrail.llm.chats import Template, format_branches
 from adtrail.llm.registry import query
 
@@ -35,6 +36,7 @@ from p
 
 @query("op11_chat_formatting", SQL)
 def op11_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    settle(spark)
     template = Template()
     given = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adtrail.bindings.registry import settle
 from adtrail.llm.divergence import source_divergence
 from adtrail.llm.registry import query
 
@@ -47,4 +48,5 @@ qualify part = 'pair' or rank <= 50
 
 @query("op13_source_divergence", SQL)
 def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    settle(spark)
     return source_divergence(spark.read.parquet(f"{sf}/documents.parquet"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adtrail.llm.quality import RULES, STOP_WORDS, quality_scores
+from adtrail.llm.quality import RULES, STOP_WORDS, STOP_WORD_LANGUAGES, quality_scores
 from adtrail.llm.registry import query
 
-_VERDICT = " and ".join(f"{r.measure} {r.op} {r.bound}" for r in RULES)
+# the list of stop words binds only texts in its languages
+_VERDICT = " and ".join(f"({r.measure} {r.op} {r.bound}{' or unlisted' if r.measure == 'stop_word_ratio' else ''})"
+                        for r in RULES)
 
 SQL = rf"""
 with d as (
   select doc_id, coalesce(text, '') as t,
+         lower(regexp_extract(coalesce(lang, ''), '^\s*([A-Za-z]+)', 1)) as said,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
   from documents),
 windows as (
@@ -26,6 +29,9 @@ covered as (
 m as (
   select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         said not in ('', 'und', {", ".join(f"'{x}'" for x in STOP_WORD_LANGUAGES)})
+           or 2 * length(regexp_replace(t, '[^\p{{Latin}}]', '', 'g')) < length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))
+           as unlisted,
          len(list_filter(w, lambda x: lower(x) in ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) as n_stop,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
          coalesce(c.n, 0) as n_repeat_words

@@ -57,3 +57,19 @@ def test_clean_text_in_languages_without_a_list_is_kept(spark):
     assert {r.doc_id for r in quality_filter(docs).collect()} == {i for i, k in want.items() if k}
     bare = docs.drop("lang").where("doc_id in (1, 6)")
     assert [r.doc_id for r in quality_filter(bare).collect()] == [1]
+
+
+def test_sql_knows_the_language_rule(spark):
+    import duckdb
+
+    from adtrail.llm.q_quality import SQL
+    russian = " ".join(f"мы{i} шли{i} домой{i}" for i in range(30))
+    polish = " ".join(f"szliśmy{i} przez{i} las{i}" for i in range(30))
+    rows = [(1, russian, "ru"), (2, russian, "en"), (3, polish, " PL-pl"), (4, polish, "en"), (5, polish, None), (6, GOOD, "en"),
+            (7, polish, "und"), (8, None, "ru"), (9, russian, None), (10, "# 1 " * 60, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = {r[0]: r[1] for r in con.sql(f"select doc_id, kept from ({SQL})").fetchall()}
+    assert {r.doc_id: r.kept for r in quality_scores(docs).collect()} == want
+    assert {i for i, kept in want.items() if kept} == {1, 2, 3, 6, 9}
