@@ -420,20 +420,28 @@ def _session_lines(spark, sf):
         .when(kind == "signup", F.concat(F.lit(fixed.EVENT_LOG_MARKER + "log"), k, F.lit(".txt"))) \
         .when(kind == "purchase", F.lit("Downloaded a file: x")) \
         .otherwise(F.concat(F.lit("Home URL: http://h"), k, F.lit(".example.com/")))
-    return I.events(spark, sf).select(
-        F.col("user_id").cast("string").alias("log_id"), F.col("event_id").alias("line_no"),
-        line.alias("line"))
-
-
-# event numbers are not dense within a user, so the screenshot is looked up at the same gap
-@query("session_ads", f"""WITH {I.EVENTS}, home AS (SELECT user_id, min(event_id) AS line,
-    arg_min(k, event_id) AS hk FROM ev WHERE event_type = 'view' GROUP BY 1),
+    rows = I.events(spark, sf).select(
+        F.col("user_id").cast("string").alias("log_id"), "event_id", line.alias("line"))
+    return ordered(rows, ["log_id"], ["event_id"]).running_sum(F.lit(1).cast("long"), "line_no").result().select(
+        "log_id", "line_no", "line")
+
+
+# a click takes the two lines below it along, so a walk over each user's lines tells which clicks count
+@query("session_ads", f"""WITH {I.EVENTS}, ln AS MATERIALIZED (SELECT *, row_number() OVER (
+    PARTITION BY user_id ORDER BY event_id) AS line FROM ev),
+  walk AS (WITH RECURSIVE w(user_id, line, free_at) AS (
+    SELECT user_id, 0, 1 FROM ln WHERE line = 1
+    UNION ALL SELECT w.user_id, w.line + 1, CASE WHEN ln.event_type = 'click' AND w.line + 1 >= w.free_at
+      THEN w.line + 4 ELSE w.free_at END FROM w JOIN ln ON ln.user_id = w.user_id AND ln.line = w.line + 1)
+    SELECT user_id, line, free_at, coalesce(lag(free_at) OVER (PARTITION BY user_id ORDER BY line), 1) AS before FROM w),
+  free AS MATERIALIZED (SELECT ln.* FROM ln JOIN walk USING (user_id, line) WHERE line >= before),
+  home AS (SELECT user_id, min(line) AS line, arg_min(k, line) AS hk FROM free WHERE event_type = 'view' GROUP BY 1),
   logs AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN 'log' || k || '.txt' END
-    IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS log FROM ev)
-SELECT p.user_id::VARCHAR AS log_id, p.event_id AS line_no, 'http://l' || p.k || '.example.com/' AS ad_url,
+    IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line) AS log FROM free)
+SELECT p.user_id::VARCHAR AS log_id, p.line AS line_no, 'http://l' || p.k || '.example.com/' AS ad_url,
   'shot' || s.k || '.png' AS screenshot, p.log AS event_log,
-  CASE WHEN home.line < p.event_id THEN '/s/shot' || hk || '.png' END AS home_url
-FROM logs p JOIN ev s ON s.user_id = p.user_id AND s.event_id = p.event_id + 2 AND s.event_type = 'view'
+  CASE WHEN home.line < p.line THEN '/s/shot' || hk || '.png' END AS home_url
+FROM logs p JOIN ln s ON s.user_id = p.user_id AND s.line = p.line + 2 AND s.event_type = 'view'
 LEFT JOIN home ON home.user_id = p.user_id WHERE p.event_type = 'click'""")
 def session_ads(spark, sf):
     return records.session_ads(_session_lines(spark, sf)).drop("screenshot_path")

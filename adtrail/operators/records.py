@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adtrail import fixed
 from adtrail.functions.fields import last_token
+from adtrail.plans.cut import materialise
 from adtrail.plans.groups import first_per, ordered
+from adtrail.plans.jumps import walks
 
 # Header text -> kind of event, in the order in which the tests must be made.
 _ROUTES = [
@@ -125,32 +127,60 @@ def record_body(events: DataFrame, ignore: Sequence[str] = ("timestamp",),
         p.alias(f"p{i}") for i, p in enumerate(parts)])))
 
 
+def _read_pages(pages: DataFrame, gap: int) -> DataFrame:
+    """Page-URL lines ``(log_id, line_no)`` that are read as such: reading one takes the ``gap`` lines
+    below it along, and a page-URL line among these does not count.
+
+    Only lines within ``gap`` of each other matter to one another. The first of such a run counts, and
+    each one that counts leads to the first beyond its own lines, which is at most ``2 * gap`` below.
+    """
+    place = F.struct("log_id", "line_no")
+
+    def below(first: int, last: int) -> DataFrame:
+        near = pages.select("log_id", F.col("line_no").alias("_from"), F.explode(F.array(*[
+            F.col("line_no") + i for i in range(first, last + 1)])).alias("line_no"))
+        return near.join(pages, ["log_id", "line_no"])
+
+    follows = below(1, gap).select("log_id", "line_no").distinct()
+    starts = pages.join(follows, ["log_id", "line_no"], "left_anti").select(place.alias("walk"), place.alias("n"))
+    nexts = below(gap + 1, 2 * gap).groupBy("log_id", F.col("_from").alias("line_no")).agg(
+        F.min("line_no").alias("_next"))
+    beyond = F.when(F.col("_next").isNotNull(), F.struct("log_id", F.col("_next").alias("line_no")))
+    links = pages.join(nexts, ["log_id", "line_no"], "left").select(place.alias("n"), beyond.alias("to"))
+    return walks(starts, links).select("n.*")
+
+
 def session_ads(lines: DataFrame, gap: int = 2, **scan) -> DataFrame:
     """Landing pages named in session logs: ``(log_id, line_no, ad_url, screenshot, event_log,
     home_url)``.
 
-    A page-URL line counts when the line ``gap`` rows below it names a screenshot (2 in the
-    current dialect, 1 in the older one). The browser log is the latest one named above the
-    line, the home URL the first one of the session.
+    A page-URL line is read together with the ``gap`` lines below it (2 in the current dialect, 1 in
+    the older one), which count for nothing else; it names an ad if the last of them names a
+    screenshot. The browser log is the latest one named above the line, the home URL the first one
+    of the session, if it comes before.
     """
     line = F.col("line")
-    page = line.contains(fixed.PAGE_URL_MARKER)
-    shot = line.contains(fixed.SCREENSHOT_MARKER)
-    log = F.when(line.contains(fixed.EVENT_LOG_MARKER), last_token(line))
-    home = lines.where(shot & line.contains("URL")).groupBy("log_id").agg(
-        F.min(F.struct("line_no", last_token(line).alias("url"))).alias("_home"))
-    # line numbers are dense, so "gap lines below" is an equi-join on (session, number)
-    shots = lines.where(shot).select(
-        "log_id", (F.col("line_no") - gap).alias("line_no"), last_token("line").alias("_path"))
-    logs = lines.where(page | log.isNotNull()).withColumn("_log", log).withColumn("_page", page)
-    g = ordered(logs, ["log_id"], ["line_no"], **scan).last(F.col("_log"), "event_log")
-    pages = g.result().where("_page").join(shots, ["log_id", "line_no"])
+    marks = {"page": line.contains(fixed.PAGE_URL_MARKER), "shot": line.contains(fixed.SCREENSHOT_MARKER),
+             "log": line.contains(fixed.EVENT_LOG_MARKER)}
+    marked = materialise(lines.select("log_id", "line_no", last_token(line).alias("token"), line.contains("URL").alias(
+        "url"), *[m.alias(n) for n, m in marks.items()]).where("page or shot or log"))
+    read = materialise(_read_pages(marked.where("page").select("log_id", "line_no"), gap))
+    # line numbers are dense, so the lines below are equi-joins on (session, number)
+    taken = read.select("log_id", F.explode(F.array(*[F.col("line_no") + i for i in range(1, gap + 1)])).alias("line_no"))
+    free = marked.join(taken, ["log_id", "line_no"], "left_anti")
+    home = free.where("shot and url").groupBy("log_id").agg(
+        F.min(F.struct("line_no", F.col("token").alias("url"))).alias("_home"))
+    shots = marked.where("shot").select(
+        "log_id", (F.col("line_no") - gap).alias("line_no"), F.col("token").alias("_path"))
+    g = ordered(free.where("page or log"), ["log_id"], ["line_no"], **scan).last(
+        F.when(F.col("log"), F.col("token")), "event_log")
+    pages = g.result().where("page").join(shots, ["log_id", "line_no"])
     return pages.join(home, "log_id", "left").select(
-        "log_id", "line_no", last_token("line").alias("ad_url"),
+        "log_id", "line_no", F.col("token").alias("ad_url"),
         F.regexp_extract("_path", r"([^/]*)$", 1).alias("screenshot"),
         F.col("_path").alias("screenshot_path"), "event_log",
-        # the page-URL line is read before the screenshot line that follows it
-        F.when(F.col("_home.line_no") < F.col("line_no"), F.col("_home.url")).alias("home_url"))
+        # a line that names both is home first
+        F.when(F.col("_home.line_no") <= F.col("line_no"), F.col("_home.url")).alias("home_url"))
 
 
 def session_outcome(lines: DataFrame) -> DataFrame:

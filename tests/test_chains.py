@@ -308,9 +308,40 @@ def test_session_logs(spark, tmp_path):
     lines = logs.read_sessions(spark, str(tmp_path))
     got = [(r.ad_url, r.screenshot, r.event_log, r.home_url)
            for r in records.session_ads(lines).orderBy("line_no").collect()]
+    # the second log file is named in a line that is read along with the second page
     assert got == [("http://a/", "a.png", "one.txt", "/h/home.png"),
-                   ("http://c/", "c.png", "two.txt", "/h/home.png")]
+                   ("http://c/", "c.png", "one.txt", "/h/home.png")]
     assert [r.ad_url for r in records.session_ads(lines, gap=1).collect()] == ["http://b/"]
     out, = records.session_outcome(lines).collect()
     assert (out.screenshot_path, out.loaded_url, out.downloaded_files) == (
         "/x/home.png", "http://h2/", True)
+
+
+@pytest.mark.parametrize("gap", [1, 2, 3])
+def test_lines_read_with_a_page_count_for_nothing_else(spark, gap):
+    rng = random.Random(gap)
+    kinds = {"page": "t:3rd party page URL: http://p{}/", "shot": "t:Screenshot: /x/s{}.png", "log": f"t {fixed.EVENT_LOG_MARKER}l{{}}.txt",
+             "home": "t:Screenshot: of URL /h{}.png", "other": "t nothing {}"}
+    sessions = {f"s{j}": [kinds[rng.choice(["page", "page", *kinds])].format(i) for i in range(rng.choice([1, 8, 60]))]
+                for j in range(40)}
+    want = set()
+    for name, lines in sessions.items():
+        home = log = None
+        i = 0
+        while i < len(lines):
+            token = lines[i].split(" ")[-1]
+            if home is None and ":Screenshot: " in lines[i] and "URL" in lines[i]:
+                home = token
+            if fixed.EVENT_LOG_MARKER in lines[i]:
+                log = token
+            step = 1
+            if "page URL" in lines[i]:
+                if i + gap < len(lines) and ":Screenshot: " in lines[i + gap]:
+                    want.add((name, i + 1, token, lines[i + gap].split("/")[-1], log, home))
+                step = gap + 1
+            i += step
+    df = spark.createDataFrame([(n, i + 1, x) for n, ls in sessions.items() for i, x in enumerate(ls)],
+                               "log_id string, line_no long, line string")
+    got = {(r.log_id, r.line_no, r.ad_url, r.screenshot, r.event_log, r.home_url)
+           for r in records.session_ads(df, gap).collect()}
+    assert got == want and len(want) > 20
