@@ -393,3 +393,13 @@ def test_only_rows_whose_wait_is_over_are_unanswered(spark, tmp_path):
     read = lambda n, c: spark.readStream.schema(f"k string, {c} timestamp").parquet(str(tmp_path / n))
     out = streams.run_available(streams.unanswered_stream(read("s", "seen_at"), read("a", "answered_at"), "k", "1 hour"))
     assert {r.k for r in out.collect()} == {"late answer", "none", None}
+
+
+def test_a_landing_page_without_host_counts_but_is_not_looked_up(spark):
+    ads = spark.createDataFrame([(1, "h", "", "pub"), (1, "h", "http://bad.com/", "pub")],
+                                "label int, screenshot_hash string, ad_url string, seed_domain string")
+    groups = spark.createDataFrame([("c", 1)], "category string, label int")
+    for threat, flagged in (("", 0), ("bad.com", 1)):
+        table = campaigns.campaign_table(ads, groups, ads, spark.createDataFrame([(threat,)], "d string"))
+        row, = table.where("category = 'c'").collect()
+        assert (row.attacks, row.landing_domains, row.flagged_clusters, row.publishers) == (2, 2, flagged, 1)
