@@ -136,4 +136,6 @@ def read_event_log(spark: SparkSession, path: str, dialect: str = "v2") -> DataF
 
 
 def event_columns(records: DataFrame) -> DataFrame:
-    return records.select("log_id", "seq", "header", "fields", "args", "attrs")
+    """The columns that edges are derived from; malformed records are left out, since their fields
+    cannot be trusted, and the rest of their log is kept."""
+    return records.where(~F.coalesce("malformed", F.lit(False))).select("log_id", "seq", "header", "fields", "args", "attrs")

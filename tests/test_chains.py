@@ -345,3 +345,12 @@ def test_lines_read_with_a_page_count_for_nothing_else(spark, gap):
     got = {(r.log_id, r.line_no, r.ad_url, r.screenshot, r.event_log, r.home_url)
            for r in records.session_ads(df, gap).collect()}
     assert got == want and len(want) > 20
+
+
+def test_malformed_records_make_no_edges(spark, tmp_path):
+    good = record("DidReceiveMainResourceRedirect", frame="m", request_url="http://b/", redirect_url="http://a/")
+    broken = good.replace("http://b/", "http://c/").replace(fixed.RECORD_END, f"torn line\n{fixed.RECORD_END}")
+    empty = f"LOG::Page::WillNavigateFrame :\n{fixed.RECORD_END}\n"
+    events = read(spark, tmp_path, good + broken + empty)
+    assert [r.malformed for r in events.orderBy("seq").collect()] == [False, True, True]
+    assert {r.dst.value for r in chains.derive_edges(logs.event_columns(events)).collect()} == {"http://b/"}
