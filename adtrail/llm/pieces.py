@@ -7,32 +7,38 @@ higher-order functions. A unigram model folds Viterbi: the best score up to each
 BPE model the best-scoring path is not what the model encodes, so the fold merges the best edge
 between two neighbouring symbols until none is left, which is the model's own rule.
 
-Texts meet their units' ids block by block: a block holds a bounded number of text bytes, and only
-its different units travel.
+A text is written once, as the numbers of its units: the id of a unit that is a piece of its own,
+or the place of the unit in a list of its block's other units. Texts are never exchanged: the table
+is bucketed by block, and only the different units travel, to the lattice as texts and back as ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+import uuid
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adtrail.plans.cut import materialise
+from adtrail.plans.cut import scratch_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Units up to this many characters go through the lattice, whose state is one bit per boundary;
 #: longer ones are merged with a heap.
 LATTICE_CHARS = 60
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
+#: Units in one row of a block's list.
+LIST_ROWS = 50_000
 #: Partitions of the lattice for each block of text.
-LATTICE_PARTS = 4
+LATTICE_PARTS = 8
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -74,6 +80,31 @@ def load_pieces(path: str = MODEL) -> Pieces:
                   next(i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN), tuple(surface))
 
 
+def whole_pieces(pieces: Pieces) -> tuple[dict, float]:
+    """``(piece to id, bound)`` for a BPE model: the pieces that encode to themselves, and a score.
+    Every piece above the bound has a score of its own and is worth less than all merges that lead to
+    it, so among such pieces a merge never makes a better one possible, and one pass over the edges
+    from best to worst merges like the rule that always takes the best. Bounded by the vocabulary."""
+    score = {p: s for p, _, s in pieces.table}
+    below = -float("inf")
+    seen, bound, whole = set(), below, {}
+    for piece, i, own in pieces.table:
+        parts, worst = list(piece), float("inf")
+        while len(parts) > 1:
+            best, k = max((score.get(a + b, below), -k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == below:
+                break
+            if len(parts) > 2:
+                worst = min(worst, best)
+            parts[-k:2 - k] = [parts[-k] + parts[1 - k]]
+        if len(parts) == 1:
+            whole[piece] = i
+        if own in seen or (len(parts) == 1 and worst <= own):
+            bound = max(bound, own)
+        seen.add(own)
+    return whole, bound
+
+
 def units(text: str) -> list[str]:
     return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -134,7 +165,7 @@ def _best_long(unit: str, ids: dict, fallback, longest: int, floor: float) -> li
 
 
 def _encode_long(batches, pieces: Pieces):
-    """Frames (block, unit) of units too long for the lattice, with their ids."""
+    """Frames (block, at, unit) of units too long for the lattice, with their ids."""
     ids = {p: (i, s) for p, i, s in pieces.table}
     floor = min(s for _, _, s in pieces.table) - 10.0
 
@@ -143,7 +174,7 @@ def _encode_long(batches, pieces: Pieces):
     for df in batches:
         found = [_merge_long(u, ids, fallback) if pieces.kind == 2
                  else _best_long(u, ids, fallback, pieces.longest, floor) for u in df["unit"]]
-        yield pd.DataFrame({"block": df["block"], "unit": df["unit"], "ids": found})
+        yield pd.DataFrame({"block": df["block"], "at": df["at"], "ids": found})
 
 
 def _bit(at: Column) -> Column:
@@ -156,18 +187,24 @@ def _part(e: Column, shift: int, bits: int) -> Column:
 
 def _merged(df: DataFrame, edges: str) -> DataFrame:
     """BPE: boundaries as bits; the best edge over exactly one inner boundary removes it. The edges
-    that span no boundary but their own ends are then the pieces."""
+    that span no boundary but their own ends are then the pieces. Edges come from best to worst; one
+    pass over them is enough but for units with ``_late`` edges (`whole_pieces`)."""
     df = df.withColumn("_wide", F.transform(F.filter(edges, lambda e: e["len"] > 1),
                                             lambda e: F.struct(e["ends"], e["inner"])))
 
+    def fits(bits, e):
+        return (bits.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1)
+
+    def merge(bits, e):
+        return F.when(fits(bits, e), bits - bits.bitwiseAND(e["inner"])).otherwise(bits)
+
     def step(bits, _):
-        fits = F.filter("_wide", lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"])
-                        & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1))
-        return F.when(F.size(fits) > 0, bits - bits.bitwiseAND(fits[0]["inner"])).otherwise(bits)
+        best = F.get(F.filter("_wide", lambda e: fits(bits, e)), F.lit(0))
+        return F.when(best.isNotNull(), bits - bits.bitwiseAND(best["inner"])).otherwise(bits)
     n = F.length("unit")
     every = _bit(n + 1) - 1
-    df = df.withColumn("_bits", F.when((n > 1) & (F.size("_wide") > 0), F.aggregate(
-        F.sequence(F.lit(2), n), every, step)).otherwise(every))
+    df = df.withColumn("_bits", F.when(F.col("_late"), F.aggregate(F.sequence(F.lit(2), n), every, step))
+                       .otherwise(F.aggregate("_wide", every, merge)))
     ids = F.aggregate(  # one round of binding: the lambda sees the final bits
         F.array("_bits"), F.array().cast("array<int>"), lambda _, b: F.flatten(F.transform(
             F.array_sort(F.filter(edges, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"])
@@ -198,10 +235,10 @@ def _viterbi(df: DataFrame, edges: str) -> DataFrame:
         F.sequence(F.lit(1), n), first, back, lambda s: s["ids"]).alias("ids"))
 
 
-def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
+def encode_units(found: DataFrame, pieces: Pieces, bound: float = float("inf")) -> DataFrame:
     """``found(unit)``, different units of 1 to ``LATTICE_CHARS`` characters, to ``(unit, ids)``.
 
-    Nothing is shuffled if ``found`` is partitioned by unit. An edge travels as one number: the
+    ``bound`` as in `whole_pieces`. Nothing is shuffled if ``found`` is partitioned by unit. An edge travels as one number: the
     rank of its score, its start and length, and its piece (all ones: no piece).
     """
     spark = found.sparkSession
@@ -213,6 +250,7 @@ def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(
         pd.DataFrame([(p, rank[s] << 32 | i) for p, i, s in pieces.table], columns=["piece", "_code"]),
         "piece string, _code long"))
+    late = min((r for x, r in rank.items() if x <= bound), default=last)
     n = F.length("unit")
     subs = (found.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
             .withColumn("len", F.explode(F.sequence(
@@ -221,7 +259,8 @@ def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
     code = F.coalesce("_code", F.lit(last << 32 | none).cast("long"))
     packed = code + F.shiftleft(F.col("start").cast("long"), 26) + F.shiftleft(F.col("len").cast("long"), 20)
     lattice = subs.join(table, "piece", "left").where("_code is not null or len = 1").select(
-        "unit", packed.alias("_edge")).groupBy("unit").agg(F.sort_array(F.collect_list("_edge")).alias("_p"))
+        "unit", packed.alias("_edge"), ((F.col("len") > 1) & (code >= late << 32)).alias("_late")).groupBy(
+        "unit").agg(F.sort_array(F.collect_list("_edge")).alias("_p"), F.max("_late").alias("_late"))
     start, size, piece = (lambda e: _part(e, 26, 6)), (lambda e: _part(e, 20, 6)), (lambda e: _part(e, 0, 20))
     if pieces.byte_ids:
         by_byte = F.array(*[F.lit(i) for i in pieces.byte_ids])
@@ -244,48 +283,92 @@ def encode_units(found: DataFrame, pieces: Pieces) -> DataFrame:
         if scores is not None:
             fields.append(F.get(scores, _part(e, 32, 24)).alias("score"))
         return F.struct(*fields)
-    edges = lattice.select("unit", F.transform("_p", unpack).alias("e"))
+    edges = lattice.select("unit", "_late", F.transform("_p", unpack).alias("e"))
     return _merged(edges, "e") if pieces.kind == 2 else _viterbi(edges, "e")
 
 
-def _block_units(batches):
-    """Arrow batches of the texts of one partition to its different (block, unit)."""
-    seen: dict[int, set] = {}
-    for batch in batches:
-        for block, text in zip(batch.column("block").to_pylist(), batch.column("_text").to_pylist()):
-            seen.setdefault(block, set()).update(units(text))
-    for block, own in seen.items():
-        names = list(own)
-        for a in range(0, len(names), 50_000):
-            part = names[a:a + 50_000]
+class _Numbers(dict):
+    """Numbers of a block's units: the ids of whole pieces, and -1, -2, ... for others as they come."""
+
+    def __init__(self, whole: dict):
+        super().__init__(whole)
+        self.others: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.others.append(unit)
+        self[unit] = -len(self.others)
+        return self[unit]
+
+
+def _number_texts(batches, whole: dict, block_bytes: int):
+    """Arrow batches of texts to rows of their units' numbers and, after each block, rows of the
+    block's other units. A block is a run of texts of one task."""
+    block, numbers, held, kind = TaskContext.get().partitionId() << 32, _Numbers(whole), 0, None
+
+    def close():
+        for a in range(0, len(numbers.others), LIST_ROWS):
+            part = numbers.others[a:a + LIST_ROWS]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())],
-                names=["block", "unit"])
+                [pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()),
+                 pa.nulls(1, pa.binary()), pa.array([a], pa.int32()), pa.array([part], pa.list_(pa.string()))],
+                names=_STORED)
+    for batch in batches:
+        kind, codes, sums = batch.column("_row").type, [], []
+        for text in batch.column("_text").to_pylist():
+            own = units(text)
+            codes.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)).tobytes())
+            raw = text.encode()
+            sums.append(hashlib.md5(raw).digest())
+            held += len(raw)
+        n = len(codes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block] * n, pa.int64()), batch.column("_row"), pa.array(codes, pa.binary()),
+             pa.array(sums, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))],
+            names=_STORED)
+        if held >= block_bytes:
+            yield from close()
+            block, numbers, held = block + 1, _Numbers(whole), 0
+    if held:
+        yield from close()
+
+
+_STORED = ["block", "_row", "codes", "sum", "first", "units"]
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` written once in the shared folder, in buckets of ``key``: as a bucketed table (a join on
+    it by ``key`` with as many partitions exchanges the other side only) and as plain files."""
+    spark, name, path = df.sparkSession, f"adtrail_{uuid.uuid4().hex}", scratch_path(df.sparkSession)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name), spark.read.schema(df.schema).parquet(path)
 
 
 def _encode_block(docs: pa.Table, known: pa.Table, surface) -> pa.Table:
     """The texts of a block with the ids of its units."""
-    place = {u: i for i, u in enumerate(known.column("unit").to_pylist())}
+    # one flat array: every id at its own place, then the lists of the block's other units
     lists = known.column("ids").combine_chunks()
+    order = np.argsort(known.column("at").to_numpy())
     offsets = np.asarray(lists.offsets).astype(np.int64)
-    flat = np.asarray(lists.values)
-    sizes = np.diff(offsets)
+    starts, sizes = offsets[:-1][order] + len(surface), np.diff(offsets)[order]
+    flat = np.concatenate([np.arange(len(surface), dtype=np.int32), np.asarray(lists.values).astype(np.int32)])
+    if not len(starts):
+        starts = sizes = np.zeros(1, np.int64)
     rows, ends, exact = [], [0], []
-    for text in docs.column("_text").to_pylist():
-        own = units(text)
-        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-        n = sizes[at]
+    for codes, digest in zip(docs.column("codes").to_pylist(), docs.column("sum").to_pylist()):
+        code = np.frombuffer(codes, np.int32)
+        other = np.maximum(-1 - code, 0)
+        n = np.where(code < 0, sizes[other], 1)
+        begin = np.where(code < 0, starts[other], code)
         total = int(n.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        ids = flat[np.repeat(offsets[at], n) + step]
+        ids = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(total)]
         rows.append(ids)
         ends.append(ends[-1] + total)
-        exact.append(decode_ids(ids.tolist(), surface) == text.encode())
+        exact.append(hashlib.md5(decode_ids(ids.tolist(), surface)).digest() == digest)
     every = np.concatenate(rows) if rows else np.empty(0, np.int32)
     return pa.table({
         "_row": docs.column("_row"),
         "n_tokens": pa.array(np.diff(ends), pa.int64()),
-        "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(every.astype(np.int32))),
+        "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(every)),
         "round_trip": pa.array(exact, pa.bool_())})
 
 
@@ -299,23 +382,27 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     the mark itself in it encodes like one with spaces, so it does not come back.
     """
     pieces = load_pieces(model)
+    whole, bound = whole_pieces(pieces) if pieces.kind == 2 else ({}, 0.0)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    buckets = max(1, -(-total // block_bytes))
     kind = docs.schema[doc_id].dataType.simpleString()
-    df = docs.select(
-        F.struct(F.col(doc_id).alias("i")).alias("_row"), body.alias("_text"),
-        F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(blocks)).alias("block"),
-    ).repartition(blocks, "block")
-    # all columns go in, so that both reads of the texts are alike
-    found = materialise(df.mapInArrow(_block_units, "block bigint, unit string"))
-    short = found.where(F.length("unit") <= LATTICE_CHARS).repartition(blocks * LATTICE_PARTS, "unit")
-    coded = encode_units(short.select("unit").distinct(), pieces)
-    known = short.join(coded.hint("merge"), "unit").select("block", "unit", "ids").unionByName(
+    df = docs.select(F.struct(F.col(doc_id).alias("i")).alias("_row"), body.alias("_text"))
+    stored, files = _bucketed(df.mapInArrow(
+        partial(_number_texts, whole=whole, block_bytes=block_bytes),
+        f"block bigint, _row struct<i:{kind}>, codes binary, sum binary, first int, units array<string>"),
+        "block", buckets)
+    found = files.where("units is not null").select(
+        F.col("block").alias("_block"), "first", F.posexplode("units").alias("_k", "unit")).select(
+        F.col("_block").alias("block"), (F.col("first") + F.col("_k")).alias("at"), "unit")
+    short = found.where(F.length("unit") <= LATTICE_CHARS).repartition(buckets * LATTICE_PARTS, "unit")
+    coded = encode_units(short.select("unit").distinct(), pieces, bound)
+    known = short.join(coded.hint("merge"), "unit").select("block", "at", "ids").unionByName(
         found.where(F.length("unit") > LATTICE_CHARS).mapInPandas(
-            partial(_encode_long, pieces=pieces), "block bigint, unit string, ids array<int>"))
+            partial(_encode_long, pieces=pieces), "block bigint, at int, ids array<int>"))
     surface = pieces.surface
-    out = df.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    out = stored.where("codes is not null").select("block", "_row", "codes", "sum").groupBy("block").cogroup(
+        known.withColumnRenamed("block", "_block").repartition(buckets, "_block").groupBy("_block")).applyInArrow(
         lambda a, b: _encode_block(a, b, surface),
         f"_row struct<i:{kind}>, n_tokens bigint, ids array<int>, round_trip boolean")
     return out.select(F.col("_row.i").alias(doc_id), "n_tokens", "ids", "round_trip")
