@@ -41,6 +41,8 @@ LIST_ROWS = 50_000
 LATTICE_PARTS = 8
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
+#: The piece number of a character that no piece holds.
+_NONE = (1 << 20) - 1
 
 
 @dataclass(frozen=True)
@@ -185,13 +187,10 @@ def _part(e: Column, shift: int, bits: int) -> Column:
     return F.shiftright(e, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def _merged(df: DataFrame, edges: str) -> DataFrame:
+def _merged(lattice: DataFrame, raw) -> DataFrame:
     """BPE: boundaries as bits; the best edge over exactly one inner boundary removes it. The edges
     that span no boundary but their own ends are then the pieces. Edges come from best to worst; one
     pass over them is enough but for units with ``_late`` edges (`whole_pieces`)."""
-    df = df.withColumn("_wide", F.transform(F.filter(edges, lambda e: e["len"] > 1),
-                                            lambda e: F.struct(e["ends"], e["inner"])))
-
     def fits(bits, e):
         return (bits.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1)
 
@@ -201,16 +200,24 @@ def _merged(df: DataFrame, edges: str) -> DataFrame:
     def step(bits, _):
         best = F.get(F.filter("_wide", lambda e: fits(bits, e)), F.lit(0))
         return F.when(best.isNotNull(), bits - bits.bitwiseAND(best["inner"])).otherwise(bits)
+
+    def chosen(b):
+        wide = F.filter("_wide", lambda e: (b.bitwiseAND(e["ends"]) == e["ends"])
+                        & (b.bitwiseAND(e["inner"]) == 0))
+        one = F.filter("_one", lambda e: F.call_function("shiftright", b, _part(e, 26, 6)).bitwiseAND(F.lit(3)) == 3)
+        # start, length and piece are the low bits, so they sort by start
+        return F.sort_array(F.concat(
+            F.transform(wide, lambda e: e["edge"].bitwiseAND(F.lit((1 << 32) - 1))), one))
     n = F.length("unit")
     every = _bit(n + 1) - 1
-    df = df.withColumn("_bits", F.when(F.col("_late"), F.aggregate(F.sequence(F.lit(2), n), every, step))
-                       .otherwise(F.aggregate("_wide", every, merge)))
-    ids = F.aggregate(  # one round of binding: the lambda sees the final bits
-        F.array("_bits"), F.array().cast("array<int>"), lambda _, b: F.flatten(F.transform(
-            F.array_sort(F.filter(edges, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"])
-                                  & (b.bitwiseAND(e["inner"]) == 0)),
-                         lambda x, y: x["start"] - y["start"]), lambda e: e["ids"])))
-    return df.select("unit", ids.alias("ids"))
+    bits = F.when(F.col("_late"), F.aggregate(F.sequence(F.lit(2), n), every, step)).otherwise(
+        F.aggregate("_wide", every, merge))
+    # one round of binding: the lambda sees the final bits
+    path = F.aggregate(F.array(bits), F.array().cast("array<bigint>"), lambda _, b: chosen(b))
+    ids = F.when(F.col("_raw"), F.flatten(F.transform(
+        "_path", lambda e: F.when(_part(e, 0, 20) != _NONE, F.array(_part(e, 0, 20))).otherwise(raw(e))))
+    ).otherwise(F.transform("_path", lambda e: _part(e, 0, 20)))
+    return lattice.select("unit", "_raw", path.alias("_path")).select("unit", ids.alias("ids"))
 
 
 def _viterbi(df: DataFrame, edges: str) -> DataFrame:
@@ -243,24 +250,23 @@ def encode_units(found: DataFrame, pieces: Pieces, bound: float = float("inf"))
     """
     spark = found.sparkSession
     rank = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces.table}, reverse=True))}
-    none, last = (1 << 20) - 1, len(rank)
-    if max(i for _, i, _ in pieces.table) >= none:
+    last, late = len(rank), min((r for x, r in rank.items() if x <= bound), default=len(rank))
+    if max(i for _, i, _ in pieces.table) >= _NONE:
         raise ValueError("too many pieces")
-    # bounded by the vocabulary
+    # bounded by the vocabulary; met by hash, since a number is looked up faster than a text
     table = F.broadcast(spark.createDataFrame(
-        pd.DataFrame([(p, rank[s] << 32 | i) for p, i, s in pieces.table], columns=["piece", "_code"]),
-        "piece string, _code long"))
-    late = min((r for x, r in rank.items() if x <= bound), default=last)
+        pd.DataFrame([(p, rank[s] << 32 | i) for p, i, s in pieces.table], columns=["_name", "_code"]),
+        "_name string, _code long").withColumn("_hash", F.xxhash64("_name")))
     n = F.length("unit")
     subs = (found.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
             .withColumn("len", F.explode(F.sequence(
                 F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))))
             .withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len"))))
-    code = F.coalesce("_code", F.lit(last << 32 | none).cast("long"))
-    packed = code + F.shiftleft(F.col("start").cast("long"), 26) + F.shiftleft(F.col("len").cast("long"), 20)
-    lattice = subs.join(table, "piece", "left").where("_code is not null or len = 1").select(
-        "unit", packed.alias("_edge"), ((F.col("len") > 1) & (code >= late << 32)).alias("_late")).groupBy(
-        "unit").agg(F.sort_array(F.collect_list("_edge")).alias("_p"), F.max("_late").alias("_late"))
+    code = F.coalesce("_code", F.lit(last << 32 | _NONE).cast("long"))
+    at, end = F.col("start").cast("long"), F.col("start") + F.col("len")
+    packed = code + F.shiftleft(at, 26) + F.shiftleft(F.col("len").cast("long"), 20)
+    met = subs.withColumn("_hash", F.xxhash64("piece")).join(table, "_hash", "left").where(
+        "piece = _name or len = 1").withColumn("_code", F.when(F.col("piece") == F.col("_name"), F.col("_code")))
     start, size, piece = (lambda e: _part(e, 26, 6)), (lambda e: _part(e, 20, 6)), (lambda e: _part(e, 0, 20))
     if pieces.byte_ids:
         by_byte = F.array(*[F.lit(i) for i in pieces.byte_ids])
@@ -272,19 +278,23 @@ def encode_units(found: DataFrame, pieces: Pieces, bound: float = float("inf"))
     else:
         def raw(e):
             return F.array(F.lit(pieces.unknown))
-    scores = F.array(*[F.lit(float(s)) for s in rank], F.lit(float(min(rank)) - 10.0)) \
-        if pieces.kind != 2 else None
-
-    def unpack(e):
-        end = start(e) + size(e)
-        fields = [start(e).alias("start"), size(e).alias("len"), (_bit(start(e)) + _bit(end)).alias("ends"),
-                  (_bit(end) - _bit(start(e) + 1)).alias("inner"),
-                  F.when(piece(e) != none, F.array(piece(e))).otherwise(raw(e)).alias("ids")]
-        if scores is not None:
-            fields.append(F.get(scores, _part(e, 32, 24)).alias("score"))
-        return F.struct(*fields)
-    edges = lattice.select("unit", "_late", F.transform("_p", unpack).alias("e"))
-    return _merged(edges, "e") if pieces.kind == 2 else _viterbi(edges, "e")
+    wide = F.col("len") > 1
+    if pieces.kind == 2:
+        marks = met.select(
+            "unit", F.when(wide, F.struct(
+                packed.alias("edge"), (_bit(F.col("start")) + _bit(end)).alias("ends"),
+                (_bit(end) - _bit(F.col("start") + 1)).alias("inner"))).alias("_w"),
+            F.when(~wide, packed.bitwiseAND(F.lit((1 << 32) - 1))).alias("_o"),
+            (wide & (code >= late << 32)).alias("_l"), F.col("_code").isNull().alias("_r"))
+        return _merged(marks.groupBy("unit").agg(
+            F.sort_array(F.collect_list("_w")).alias("_wide"), F.collect_list("_o").alias("_one"),
+            F.max("_l").alias("_late"), F.max("_r").alias("_raw")), raw)
+    scores = F.array(*[F.lit(float(s)) for s in rank], F.lit(float(min(rank)) - 10.0))
+    edges = met.select("unit", packed.alias("_edge")).groupBy("unit").agg(
+        F.sort_array(F.collect_list("_edge")).alias("_p"))
+    return _viterbi(edges.select("unit", F.transform("_p", lambda e: F.struct(
+        start(e).alias("start"), size(e).alias("len"), F.get(scores, _part(e, 32, 24)).alias("score"),
+        F.when(piece(e) != _NONE, F.array(piece(e))).otherwise(raw(e)).alias("ids"))).alias("e")), "e")
 
 
 class _Numbers(dict):
