@@ -34,7 +34,7 @@ MARK = "▁"
 #: Units up to this many characters go through the lattice, whose state is one bit per boundary;
 #: longer ones are merged with a heap.
 LATTICE_CHARS = 60
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 80 << 20
 #: Units in one row of a block's list.
 LIST_ROWS = 50_000
 #: Partitions of the lattice for each block of text.
@@ -335,7 +335,7 @@ def _number_texts(batches, whole: dict, block_bytes: int):
             [pa.array([block] * n, pa.int64()), batch.column("_row"), pa.array(codes, pa.binary()),
              pa.array(sums, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))],
             names=_STORED)
-        if held >= block_bytes:
+        if held >= block_bytes + block_bytes // 4:
             yield from close()
             block, numbers, held = block + 1, _Numbers(whole), 0
     if held:
@@ -363,22 +363,25 @@ def _encode_block(docs: pa.Table, known: pa.Table, surface) -> pa.Table:
     flat = np.concatenate([np.arange(len(surface), dtype=np.int32), np.asarray(lists.values).astype(np.int32)])
     if not len(starts):
         starts = sizes = np.zeros(1, np.int64)
-    rows, ends, exact = [], [0], []
-    for codes, digest in zip(docs.column("codes").to_pylist(), docs.column("sum").to_pylist()):
-        code = np.frombuffer(codes, np.int32)
-        other = np.maximum(-1 - code, 0)
-        n = np.where(code < 0, sizes[other], 1)
-        begin = np.where(code < 0, starts[other], code)
-        total = int(n.sum())
-        ids = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(total)]
-        rows.append(ids)
-        ends.append(ends[-1] + total)
-        exact.append(hashlib.md5(decode_ids(ids.tolist(), surface)).digest() == digest)
-    every = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    counts, parts, exact = [], [], []
+    for batch in docs.select(["codes", "sum"]).to_batches(max_chunksize=1000):
+        rows = []
+        for codes, digest in zip(batch.column("codes").to_pylist(), batch.column("sum").to_pylist()):
+            code = np.frombuffer(codes, np.int32)
+            other = np.maximum(-1 - code, 0)
+            n = np.where(code < 0, sizes[other], 1)
+            begin = np.where(code < 0, starts[other], code)
+            total = int(n.sum())
+            rows.append(flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(total)])
+            exact.append(hashlib.md5(decode_ids(rows[-1].tolist(), surface)).digest() == digest)
+        own = np.array([len(r) for r in rows], np.int64)
+        counts.append(own)
+        parts.append(pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(np.concatenate(rows))))
     return pa.table({
         "_row": docs.column("_row"),
-        "n_tokens": pa.array(np.diff(ends), pa.int64()),
-        "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(every)),
+        "n_tokens": pa.array(np.concatenate([np.empty(0, np.int64), *counts])),
+        "ids": pa.chunked_array(parts, pa.list_(pa.int32())),
         "round_trip": pa.array(exact, pa.bool_())})
 
 
@@ -398,7 +401,8 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     buckets = max(1, -(-total // block_bytes))
     kind = docs.schema[doc_id].dataType.simpleString()
     df = docs.select(F.struct(F.col(doc_id).alias("i")).alias("_row"), body.alias("_text"))
-    stored, files = _bucketed(df.mapInArrow(
+    # a task numbers about one block: the fewer blocks, the fewer units are in several of them
+    stored, files = _bucketed(df.coalesce(buckets).mapInArrow(
         partial(_number_texts, whole=whole, block_bytes=block_bytes),
         f"block bigint, _row struct<i:{kind}>, codes binary, sum binary, first int, units array<string>"),
         "block", buckets)
@@ -406,7 +410,9 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.col("block").alias("_block"), "first", F.posexplode("units").alias("_k", "unit")).select(
         F.col("_block").alias("block"), (F.col("first") + F.col("_k")).alias("at"), "unit")
     short = found.where(F.length("unit") <= LATTICE_CHARS).repartition(buckets * LATTICE_PARTS, "unit")
-    coded = encode_units(short.select("unit").distinct(), pieces, bound)
+    # the different units are taken from all columns, so that both uses read one exchange
+    once = short.groupBy("unit").agg(F.max(F.col("block") + F.col("at")).alias("_any")).where("_any is not null")
+    coded = encode_units(once.select("unit"), pieces, bound)
     known = short.join(coded.hint("merge"), "unit").select("block", "at", "ids").unionByName(
         found.where(F.length("unit") > LATTICE_CHARS).mapInPandas(
             partial(_encode_long, pieces=pieces), "block bigint, at int, ids array<int>"))
