@@ -34,9 +34,11 @@ MARK = "▁"
 #: Units up to this many characters go through the lattice, whose state is one bit per boundary;
 #: longer ones are merged with a heap.
 LATTICE_CHARS = 60
-BLOCK_BYTES = 80 << 20
+BLOCK_BYTES = 56 << 20
 #: Units in one row of a block's list.
 LIST_ROWS = 50_000
+#: Texts turned into Python objects at a time.
+SLICE_ROWS = 256
 #: Partitions of the lattice for each block of text.
 LATTICE_PARTS = 8
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -322,7 +324,8 @@ def _number_texts(batches, whole: dict, block_bytes: int):
                 [pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()),
                  pa.nulls(1, pa.binary()), pa.array([a], pa.int32()), pa.array([part], pa.list_(pa.string()))],
                 names=_STORED)
-    for batch in batches:
+    slices = (b.slice(a, SLICE_ROWS) for b in batches for a in range(0, b.num_rows, SLICE_ROWS))
+    for batch in slices:
         kind, codes, sums = batch.column("_row").type, [], []
         for text in batch.column("_text").to_pylist():
             own = units(text)
@@ -364,7 +367,7 @@ def _encode_block(docs: pa.Table, known: pa.Table, surface) -> pa.Table:
     if not len(starts):
         starts = sizes = np.zeros(1, np.int64)
     counts, parts, exact = [], [], []
-    for batch in docs.select(["codes", "sum"]).to_batches(max_chunksize=1000):
+    for batch in docs.select(["codes", "sum"]).to_batches(max_chunksize=SLICE_ROWS):
         rows = []
         for codes, digest in zip(batch.column("codes").to_pylist(), batch.column("sum").to_pylist()):
             code = np.frombuffer(codes, np.int32)
