@@ -12,6 +12,9 @@ entered with all their one-bit variants.
 A bucket with too many candidate pairs is split again by ``k + 1`` bands over the bits that the
 bucket has not fixed yet, and so on; what is still large after the last round is spread over a
 grid of cells in which every pair of rows meets once. Nothing is capped or left out.
+
+The rows are multiplied by their bands and variants, of which Spark's size estimates know nothing, so the
+joins on buckets are asked to shuffle: a side taken for small would be broadcast at its full size.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def _heavy(left: DataFrame, right: DataFrame | None, limit: int) -> DataFrame:
     if right is None:
         return l.withColumn("_nr", F.col("_nl")).where(F.col("_nl") > limit)
     r = right.groupBy(*_KEY).agg(F.count(F.lit(1)).cast("double").alias("_nr"))
-    return l.join(r, _KEY).where(F.col("_nl") * F.col("_nr") > float(limit) ** 2)
+    return l.hint("merge").join(r.hint("merge"), _KEY).where(F.col("_nl") * F.col("_nr") > float(limit) ** 2)
 
 
 def _grid(rows: DataFrame, heavy: DataFrame, limit: int, side: str) -> DataFrame:
@@ -125,7 +128,7 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], max_bits: int,
         cond = cond & ((F.col("a_hi") < F.col("b_hi"))
                        | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo"))))
     bits = distance("a_hi", "a_lo", "b_hi", "b_lo")
-    return a.join(b, cond & (bits <= max_bits)).withColumn("bits", bits.cast("int"))
+    return a.hint("merge").join(b.hint("merge"), cond & (bits <= max_bits)).withColumn("bits", bits.cast("int"))
 
 
 def candidate_pairs(points: DataFrame, max_bits: int, order: Sequence[int]) -> tuple[int, float]:

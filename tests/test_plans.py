@@ -272,3 +272,13 @@ def test_dbscan_keeps_rows_without_hash_as_noise(spark):
                          order_by=["pos"], min_samples=3).collect()
     assert sorted((r.pos, r.label, r.is_core) for r in got) == [
         (i, 0, True) if i < 4 else (i, -1, False) for i in range(9)]
+
+
+def test_bucket_joins_are_not_broadcast(spark, capsys):
+    """The buckets hold every hash many times over, which size estimates do not see."""
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(40)]
+    points = cut.materialise(spark.createDataFrame(rows, "hi long, lo long"))
+    near_known(points, points, 13).explain()
+    near_pairs(points, None, 6).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
