@@ -13,15 +13,20 @@ A bucket with too many candidate pairs is split again by ``k + 1`` bands over th
 bucket has not fixed yet, and so on; what is still large after the last round is spread over a
 grid of cells in which every pair of rows meets once. Nothing is capped or left out.
 
+Where the bands hold so few bits that most pairs share one, as for a radius of a quarter of the bits that
+vary, a self-join compares all pairs in blocks of `BLOCK` points, each pair once, with numpy inside the tasks.
+
 The rows are multiplied by their bands and variants, of which Spark's size estimates know nothing, so the
 joins on buckets are asked to shuffle: a side taken for small would be broadcast at its full size.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adtrail.functions.bits import HASH_BITS, _signed, distance, first_shared_band
@@ -29,6 +34,11 @@ from adtrail.plans.cut import materialise
 
 BUCKET_LIMIT = 8192
 ORDER_ROWS = 4096     # points of a side that the bit order is taken from
+BLOCK = 16_384        # points of a side in one cell of a comparison of all pairs
+STRIP = 128           # of which so many at a time meet the other side
+NARROW = 5            # bits of a band that hardly tell points apart
+ROW_COST = 8          # a joined candidate costs at least so many plain comparisons
+MAX_TASKS = 2000      # that the cells are dealt to
 MAX_PATHS = 50_000    # size of the mask table: seven bands allow five rounds, fourteen four
 _KEY = ["_path", "_kh", "_kl"]
 
@@ -140,19 +150,72 @@ def candidate_pairs(points: DataFrame, max_bits: int, order: Sequence[int]) -> t
     return (row["rows"] or 0) // n, row["pairs"] or 0.0
 
 
+def _cell_pairs(cell: pd.DataFrame, max_bits: int) -> pd.DataFrame:
+    """All near pairs of one cell: of its two blocks, or inside a block that meets itself."""
+    hi, lo = (cell[c].to_numpy().view(np.uint64) for c in ("hi", "lo"))
+    second = cell["second"].to_numpy()
+    own = not second.any()
+    mine, other = (np.arange(len(cell)),) * 2 if own else (np.flatnonzero(~second), np.flatnonzero(second))
+    parts = []
+    for at in range(0, len(mine), STRIP):
+        a = mine[at:at + STRIP]
+        b = other[at + 1:] if own else other
+        bits = np.bitwise_count(lo[a, None] ^ lo[None, b])
+        bits += np.bitwise_count(hi[a, None] ^ hi[None, b])
+        i, j = np.nonzero(bits <= max_bits)
+        if own:
+            i, j = i[(later := a[i] < b[j])], j[later]
+        parts.append((a[i], b[j], bits[i, j]))
+    a, b, bits = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.empty(0, int),) * 3
+    signed = [x.view(np.int64) for x in (hi, lo)]
+    # the smaller point first, as signed numbers
+    swap = (signed[0][a] > signed[0][b]) | ((signed[0][a] == signed[0][b]) & (signed[1][a] > signed[1][b]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pd.DataFrame({"a_hi": signed[0][a], "a_lo": signed[1][a], "b_hi": signed[0][b], "b_lo": signed[1][b],
+                         "bits": bits.astype(np.int32)})
+
+
+def _all_pairs(points: DataFrame, size: int, max_bits: int, block: int) -> DataFrame:
+    """Near pairs of all points by comparing every pair once: cells of two blocks, a block with itself
+    included. Memory is bounded by the block, and the cells are independent of each other."""
+    n = -(-size // block)
+    me, you = F.col("_me"), F.col("_you")
+    dealt = points.select("hi", "lo").where("hi is not null and lo is not null").distinct().withColumn(
+        "_me", F.pmod(F.xxhash64("hi", "lo"), F.lit(n)).cast("int")).withColumn(
+        "_you", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = dealt.select(F.least(me, you).alias("_i"), F.greatest(me, you).alias("_j"), "hi", "lo",
+                         (me > you).alias("second"))
+    # as many tasks as cells, up to a bound: rows are few for the work, so sizes tell nothing
+    tasks = min(n * (n + 1) // 2, MAX_TASKS)
+    found = cells.repartition(tasks, "_i", "_j").groupBy("_i", "_j").applyInPandas(
+        partial(_cell_pairs, max_bits=max_bits), "a_hi long, a_lo long, b_hi long, b_lo long, bits int")
+    for side in "ab":
+        named = points.select(*[F.col(c).alias(f"{side}_{c}") for c in points.columns])
+        found = found.join(named, [f"{side}_hi", f"{side}_lo"])
+    return found.select(*[f"{s}_{c}" for s in "ab" for c in points.columns], "bits")
+
+
 def near_pairs(left: DataFrame, right: DataFrame | None, max_bits: int,
                limit: int = BUCKET_LIMIT, candidates: float | None = None,
-               order: Sequence[int] | None = None) -> DataFrame:
+               order: Sequence[int] | None = None, block: int | None = None) -> DataFrame:
     """All pairs of rows of ``left`` and ``right`` within ``max_bits``.
 
     Both sides hold one row per hash (columns ``hi``, ``lo`` and any others). With
     ``right=None`` the pairs are those inside ``left``, each once. Output: every input column
     with prefix ``a_`` or ``b_``, and ``bits``. ``candidates`` is the number of pairs that share
-    a band and ``order`` the `bit_order`, where the caller knows them already.
+    a band and ``order`` the `bit_order`, where the caller knows them already; ``block`` bounds the
+    points of a side that meet at a time where all pairs are compared.
     """
     same = right is None
     n = max_bits + 1
+    block = block or BLOCK
     order = bit_order(*[p for p in (left, right) if p is not None]) if order is None else order
+    if same and (2 * candidates if candidates is not None else float(left.count()) ** 2) > float(limit) ** 2:
+        ends = [f(c) for f in (F.bit_or, F.bit_and) for c in ("hi", "lo")]
+        if (left.agg(distance(*ends)).first()[0] or 0) <= NARROW * n:
+            size, candidates = candidate_pairs(left, max_bits, order)
+            if ROW_COST * candidates > size * (size - 1) / 2:
+                return _all_pairs(left, size, max_bits, block)
     paths = _Paths(n, order)
     l1 = _level_one(left, paths)
     r1 = l1 if same else _level_one(right, paths)

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from adtrail.operators import cluster
 from adtrail.operators.records import nesting, pair_next
-from adtrail.plans import cut
+from adtrail.plans import cut, similarity
 from adtrail.plans.components import roots
 from adtrail.plans.groups import number_rows, ordered, top_per
 from adtrail.functions import bits
@@ -282,3 +282,19 @@ def test_bucket_joins_are_not_broadcast(spark, capsys):
     near_known(points, points, 13).explain()
     near_pairs(points, None, 6).explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("high", [False, True])
+def test_narrow_bands_compare_all_pairs_in_blocks(spark, monkeypatch, high):
+    """Sixteen of 64 bits: bands of four bits, of which most pairs share one."""
+    rng = random.Random(11)
+    points = {rng.getrandbits(64) for _ in range(60)}
+    points |= {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in list(points)[:20]}
+    hashes = [f"{x << (64 if high else 0):032x}" for x in points]
+    df = cluster.with_lanes(spark.createDataFrame([(h,) for h in hashes], "h string"), "h")
+    monkeypatch.setattr(similarity, "_heavy", None)
+    pairs = near_pairs(df, None, 16, limit=8, block=13).collect()
+    assert all((r.a_hi, r.a_lo) < (r.b_hi, r.b_lo) and bits_apart(r.a_h, r.b_h) == r.bits for r in pairs)
+    got = sorted(tuple(sorted((r.a_h, r.b_h))) for r in pairs)
+    assert got == sorted((a, b) for a in hashes for b in hashes if a < b and bits_apart(a, b) <= 16)
+    assert len(got) >= 20
