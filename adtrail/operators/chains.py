@@ -450,7 +450,7 @@ def lookup_edge(edges: DataFrame) -> DataFrame:
                      F.col("src.value").alias("_v"),
                      F.coalesce("src.value2", F.lit("")).alias("_v2x"), "_exact")
     out = out.withColumn("_v2x", F.coalesce("_v2", F.lit("")))
-    joined = out.join(e, ["log_id", "_sf", "_k", "_v", "_v2x"], "left").join(
+    joined = out.join(e.hint("merge"), ["log_id", "_sf", "_k", "_v", "_v2x"], "left").join(
         loose, ["log_id", "_k", "_v", "_v2"], "left")
     return joined.withColumn("next", F.coalesce("_exact", "_loose")).select(
         *edges.columns, "eid", "next")
@@ -478,25 +478,31 @@ def redirect_chains(edges: DataFrame, targets: DataFrame, limit: int | None = fi
         "log_id", "ad_url", "load_url", F.col("s.eid").alias("n"), F.col("s.dst").alias("start")).withColumn(
         "walk", F.monotonically_increasing_id()))
     listed = walks(starts, linked.select(F.col("eid").alias("n"), F.col("next").alias("to")), limit)
-    hops = listed.join(linked.select(F.col("eid").alias("n"), "src", "reason"), "n").join(
-        starts.select("walk", "start", "load_url"), "walk")
+    # files of edges and walks are far smaller than their rows, so none of them is broadcast;
+    # walks are cut by the numbers of their nodes; the nodes themselves follow only for what is kept
+    numbers = materialise(linked.groupBy("log_id", "src").agg(F.min("eid").alias("_to")))
+    ends = linked.join(numbers, ["log_id", "src"]).select(
+        F.col("eid").alias("n"), "_to", F.when(F.col("src.kind") == "URL", F.col("src.value")).alias("_url"))
+    begun = starts.join(numbers.select("log_id", F.col("src").alias("start"), F.col("_to").alias("_start")),
+                        ["log_id", "start"], "left").select("walk", "load_url", F.coalesce("_start", F.lit(-1)).alias("_start"))
+    home = F.coalesce(F.col("_url").eqNullSafe(F.col("load_url")) & F.col("_url").isNotNull(), F.lit(False))
+    hops = listed.join(ends.hint("merge"), "n").join(begun.hint("merge"), "walk").select("walk", "n", "pos", "_to", "_start", home.alias("_home"))
     along = Window.partitionBy("walk").orderBy("pos")
-    hops = hops.withColumn("node", F.coalesce(F.lag("src").over(along), F.col("start")))
+    hops = hops.withColumn("_node", F.coalesce(F.lag("_to").over(along), F.col("_start")))
     # one edge leads on from a node, so a node that returns does so with its reason
-    again = F.row_number().over(Window.partitionBy("walk", "node").orderBy("pos")) > 1
-    home = (F.col("src.kind") == "URL") & F.col("src.value").eqNullSafe(F.col("load_url"))
+    again = F.row_number().over(Window.partitionBy("walk", "_node").orderBy("pos")) > 1
     whole = Window.partitionBy("walk")
-    hops = hops.withColumns({"_again": again, "_home": F.coalesce(home, F.lit(False))}).withColumn(
+    hops = hops.withColumn("_again", again).withColumn(
         "_end", F.least(F.min(F.when(F.col("_again"), F.col("pos"))).over(whole),
                         F.min(F.when(F.col("_home"), F.col("pos") + 1)).over(whole)))
-    kept = hops.where(F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
-    chains = kept.groupBy("walk").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "node", "reason"))).alias("h"),
-        F.max_by("src", "pos").alias("last"))
-    end = F.struct(F.col("last").alias("node"), F.lit(last_reason).alias("reason"))
-    chain = F.concat(F.transform("h", lambda x: F.struct(x["node"].alias("node"), x["reason"].alias("reason"))),
-                     F.array(end))
-    return chains.join(starts, "walk").select("log_id", "ad_url", chain.alias("chain"))
+    kept = hops.where(F.col("_end").isNull() | (F.col("pos") < F.col("_end"))).select("walk", "n", "pos")
+    chains = kept.join(linked.select(F.col("eid").alias("n"), "src", "reason").hint("merge"), "n").groupBy("walk").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "src", "reason"))).alias("h"))
+    # the node of a hop is the source of the one before
+    node = F.concat(F.array("start"), F.transform("h", lambda x: x["src"]))
+    reason = F.concat(F.transform("h", lambda x: x["reason"]), F.array(F.lit(last_reason)))
+    chain = F.zip_with(node, reason, lambda x, why: F.struct(x.alias("node"), why.alias("reason")))
+    return chains.join(starts.hint("merge"), "walk").select("log_id", "ad_url", chain.alias("chain"))
 
 
 def chain_rows(chains: DataFrame) -> DataFrame:
