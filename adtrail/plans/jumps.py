@@ -12,22 +12,29 @@ from pyspark.sql import DataFrame, functions as F
 from adtrail.plans.cut import materialise
 
 
+def _further(table: DataFrame) -> DataFrame:
+    """The table that leads twice as far."""
+    on = table.select(F.col("n").alias("to"), F.col("to").alias("_to"))
+    return materialise(table.hint("merge").join(on.hint("merge"), "to").select("n", F.col("_to").alias("to")))
+
+
 def _tables(links: DataFrame, steps: int | None) -> tuple[list[DataFrame], bool]:
     """Jump tables ``(n, to)`` for walks of up to ``steps`` links, or until all have ended; then also
-    whether some go round in a ring, which is when they outlast the number of links."""
-    table = materialise(links.select("n", "to").where("to is not null"))
-    count, tables = (None if steps else table.count()), []
+    whether some go round in a ring. That is so when a table leads on from as many nodes, to as many
+    nodes, as the one before: all that go on then go on for ever, and all nodes reached are in rings."""
+    tables, table, before = [], materialise(links.select("n", "to").where("to is not null")), None
     while True:
-        if steps is None and table.isEmpty():
-            return tables, False
+        if steps is None:
+            size = tuple(table.agg(F.count(F.lit(1)), F.count_distinct("to")).first())
+            if size[0] == 0:
+                return tables, False
+            if size == before:
+                return tables, True
+            before = size
         tables.append(table)
-        reach = 1 << len(tables)
-        if steps is not None and reach > steps:
+        if steps is not None and 1 << len(tables) > steps:
             return tables, False
-        if steps is None and reach > 2 * count:
-            return tables, True
-        further = table.select(F.col("n").alias("to"), F.col("to").alias("_to"))
-        table = materialise(table.join(further, "to").select("n", F.col("_to").alias("to")))
+        table = _further(table)
 
 
 def _depths(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,10 +61,14 @@ def _lengths(nodes: DataFrame, links: DataFrame, far: DataFrame, rings: bool) ->
     depths = _depths(nodes, open_)
     # rings are labelled by their smallest node, again by doubling
     around = materialise(links.join(ring, "n").select("n", F.col("to").alias("at"), F.least("n", "to").alias("low")))
-    for _ in range(max(around.count(), 2).bit_length()):
+    total = F.sum(F.col("low").cast("decimal(38,0)"))
+    known, before = around.agg(total).first()[0], None
+    # the smallest node of ever longer stretches, until none changes any more
+    while known != before:
         on = around.select(F.col("n").alias("at"), F.col("at").alias("_at"), F.col("low").alias("_low"))
         around = materialise(around.join(on, "at").select(
             "n", F.col("_at").alias("at"), F.least("low", "_low").alias("low")))
+        known, before = around.agg(total).first()[0], known
     sizes = around.groupBy("low").agg(F.count(F.lit(1)).alias("_ring"))
     turns = around.join(sizes, "low").select(F.col("n").alias("end"), "_ring")
     return depths.join(turns, "end", "left").select(
@@ -79,11 +90,18 @@ def walks(starts: DataFrame, links: DataFrame, steps: int | None = None) -> Data
         one = F.lit(1).cast("long")
         rows = starts.select("walk", "n").withColumn("length", one) if reach is None else starts.select(
             "walk", "n").join(reach, "n", "left").withColumn("length", F.coalesce("length", one))
-    rows = rows.select("walk", "n", F.lit(0).cast("long").alias("pos"), "length")
+    rows = materialise(rows.select("walk", "n", F.lit(0).cast("long").alias("pos"), "length"))
+    if steps is None and tables:
+        # only tables that lead less far than the longest walk
+        longest = rows.agg(F.max("length")).first()[0] or 0
+        while 1 << len(tables) < longest:
+            tables.append(_further(tables[-1]))
+        tables = [t for k, t in enumerate(tables) if 1 << k < longest]
     for k, table in reversed(list(enumerate(tables))):
         here = F.struct("walk", "n", "pos", "length")
         leapt = F.struct("walk", F.col("to").alias("n"), (F.col("pos") + (1 << k)).alias("pos"), "length")
         goes = F.col("to").isNotNull() & (F.col("pos") + (1 << k) < F.col("length"))
-        rows = rows.join(table, "n", "left").select(F.inline(
+        # a table is not broadcast: they are as many as the length has digits, all of them at once
+        rows = rows.hint("merge").join(table.hint("merge"), "n", "left").select(F.inline(
             F.when(goes, F.array(here, leapt)).otherwise(F.array(here))))
     return rows.select("walk", "n", "pos")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from adtrail import fixed, schemas
 from adtrail.functions import fields as fx
 from adtrail.operators import chains, records
+from adtrail.plans import jumps
 from adtrail.plans.jumps import walks
 from adtrail.sources import logs
 
@@ -354,3 +355,35 @@ def test_malformed_records_make_no_edges(spark, tmp_path):
     events = read(spark, tmp_path, good + broken + empty)
     assert [r.malformed for r in events.orderBy("seq").collect()] == [False, True, True]
     assert {r.dst.value for r in chains.derive_edges(logs.event_columns(events)).collect()} == {"http://b/"}
+
+
+def test_jump_tables_of_a_ring_are_few_and_not_broadcast(spark, capsys, monkeypatch):
+    """A tail of five nodes into a ring of three: tables as far as the longest walk leads."""
+    links = [(n, n + 1) for n in range(7)] + [(7, 5), (20, 21), (21, None)]
+    made = []
+    monkeypatch.setattr(jumps, "_further", lambda t, f=jumps._further: made.append(1) or f(t))
+    got = jumps.walks(spark.createDataFrame([(0, 0), (1, 20), (2, 6)], "walk long, n long"),
+                      spark.createDataFrame(links, "n long, to long"))
+    got.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    assert len(made) <= 5
+    along = {}
+    for r in sorted(got.collect(), key=lambda r: r.pos):
+        along.setdefault(r.walk, []).append(r.n)
+    assert along == {0: [*range(8), 5], 1: [20, 21], 2: [6, 7, 5, 6]}
+
+
+def test_walks_are_cut_by_node_numbers(spark, capsys):
+    """No window of a walk holds the nodes themselves."""
+    node = [fx.node(F.lit("f"), F.lit("URL"), F.col(c)).alias(n) for c, n in (("d", "dst"), ("s", "src"))]
+    edges = spark.createDataFrame(
+        [("l", f"http://{d}/", f"http://{s}/", "x", i) for i, (d, s) in enumerate(["cb", "ba", "ac"])],
+        "log_id string, d string, s string, reason string, seq long").select(
+        "log_id", *node, "reason", "seq", F.lit(chains.FIRST_WINS).alias("policy"))
+    targets = spark.createDataFrame([("l", "http://c/")], "log_id string, ad_url string")
+    found = chains.redirect_chains(chains.resolve_edges(edges), targets)
+    found.explain()
+    windows = [x for x in capsys.readouterr().out.splitlines() if "Window [" in x or "Window(" in x]
+    assert windows and not any("src#" in x or "node#" in x.replace("_node#", "") for x in windows)
+    chain, = found.collect()
+    assert [h.node.value for h in chain.chain] == [f"http://{x}/" for x in "cbac"]
