@@ -9,7 +9,8 @@ between two neighbouring symbols until none is left, which is the model's own ru
 
 A text is written once, as the numbers of its units: the id of a unit that is a piece of its own,
 or the place of the unit in a list of its block's other units. Texts are never exchanged: the table
-is bucketed by block, and only the different units travel, to the lattice as texts and back as ids.
+is bucketed by block, and only the different units travel, in lists: a block deals its units by hash to
+the lanes of the lattice, one list a lane, and gets one array of ids back for each list.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ import hashlib
 import heapq
 import re
 import uuid
+import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import partial
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,13 +38,13 @@ MARK = "▁"
 #: Units up to this many characters go through the lattice, whose state is one bit per boundary;
 #: longer ones are merged with a heap.
 LATTICE_CHARS = 60
-BLOCK_BYTES = 56 << 20
+BLOCK_BYTES = 40 << 20
 #: Units in one row of a block's list.
 LIST_ROWS = 50_000
 #: Texts turned into Python objects at a time.
 SLICE_ROWS = 256
-#: Partitions of the lattice for each block of text.
-LATTICE_PARTS = 8
+#: Lanes of the lattice for each block of text.
+LATTICE_LANES = 8
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 #: The piece number of a character that no piece holds.
@@ -169,16 +173,20 @@ def _best_long(unit: str, ids: dict, fallback, longest: int, floor: float) -> li
 
 
 def _encode_long(batches, pieces: Pieces):
-    """Frames (block, at, unit) of units too long for the lattice, with their ids."""
+    """Arrow batches of lists of units that are not for the lattice, with their ids."""
     ids = {p: (i, s) for p, i, s in pieces.table}
     floor = min(s for _, _, s in pieces.table) - 10.0
 
     def fallback(c):
         return [pieces.byte_ids[b] for b in c.encode()] if pieces.byte_ids else [pieces.unknown]
-    for df in batches:
-        found = [_merge_long(u, ids, fallback) if pieces.kind == 2
-                 else _best_long(u, ids, fallback, pieces.longest, floor) for u in df["unit"]]
-        yield pd.DataFrame({"block": df["block"], "at": df["at"], "ids": found})
+    for batch in batches:
+        found = [[_merge_long(u, ids, fallback) if pieces.kind == 2
+                  else _best_long(u, ids, fallback, pieces.longest, floor) for u in _split(text)]
+                 for text in batch.column("units").to_pylist()]
+        sizes = [np.array([len(x) for x in own], np.int64) for own in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array([_narrow(n) for n in sizes], pa.binary()),
+             pa.array([_narrow(np.concatenate(own)) for own in found], pa.binary())], names=_CODED)
 
 
 def _bit(at: Column) -> Column:
@@ -189,7 +197,7 @@ def _part(e: Column, shift: int, bits: int) -> Column:
     return F.shiftright(e, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def _merged(lattice: DataFrame, raw) -> DataFrame:
+def _merged(lattice: DataFrame, raw, by: Sequence[str]) -> DataFrame:
     """BPE: boundaries as bits; the best edge over exactly one inner boundary removes it. The edges
     that span no boundary but their own ends are then the pieces. Edges come from best to worst; one
     pass over them is enough but for units with ``_late`` edges (`whole_pieces`)."""
@@ -219,10 +227,10 @@ def _merged(lattice: DataFrame, raw) -> DataFrame:
     ids = F.when(F.col("_raw"), F.flatten(F.transform(
         "_path", lambda e: F.when(_part(e, 0, 20) != _NONE, F.array(_part(e, 0, 20))).otherwise(raw(e))))
     ).otherwise(F.transform("_path", lambda e: _part(e, 0, 20)))
-    return lattice.select("unit", "_raw", path.alias("_path")).select("unit", ids.alias("ids"))
+    return lattice.select(*by, "_raw", path.alias("_path")).select(*by, ids.alias("ids"))
 
 
-def _viterbi(df: DataFrame, edges: str) -> DataFrame:
+def _viterbi(df: DataFrame, edges: str, by: Sequence[str]) -> DataFrame:
     """Unigram: the best (score, start, ids) up to each position, then the path backwards."""
     n = F.length("unit")
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"),
@@ -240,14 +248,16 @@ def _viterbi(df: DataFrame, edges: str) -> DataFrame:
             F.concat(here["ids"], state["ids"]).alias("ids"))).otherwise(state)
     best = F.aggregate(F.sequence(F.lit(1), n), begin, step)
     first = F.struct(best.alias("best"), n.alias("at"), F.array().cast("array<int>").alias("ids"))
-    return df.select("unit", F.aggregate(
+    return df.select(*by, F.aggregate(
         F.sequence(F.lit(1), n), first, back, lambda s: s["ids"]).alias("ids"))
 
 
-def encode_units(found: DataFrame, pieces: Pieces, bound: float = float("inf")) -> DataFrame:
+def encode_units(found: DataFrame, pieces: Pieces, bound: float = float("inf"),
+                 by: Sequence[str] = ("unit",)) -> DataFrame:
     """``found(unit)``, different units of 1 to ``LATTICE_CHARS`` characters, to ``(unit, ids)``.
 
-    ``bound`` as in `whole_pieces`. Nothing is shuffled if ``found`` is partitioned by unit. An edge travels as one number: the
+    ``bound`` as in `whole_pieces`. Nothing is shuffled if ``found`` is partitioned by unit, or by other
+    columns that ``by`` names with it. An edge travels as one number: the
     rank of its score, its start and length, and its piece (all ones: no piece).
     """
     spark = found.sparkSession
@@ -283,47 +293,66 @@ def encode_units(found: DataFrame, pieces: Pieces, bound: float = float("inf"))
     wide = F.col("len") > 1
     if pieces.kind == 2:
         marks = met.select(
-            "unit", F.when(wide, F.struct(
+            *by, F.when(wide, F.struct(
                 packed.alias("edge"), (_bit(F.col("start")) + _bit(end)).alias("ends"),
                 (_bit(end) - _bit(F.col("start") + 1)).alias("inner"))).alias("_w"),
             F.when(~wide, packed.bitwiseAND(F.lit((1 << 32) - 1))).alias("_o"),
             (wide & (code >= late << 32)).alias("_l"), F.col("_code").isNull().alias("_r"))
-        return _merged(marks.groupBy("unit").agg(
+        return _merged(marks.groupBy(*by).agg(
             F.sort_array(F.collect_list("_w")).alias("_wide"), F.collect_list("_o").alias("_one"),
-            F.max("_l").alias("_late"), F.max("_r").alias("_raw")), raw)
+            F.max("_l").alias("_late"), F.max("_r").alias("_raw")), raw, by)
     scores = F.array(*[F.lit(float(s)) for s in rank], F.lit(float(min(rank)) - 10.0))
-    edges = met.select("unit", packed.alias("_edge")).groupBy("unit").agg(
+    edges = met.select(*by, packed.alias("_edge")).groupBy(*by).agg(
         F.sort_array(F.collect_list("_edge")).alias("_p"))
-    return _viterbi(edges.select("unit", F.transform("_p", lambda e: F.struct(
+    return _viterbi(edges.select(*by, F.transform("_p", lambda e: F.struct(
         start(e).alias("start"), size(e).alias("len"), F.get(scores, _part(e, 32, 24)).alias("score"),
-        F.when(piece(e) != _NONE, F.array(piece(e))).otherwise(raw(e)).alias("ids"))).alias("e")), "e")
+        F.when(piece(e) != _NONE, F.array(piece(e))).otherwise(raw(e)).alias("ids"))).alias("e")), "e", by)
 
 
 class _Numbers(dict):
-    """Numbers of a block's units: the ids of whole pieces, and -1, -2, ... for others as they come."""
+    """Numbers of a block's units: the ids of whole pieces, and for others -1 - (k * (lanes + 1) + lane):
+    the k-th unit of the lane that its hash names, or of a lane of its own if it is not for the lattice."""
 
-    def __init__(self, whole: dict):
+    def __init__(self, whole: dict, lanes: int):
         super().__init__(whole)
-        self.others: list[str] = []
+        self.lanes = lanes
+        self.others: dict[int, list[str]] = defaultdict(list)
 
     def __missing__(self, unit: str) -> int:
-        self.others.append(unit)
-        self[unit] = -len(self.others)
+        short = len(unit) <= LATTICE_CHARS and unit != "\n"
+        lane = zlib.crc32(unit.encode()) % self.lanes if short else self.lanes
+        own = self.others[lane]
+        self[unit] = -1 - (len(own) * (self.lanes + 1) + lane)
+        own.append(unit)
         return self[unit]
 
 
-def _number_texts(batches, whole: dict, block_bytes: int):
-    """Arrow batches of texts to rows of their units' numbers and, after each block, rows of the
-    block's other units. A block is a run of texts of one task."""
-    block, numbers, held, kind = TaskContext.get().partitionId() << 32, _Numbers(whole), 0, None
+def _listed(own: list[str]) -> str:
+    """A list of units as one text. Only the line end holds one; it stands as the empty unit."""
+    return "\n".join(["" if u == "\n" else u for u in own])
+
+
+def _split(text: str) -> list[str]:
+    return [u or "\n" for u in text.split("\n")]
+
+
+def _number_texts(batches, whole: dict, block_bytes: int, lanes: int):
+    """Arrow batches of texts to rows of their units' numbers and, after each block, rows of lists of
+    the block's other units by lane. A block is a run of texts of one task."""
+    block, numbers, held, kind = TaskContext.get().partitionId() << 32, _Numbers(whole, lanes), 0, None
 
     def close():
-        for a in range(0, len(numbers.others), LIST_ROWS):
-            part = numbers.others[a:a + LIST_ROWS]
+        lists = [(lane, a, _listed(own[a:a + LIST_ROWS])) for lane, own in numbers.others.items()
+                 for a in range(0, len(own), LIST_ROWS)]
+        n = len(lists)
+        if n:
+            lane, first, text = zip(*lists)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()),
-                 pa.nulls(1, pa.binary()), pa.array([a], pa.int32()), pa.array([part], pa.list_(pa.string()))],
-                names=_STORED)
+                [pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()),
+                 pa.nulls(n, pa.binary()), pa.array(lane, pa.int32()), pa.array(first, pa.int32()),
+                 pa.array(text, pa.string())], names=_STORED)
+            # workers are reused, so memory that a block has left counts in the next stage too
+            pa.default_memory_pool().release_unused()
     slices = (b.slice(a, SLICE_ROWS) for b in batches for a in range(0, b.num_rows, SLICE_ROWS))
     for batch in slices:
         kind, codes, sums = batch.column("_row").type, [], []
@@ -336,16 +365,20 @@ def _number_texts(batches, whole: dict, block_bytes: int):
         n = len(codes)
         yield pa.RecordBatch.from_arrays(
             [pa.array([block] * n, pa.int64()), batch.column("_row"), pa.array(codes, pa.binary()),
-             pa.array(sums, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))],
-            names=_STORED)
+             pa.array(sums, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+             pa.nulls(n, pa.string())], names=_STORED)
         if held >= block_bytes + block_bytes // 4:
             yield from close()
-            block, numbers, held = block + 1, _Numbers(whole), 0
+            block, numbers, held = block + 1, _Numbers(whole, lanes), 0
     if held:
         yield from close()
+    numbers = batch = None
+    pa.default_memory_pool().release_unused()
 
 
-_STORED = ["block", "_row", "codes", "sum", "first", "units"]
+_STORED = ["block", "_row", "codes", "sum", "lane", "first", "units"]
+#: A list of units with its ids: how many each unit has, and all of them.
+_CODED = ["_block", "lane", "first", "n", "ids"]
 
 
 def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -356,14 +389,51 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFra
     return spark.table(name), spark.read.schema(df.schema).parquet(path)
 
 
-def _encode_block(docs: pa.Table, known: pa.Table, surface) -> pa.Table:
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 with as few bytes each as the largest needs, after one byte that says how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(numbers.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _widen(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` with these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _list_ids(lists: pa.Table, coded: pa.Table) -> pa.Table:
+    """The lists of a lane with the ids of their units."""
+    place = {u: i for i, u in enumerate(coded.column("unit").to_pylist())}
+    ids = coded.column("ids").combine_chunks()
+    offsets, flat = np.asarray(ids.offsets).astype(np.int64), np.asarray(ids.values)
+    sizes, out = np.diff(offsets), []
+    for text in lists.column("units").to_pylist():
+        own = text.split("\n")
+        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+        out.append((_narrow(sizes[at]), _narrow(_gather(flat, offsets[at], sizes[at]))))
+    n, packed = zip(*out) if out else ((), ())
+    return pa.table([lists.column("block"), lists.column("lane"), lists.column("first"),
+                     pa.array(n, pa.binary()), pa.array(packed, pa.binary())], names=_CODED)
+
+
+def _encode_block(docs: pa.Table, known: pa.Table, surface, lanes: int) -> pa.Table:
     """The texts of a block with the ids of its units."""
+    pa.default_memory_pool().release_unused()
     # one flat array: every id at its own place, then the lists of the block's other units
-    lists = known.column("ids").combine_chunks()
-    order = np.argsort(known.column("at").to_numpy())
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    starts, sizes = offsets[:-1][order] + len(surface), np.diff(offsets)[order]
-    flat = np.concatenate([np.arange(len(surface), dtype=np.int32), np.asarray(lists.values).astype(np.int32)])
+    own = [_widen(x) for x in known.column("n").to_pylist()]
+    flat = np.concatenate([np.arange(len(surface), dtype=np.int32), *map(_widen, known.column("ids").to_pylist())])
+    places = [(first + np.arange(len(n))) * (lanes + 1) + lane for lane, first, n in zip(
+        known.column("lane").to_pylist(), known.column("first").to_pylist(), own)]
+    top = max([int(p[-1]) + 1 for p in places], default=0)
+    starts, sizes, begin = np.zeros(top, np.int64), np.zeros(top, np.int64), len(surface)
+    for place, n in zip(places, own):
+        ends = begin + np.cumsum(n, dtype=np.int64)
+        starts[place], sizes[place], begin = ends - n, n, ends[-1]
+    del own, places
     if not len(starts):
         starts = sizes = np.zeros(1, np.int64)
     counts, parts, exact = [], [], []
@@ -373,9 +443,7 @@ def _encode_block(docs: pa.Table, known: pa.Table, surface) -> pa.Table:
             code = np.frombuffer(codes, np.int32)
             other = np.maximum(-1 - code, 0)
             n = np.where(code < 0, sizes[other], 1)
-            begin = np.where(code < 0, starts[other], code)
-            total = int(n.sum())
-            rows.append(flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(total)])
+            rows.append(_gather(flat, np.where(code < 0, starts[other], code), n))
             exact.append(hashlib.md5(decode_ids(rows[-1].tolist(), surface)).digest() == digest)
         own = np.array([len(r) for r in rows], np.int64)
         counts.append(own)
@@ -405,24 +473,25 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     kind = docs.schema[doc_id].dataType.simpleString()
     df = docs.select(F.struct(F.col(doc_id).alias("i")).alias("_row"), body.alias("_text"))
     # a task numbers about one block: the fewer blocks, the fewer units are in several of them
+    lanes = buckets * LATTICE_LANES
     stored, files = _bucketed(df.coalesce(buckets).mapInArrow(
-        partial(_number_texts, whole=whole, block_bytes=block_bytes),
-        f"block bigint, _row struct<i:{kind}>, codes binary, sum binary, first int, units array<string>"),
+        partial(_number_texts, whole=whole, block_bytes=block_bytes, lanes=lanes),
+        f"block bigint, _row struct<i:{kind}>, codes binary, sum binary, lane int, first int, units string"),
         "block", buckets)
-    found = files.where("units is not null").select(
-        F.col("block").alias("_block"), "first", F.posexplode("units").alias("_k", "unit")).select(
-        F.col("_block").alias("block"), (F.col("first") + F.col("_k")).alias("at"), "unit")
-    short = found.where(F.length("unit") <= LATTICE_CHARS).repartition(buckets * LATTICE_PARTS, "unit")
+    lists = files.where("units is not null").select("block", "lane", "first", "units")
+    short = lists.where(F.col("lane") < lanes).repartition(lanes, "lane")
     # the different units are taken from all columns, so that both uses read one exchange
-    once = short.groupBy("unit").agg(F.max(F.col("block") + F.col("at")).alias("_any")).where("_any is not null")
-    coded = encode_units(once.select("unit"), pieces, bound)
-    known = short.join(coded.hint("merge"), "unit").select("block", "at", "ids").unionByName(
-        found.where(F.length("unit") > LATTICE_CHARS).mapInPandas(
-            partial(_encode_long, pieces=pieces), "block bigint, at int, ids array<int>"))
+    once = short.select("block", "lane", "first", F.explode_outer(F.split("units", "\n", -1)).alias("unit")).groupBy(
+        "lane", "unit").agg(F.max(F.col("block") + F.col("first")).alias("_any")).where("_any is not null")
+    coded = encode_units(once.select("lane", "unit"), pieces, bound, ["lane", "unit"])
+    shape = "_block bigint, lane int, first int, n binary, ids binary"
+    known = short.groupBy("lane").cogroup(coded.withColumnRenamed("lane", "_lane").groupBy("_lane")).applyInArrow(
+        _list_ids, shape).unionByName(
+        lists.where(F.col("lane") == lanes).mapInArrow(partial(_encode_long, pieces=pieces), shape))
     surface = pieces.surface
     out = stored.where("codes is not null").select("block", "_row", "codes", "sum").groupBy("block").cogroup(
-        known.withColumnRenamed("block", "_block").repartition(buckets, "_block").groupBy("_block")).applyInArrow(
-        lambda a, b: _encode_block(a, b, surface),
+        known.repartition(buckets, "_block").groupBy("_block")).applyInArrow(
+        lambda a, b: _encode_block(a, b, surface, lanes),
         f"_row struct<i:{kind}>, n_tokens bigint, ids array<int>, round_trip boolean")
     return out.select(F.col("_row.i").alias(doc_id), "n_tokens", "ids", "round_trip")
 

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from adtrail.llm.pieces import MODEL, decode_documents, encode_documents, load_pieces
+from adtrail.llm.pieces import (MODEL, _encode_block, _list_ids, _listed, _Numbers, _split, decode_documents,
+                                encode_documents, load_pieces)
 
 TEXTS = [
     None, "", " ", "a", "  two  spaces and   three ", "new\nline\r\n\ttab", "Übergröße naïve ñandú 日本語 😀",
@@ -58,3 +60,30 @@ def test_viterbi_finds_the_best_path_of_a_unigram_model(make_docs, tmp_path):
 
 def test_empty_table(make_docs):
     assert encode_documents(make_docs([])).count() == 0
+
+
+def test_units_travel_in_lists():
+    """A block's units go to their lanes as one list each, and their ids come back to their places."""
+    rng = np.random.default_rng(4)
+    lanes, texts = 5, [f"▁w{i}" for i in range(4000)] + ["\n", "▁" + "x" * 80]
+    ids = {u: rng.integers(0, 32_000, int(rng.integers(1, 6))).tolist() for u in texts}
+    ids["▁w7"], ids["▁w8"] = list(range(300)), [31_999]
+    numbers = _Numbers({"▁whole": 5}, lanes)
+    codes = np.array([numbers[u] for u in [*texts, "▁whole"]], np.int32).tobytes()
+    assert set(numbers.others[lanes]) == {"\n", "▁" + "x" * 80}
+    rows = []
+    for lane, own in numbers.others.items():
+        lists = [(3, lane, a, _listed(own[a:a + 300])) for a in range(0, len(own), 300)]
+        assert [u for r in lists for u in _split(r[3])] == own
+        if lane < lanes:
+            coded = pa.table({"unit": own[::-1], "ids": pa.array([ids[u] for u in own[::-1]], pa.list_(pa.int32()))})
+            rows.append(_list_ids(pa.table([pa.array(c) for c in zip(*lists)], names=["block", "lane", "first", "units"]),
+                                  coded))
+    known = pa.concat_tables(rows)
+    assert known.num_rows < 20 and known.nbytes < 10 * len(texts)
+    tail = pa.table({"_block": [3], "lane": pa.array([lanes], known.schema.field("lane").type), "first": [0],
+                     "n": [b"\x01" + bytes([len(ids[u]) for u in numbers.others[lanes]])],
+                     "ids": [b"\x02" + np.concatenate([ids[u] for u in numbers.others[lanes]]).astype("<u2").tobytes()]})
+    docs = pa.table({"_row": [0], "codes": pa.array([codes], pa.binary()), "sum": pa.array([b""], pa.binary())})
+    got = _encode_block(docs, pa.concat_tables([tail, known]), [b"x"] * 32_000, lanes)
+    assert got.column("ids").to_pylist() == [[i for u in texts for i in ids[u]] + [5]]
