@@ -38,7 +38,7 @@ MARK = "▁"
 #: Units up to this many characters go through the lattice, whose state is one bit per boundary;
 #: longer ones are merged with a heap.
 LATTICE_CHARS = 60
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 28 << 20
 #: Units in one row of a block's list.
 LIST_ROWS = 50_000
 #: Texts turned into Python objects at a time.
